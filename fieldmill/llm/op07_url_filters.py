@@ -132,7 +132,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule] = CONTRACT_RULES, patterns: l
         hits = F.filter(F.transform(f"{OWN}tokens", lambda t: F.try_element_at(by_token, t)), lambda hit: hit.isNotNull())
         fetched = F.concat(fetched, F.flatten(hits))
     found = found.withColumn(f"{OWN}candidates", fetched)
-    best = F.array_max(F.filter(f"{OWN}candidates", lambda c: F.col(f"{OWN}subject").rlike(c["regex"])))
+    best = F.array_max(F.filter(f"{OWN}candidates", lambda c: F.regexp(f"{OWN}subject", c["regex"])))
     found = found.withColumn(f"{OWN}best", best)
     return _verdicts(found, F.size(f"{OWN}candidates"), default)
 
@@ -155,7 +155,7 @@ def judge_urls_indexed(pages: DataFrame, rules: list[Rule], patterns: list[Patte
         everywhere = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(x).alias("regex"), F.lit(n).cast("string").alias("name"), F.lit(v).alias("verdict")) for _, k, x, n, v in always.collect()]))
         candidates = candidates.unionByName(urls.select("host", "path", f"{OWN}subject", everywhere.alias("r")).select("host", "path", f"{OWN}subject", "r.*"))
     best = candidates.groupBy("host", "path").agg(
-        F.max(F.when(F.col(f"{OWN}subject").rlike(F.col("regex")), F.struct("rank", "regex", "name", "verdict"))).alias(f"{OWN}best"), F.count(F.lit(1)).cast("int").alias(f"{OWN}n")
+        F.max(F.when(F.regexp(f"{OWN}subject", "regex"), F.struct("rank", "regex", "name", "verdict"))).alias(f"{OWN}best"), F.count(F.lit(1)).cast("int").alias(f"{OWN}n")
     )
     return _verdicts(found.join(best, ["host", "path"], "left"), F.coalesce(F.col(f"{OWN}n"), F.lit(0)), default)
 
