@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,17 @@ def working_partitions(df: DataFrame) -> int:
 def count_of(spans: str, field: str, kind: str) -> Column:
     """How many of an array of structs have ``kind`` in ``field``, as n_<kind>."""
     return F.size(F.filter(spans, lambda s: s[field] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def blocks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes in ``column``; a row is never cut."""
+    at = batch.schema.get_field_index(column)
+    batch = batch.set_column(at, column, batch.column(at).fill_null(""))
+    col = batch.column(at)
+    offsets = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1]
+    start = 0
+    while start < len(col):
+        stop = int(np.searchsorted(offsets, int(offsets[start]) + limit, side="right"))
+        stop = min(max(stop - 1, start + 1), len(col))
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import count_of, table
+from .common import blocks, count_of, table
 
 #: Bytes of text in a block of the index.
 BLOCK_BYTES = 4 << 20
@@ -242,20 +242,6 @@ def _lookup(grams: tuple[bytes, ...]) -> tuple[dict[bytes, int], np.ndarray]:
     return vocabulary, lookup
 
 
-def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``limit`` bytes in ``column``; a row is never cut."""
-    at = batch.schema.get_field_index(column)
-    batch = batch.set_column(at, column, batch.column(at).fill_null(""))
-    col = batch.column(at)
-    offsets = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1]
-    start = 0
-    while start < len(col):
-        stop = int(np.searchsorted(offsets, int(offsets[start]) + limit, side="right"))
-        stop = min(max(stop - 1, start + 1), len(col))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def scanner(rules: tuple[SecretRule, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     queries = [trigram_query(r.pattern) for r in rules]
     grams = tuple(sorted(set().union(*map(_leaves, queries))))
@@ -265,7 +251,7 @@ def scanner(rules: tuple[SecretRule, ...]) -> Callable[[Iterator[pa.RecordBatch]
         compiled = [re.compile(r.pattern) for r in rules]
         vocabulary, lookup = _lookup(grams)
         for batch in batches:
-            for block in blocks(batch):
+            for block in blocks(batch, "text", BLOCK_BYTES):
                 texts = block.column(1)
                 index = TrigramIndex(vocabulary, lookup, texts)
                 found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
