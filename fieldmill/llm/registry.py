@@ -10,12 +10,14 @@ from .op03_secret_scans import op3_secret_scans
 from .op06_language_id import op6_language_id
 from .op07_url_filters import ORACLE_OP7, op7_url_filters
 from .op08_bpe import op8_bpe
+from .op10_sharding import op10_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scans": op3_secret_scans,
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {"op7_url_filters": ORACLE_OP7}
