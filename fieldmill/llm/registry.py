@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op02_fingerprints import op2_fingerprints
 from .op03_secret_scans import op3_secret_scans
+from .op05_simhash import op5_simhash
 from .op06_language_id import op6_language_id
 from .op07_url_filters import ORACLE_OP7, op7_url_filters
 from .op08_bpe import op8_bpe
@@ -16,6 +17,7 @@ from .op10_sharding import op10_sharding
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_secret_scans": op3_secret_scans,
+    "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe,
