@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op01_pii import op1_pii
 from .op02_fingerprints import op2_fingerprints
 from .op03_secret_scans import op3_secret_scans
 from .op05_simhash import op5_simhash
@@ -15,6 +16,7 @@ from .op08_bpe import op8_bpe
 from .op10_sharding import op10_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_fingerprints": op2_fingerprints,
     "op3_secret_scans": op3_secret_scans,
     "op5_simhash": op5_simhash,
