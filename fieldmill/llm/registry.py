@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op01_pii import op1_pii
 from .op02_fingerprints import op2_fingerprints
 from .op03_secret_scans import op3_secret_scans
+from .op04_media import op4_media
 from .op05_simhash import op5_simhash
 from .op06_language_id import op6_language_id
 from .op07_url_filters import ORACLE_OP7, op7_url_filters
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_fingerprints": op2_fingerprints,
     "op3_secret_scans": op3_secret_scans,
+    "op4_media": op4_media,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
