@@ -14,6 +14,7 @@ from .op05_simhash import op5_simhash
 from .op06_language_id import op6_language_id
 from .op07_url_filters import ORACLE_OP7, op7_url_filters
 from .op08_bpe import op8_bpe
+from .op09_mixing import op9_mixing
 from .op10_sharding import op10_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe,
+    "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
 
