@@ -29,9 +29,9 @@ def capped(x: Column) -> Column:
 
 
 def nearest_rank(values: Column, share: float) -> Column:
-    """Of a sorted array, the element nearest to that share of its last index, half to even."""
-    at = F.bround((F.size(values) - 1) * share).cast("int")
-    return F.element_at(values, F.least(at, F.size(values) - 1) + 1)
+    """Of a sorted array, the element at the rank nearest to that share of its size, half to even; null for an empty one."""
+    rank = F.bround(F.size(values) * share).cast("int")
+    return F.try_element_at(values, F.greatest(F.lit(1), F.least(rank, F.size(values))))
 
 
 def round_up(x: Column, step: int) -> Column:

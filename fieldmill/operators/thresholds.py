@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 #: Fixed: hours in this range count as chill.
 CHILL_RANGE_C = (0.0, 7.2)
-GDD_BASE_C = 4.5
-#: Fixed: temperatures that kill a tenth and nine tenths of the buds, by stage.
-FROST_STAGES = {"bud swell": (-8.3, -15.0), "side green": (-5.6, -9.4), "green tip": (-3.9, -6.1), "tight cluster": (-2.2, -3.9), "open cluster": (-2.2, -3.9), "first white": (-2.8, -4.4), "first bloom": (-2.2, -3.9), "full bloom": (-2.2, -3.9)}
+GDD_BASE_C = 4.4
+#: Fixed: chill hours that a variety needs, where known.
+CHILL_REQUIREMENTS = {"Kordia": 1400.0}
+#: Fixed: temperatures that kill a tenth and nine tenths of the buds, by stage; other stages have no table and low risk.
+FROST_STAGES = {"bud swell": (-9.4, -17.8), "bloom": (-2.2, -6.7), "fruit set": (-1.1, -4.4)}
+#: Fixed: the fruit fly reproduces in this range.
+FLY_RANGE_C = (18.0, 30.0)
 RISKS = ("low", "moderate", "high", "critical")
 
 
@@ -19,8 +23,8 @@ def chill_hours(temp: Column) -> Column:
 
 
 def chill_fraction(hours: Column, required: Column) -> Column:
-    """Of the requirement, at most 1; null where none is known."""
-    return F.when(required > 0, F.least(F.lit(1.0), hours / required))
+    """Of the requirement; null where none is known."""
+    return F.when(required > 0, hours / F.nullif(required, F.lit(0.0)))
 
 
 def growing_degrees(tmin: Column, tmax: Column, base: float = GDD_BASE_C) -> Column:
@@ -33,9 +37,13 @@ def frost_risk(temp: Column, t10: Column, t90: Column) -> Column:
     return F.when(temp <= t90, "critical").when(temp <= t10, "high").when(temp <= t10 + 2.0, "moderate").otherwise("low")
 
 
-def favourable_share(temp: Column, low: float, high: float) -> Column:
+def favourable_share(temp: Column, low: float = FLY_RANGE_C[0], high: float = FLY_RANGE_C[1]) -> Column:
     """An aggregate: the share of hours in a pest's range."""
-    return F.count_if(temp.between(low, high)) / F.count(temp)
+    return F.count_if(temp.between(low, high)) / F.greatest(F.count(F.lit(1)), F.lit(1))
+
+
+def fly_risk(share: Column) -> Column:
+    return F.when(share >= 0.5, "high").when(share >= 0.25, "moderate").otherwise("low")
 
 
 def rain_crack_risk(stage_is_ripe: Column, rain_mm: Column) -> Column:

@@ -107,8 +107,8 @@ modal AS (
 @query(
     "dose_trend_modal_group",
     _DOSE
-    + """SELECT product, 'dose' AS kind, round(slope, 3) AS slope, round(intercept, 3) AS intercept, n_periods,
-       round(0.5 * least(1.0, abs(slope) * n_periods / mean) * least(1.0, n_periods / 6.0), 3) AS importance
+    + """SELECT product, 'dose' AS kind, round(slope, 8) AS slope, round(intercept, 8) AS intercept, n_periods,
+       round(0.5 * least(1.0, abs(slope) * n_periods / mean) * least(1.0, n_periods / 6.0), 8) AS importance
 FROM t WHERE abs(slope) * n_periods / mean >= 0.15""",
 )
 def dose_trend_modal_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ def dose_trend_modal_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = events.agg(F.min("week").alias("start"))
     events = events.crossJoin(F.broadcast(start)).withColumn("x", F.date_diff("week", "start") / 7.0)
     means = trends.dose_means(events, "product", "x", "value", "unit", "event_id")
-    return trends.dose_patterns(means, "product", "x").withColumns(_r(["slope", "intercept", "importance"], 3))
+    return trends.dose_patterns(means, "product", "x").withColumns(_r(["slope", "intercept", "importance"], 8))
 
 
 @query(
