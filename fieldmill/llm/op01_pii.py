@@ -88,7 +88,7 @@ def _n_digits(word: Column) -> Column:
 
 
 def _base(text: Column) -> Column:
-    """All base spans, array<struct<start,end,kind>>, by kind. A cheap test keeps most texts from an expression that can't match."""
+    """All base spans, array<struct<start,end,kind,value>>, by kind. A cheap test keeps most texts from an expression that can't match."""
     none = F.array().cast("array<struct<start:int,end:int,word:string,before:string>>")
     has_digit = text.rlike("[0-9]")
     places = {
@@ -101,7 +101,7 @@ def _base(text: Column) -> Column:
 
 
 def _with_kind(places: Column, kind: str) -> Column:
-    return F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(kind).alias("kind")))
+    return F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(kind).alias("kind"), p["word"].alias("value")))
 
 
 def _kind_order(kind: Column) -> Column:
@@ -109,8 +109,12 @@ def _kind_order(kind: Column) -> Column:
 
 
 def _sorted(spans: Column) -> Column:
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), _kind_order(s["kind"]).alias("order"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return F.transform(by_start, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), _kind_order(s["kind"]).alias("order"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
+    return F.transform(by_start, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+
+
+def _without_value(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -123,7 +127,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _instances(found: DataFrame) -> DataFrame:
-    """A row for each distinct place of a word: text key, span, stripped word, kind of the base span it begins or null, whether a base span covers any of it, and its patterns."""
+    """A row for each distinct place of a word: text key, span, stripped word (of a seed the base span's text), kind of the base span it begins or null, whether a base span covers any of it, and its patterns."""
     rows = found.where(F.size("words") > 0).dropDuplicates(["doc_id", f"{OWN}text"]).select("doc_id", f"{OWN}text", "base", F.posexplode("words").alias("i", "w"))
     bare = F.regexp_extract("w.word", r"^[^\p{L}\p{N}(+]*+(.*?)[^\p{L}\p{N}]*$", 1)
     start = F.col("w.start") + F.length(F.regexp_extract("w.word", r"^([^\p{L}\p{N}(+]*+)", 1))
@@ -134,7 +138,7 @@ def _instances(found: DataFrame) -> DataFrame:
     one = F.regexp_extract("before", r"(\S+)\s*$", 1)
     two = F.regexp_extract("before", r"(\S+\s+\S+)\s*$", 1)
     patterns = F.filter(F.array(one, F.regexp_replace(two, r"\s+", " ")), lambda p: F.length(p) > 0)
-    return rows.select("doc_id", f"{OWN}text", "start", "end", "word", F.get(begins, F.lit(0))["kind"].alias("seed"), covers.alias("covered"), F.array_distinct(patterns).alias("patterns"))
+    return rows.select("doc_id", f"{OWN}text", "start", "end", F.coalesce(F.get(begins, F.lit(0))["value"], F.col("word")).alias("word"), F.get(begins, F.lit(0))["kind"].alias("seed"), covers.alias("covered"), F.array_distinct(patterns).alias("patterns"))
 
 
 def bootstrap(instances: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +167,7 @@ def added_spans(found: DataFrame) -> DataFrame:
     hits = free.join(patterns.select("kind", "pattern"), "pattern").join(reached.select("kind", "word"), ["kind", "word"])
     # one kind a place: the first in the order of kinds
     best = hits.groupBy("doc_id", f"{OWN}text", "start", "end").agg(F.min(_kind_order(F.col("kind"))).alias("order"))
-    span = F.struct("start", "end", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("order").cast("int")).alias("kind"))
+    span = F.struct("start", "end", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("order").cast("int")).alias("kind"), F.lit(None).cast("string").alias("value"))
     return best.groupBy("doc_id", f"{OWN}text").agg(F.collect_list(span).alias("added"))
 
 
@@ -172,8 +176,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     found = checkpoint(base_spans(docs))
     added = added_spans(found)
     joined = found.alias("f").join(added.alias("a"), F.col("f.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col(f"f.{OWN}text") == F.col(f"a.{OWN}text")), "left")
-    every = F.when(F.col("a.added").isNull(), F.col("f.base")).otherwise(_sorted(F.concat("f.base", F.coalesce("a.added", F.array().cast("array<struct<start:int,end:int,kind:string>>")))))
-    return joined.select("f.doc_id", "f.base", every.alias("spans"))
+    every = F.when(F.col("a.added").isNull(), F.col("f.base")).otherwise(_sorted(F.concat("f.base", F.coalesce("a.added", F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")))))
+    return joined.select("f.doc_id", _without_value(F.col("f.base")).alias("base"), _without_value(every).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -186,7 +190,7 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = _base(text)
     if key.head(1):
         rows = docs.join(key.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(key[f"{OWN}id"]) & (F.xxhash64(text) == key[f"{OWN}key"]), "left")
-        spans = F.concat(spans, F.coalesce(f"{OWN}added", F.array().cast("array<struct<start:int,end:int,kind:string>>")))
+        spans = F.concat(spans, F.coalesce(f"{OWN}added", F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")))
     rows = rows.withColumn(f"{OWN}spans", _sorted(spans))
     kind = "struct<at:int,out:string>"
 
