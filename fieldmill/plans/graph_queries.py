@@ -204,9 +204,10 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("furniture_lines")
 def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that repeat over the documents of a source, as if these were its pages."""
-    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    edge = rows.where(F.length("text").between(6, 90))
+    """First and last lines that repeat over the documents of a source, as if these were its pages."""
+    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page"), F.split("text", "\n").alias("l"))
+    edges = F.array_distinct(F.array(F.struct(F.lit(0).alias("pos"), F.col("l")[0].alias("text")), F.struct(F.lit(1).alias("pos"), F.element_at("l", -1).alias("text"))))
+    edge = rows.select("doc_id", "page", F.explode(edges).alias("e")).select("doc_id", "page", "e.*").where(F.length("text").between(6, 90))
     return structure.repeating_furniture(edge, least=3, share=0.05)
 
 
