@@ -79,8 +79,12 @@ class Automaton:
         self.target = [0] * n
         #: u << 20 | v -> rank of the gadget that took arc v from the state after u.
         self.taken: dict[int, int] = {}
+        #: Tokens that no reading has: their parts never meet.
+        self.unread: set[int] = set()
         for rank, (x, y) in enumerate(merges):
             self._gadget(rank, vocab[x], vocab[y], vocab[x + y])
+        if self.unread:
+            vocab = self.vocab = {label: t for label, t in vocab.items() if t not in self.unread}
         #: The labels as a trie: node << 8 | byte -> node. The node of a label is its token, the others have higher numbers.
         self.step: dict[int, int] = {}
         self.inner = n
@@ -101,7 +105,9 @@ class Automaton:
         self._arcs: dict[int, bool] = {}
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        if self.rank[w] >= 0:  # a second way to make w never applies: its arc exists
+        if self.rank[w] >= 0 or u in self.unread or v in self.unread or not self._arc_at(u, v):
+            if self.rank[w] < 0:  # v never follows u, so that w is in no reading
+                self.unread.add(w)
             return
         after_v = self.target[v]
         self.states.append((self.target[u], v))
@@ -110,32 +116,34 @@ class Automaton:
         self.taken[u << 20 | v] = rank
         self.left[w], self.right[w], self.rank[w] = u, v, rank
 
-    def has_arc(self, token: int, arc: int) -> bool:
+    def _arc_at(self, token: int, arc: int) -> bool:
         """Whether the state after ``token`` has an arc with this label.
 
         Gadgets are undone from the last one: the arc that was at the state before is
         the left part, and the state is that after the right part. The arc is missing
         if a gadget took it while both were as they are at that point.
         """
+        left, right, rank, taken = self.left, self.right, self.rank, self.taken
+        before = 1e9
+        while True:
+            at = taken.get(token << 20 | arc)
+            if at is not None and at < before:
+                return False
+            if rank[token] > rank[arc]:
+                before, token = rank[token], right[token]
+            elif rank[arc] >= 0:  # of equal merges side by side the first is made
+                before, arc = rank[arc] + 0.5, left[arc]
+            else:
+                return True
+
+    def has_arc(self, token: int, arc: int) -> bool:
+        """:meth:`_arc_at`, remembered."""
         key = token << 20 | arc
         known = self._arcs.get(key)
         if known is None:
-            left, right, rank, taken = self.left, self.right, self.rank, self.taken
-            known, before = True, 1e9
-            while True:
-                at = taken.get(token << 20 | arc)
-                if at is not None and at < before:
-                    known = False
-                    break
-                if rank[token] > rank[arc]:
-                    before, token = rank[token], right[token]
-                elif rank[arc] >= 0:  # of equal merges side by side the first is made
-                    before, arc = rank[arc] + 0.5, left[arc]
-                else:
-                    break
             if len(self._arcs) >= REMEMBERED_WORDS:
                 self._arcs.clear()
-            self._arcs[key] = known
+            known = self._arcs[key] = self._arc_at(token, arc)
         return known
 
     def longest_arc(self, rest: bytes) -> int:
