@@ -38,7 +38,7 @@ TEMPER = 0.5
 TOLERANCE = 1e-4
 #: Rounds between two looks at the margins, and the most looks; targets that contradict each other never fit.
 ROUNDS_A_CHECK = 4
-MOST_CHECKS = 12
+MOST_CHECKS = 30
 MOST_SCALES = 30
 SMALL_TABLE = 100_000
 SEED = 17
@@ -106,10 +106,13 @@ def rake(cells: DataFrame, small: bool, targets: dict[str, dict[str, float]] | N
     found = found.withColumns({f"{OWN}{m}": F.col(f"{OWN}{m}") / F.lit(float(wanted[m])) for m in MARGINS}).withColumn("weight", F.col("tokens") / F.lit(float(totals)))
     found = checkpoint(found.coalesce(1) if small else found)
     for _ in range(MOST_CHECKS):
-        for m in MARGINS * ROUNDS_A_CHECK:
+        for m in MARGINS * (ROUNDS_A_CHECK if small else 1):
             scaled = F.when(F.col(f"{OWN}sum") > 0, F.col("weight") * F.col(f"{OWN}{m}") / F.col(f"{OWN}sum")).otherwise(F.lit(0.0))
             found = _with_sum(found, m, small).withColumn("weight", scaled).drop(f"{OWN}sum")
-        found = checkpoint(found)
+            if not small:  # a join with its own sums doubles the plan
+                found = checkpoint(found)
+        if small:
+            found = checkpoint(found)
         gaps = [found.groupBy(m).agg((F.abs(F.sum("weight") - F.first(f"{OWN}{m}")) / F.greatest(F.first(f"{OWN}{m}"), F.lit(1e-12))).alias("gap")) for m in MARGINS[:-1]]
         if (gaps[0].union(gaps[1]).agg(F.max("gap")).first()[0] or 0.0) <= TOLERANCE:
             break
