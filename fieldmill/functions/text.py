@@ -240,7 +240,9 @@ def time_hints(query: Column) -> Column:
     months = F.array_compact(F.array(*[F.when(F.regexp(q, F.lit(rf"\b{name}\b")), F.lit(n)) for name, n in _MONTHS.items()]))
     number = F.create_map(*[F.lit(x) for pair in _MONTHS.items() for x in pair])
     found = F.regexp_extract_all(q, F.lit(r"\b(\d{1,2} [a-z]+ 20[0-3]\d)\b"), F.lit(1))
-    dates = F.transform(found, lambda d: F.try_make_date(F.split_part(d, F.lit(" "), F.lit(3)).cast("int"), F.try_element_at(number, F.split_part(d, F.lit(" "), F.lit(2))), F.split_part(d, F.lit(" "), F.lit(1)).cast("int")))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    part = lambda d, n: F.split_part(d, F.lit(" "), F.lit(n))
+    dates = F.transform(found, lambda d: F.try_to_date(F.concat_ws("-", part(d, 3), two(F.coalesce(F.try_element_at(number, part(d, 2)), F.lit(0))), two(part(d, 1)))))
     return F.struct(years.alias("years"), months.alias("months"), F.array_distinct(F.array_compact(dates)).alias("dates"))
 
 
