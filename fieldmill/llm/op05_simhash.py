@@ -49,6 +49,8 @@ PIVOTS = 24
 PIVOT_SEED = 7
 #: Fingerprints of a key that a group holds; two of these chunks meet at a time.
 CHUNK = 1024
+#: Rows of a fingerprint with more than this part of all rows don't go through a shuffle.
+HOT_SHARE = 1000
 BLOCK_BYTES = 4 << 20
 _HASHED_AT_ONCE = 1 << 14
 
@@ -206,15 +208,24 @@ def links(distinct: DataFrame, n_rows: int, max_bits: int = MAX_BITS, chunk: int
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach, of each row of ``docs``."""
     prints = checkpoint(fingerprints(docs, shingle))
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    tree = connected_components(links(distinct.select("fp"), distinct.count(), max_bits))
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    n_distinct, n_rows = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tree = connected_components(links(distinct.select("fp"), n_distinct, max_bits))
     # the smallest doc_id of each component, then of each fingerprint in one
     members = tree.select(F.col("node").alias("fp"), "root").union(tree.select(F.col("root").alias("fp"), "root").distinct())
     members = members.join(distinct, "fp")
     smallest = members.groupBy("root").agg(F.min("first").alias("smallest"))
     joined = members.join(smallest, "root").select("fp", "smallest")
-    labels = distinct.join(joined, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = distinct.join(joined, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"), "n")
+    return _labelled(prints, checkpoint(labels), n_rows)
+
+
+def _labelled(prints: DataFrame, labels: DataFrame, n_rows: int) -> DataFrame:
+    """The rows with the component of their fingerprint. A fingerprint with more than one in HOT_SHARE rows is hot. There are fewer than HOT_SHARE of these, so they are broadcast and their rows stay where they are."""
+    is_hot = F.col("n") > n_rows / HOT_SHARE
+    hot = F.broadcast(labels.where(is_hot).select("fp", "component_id"))
+    cold = prints.join(hot.select("fp"), "fp", "left_anti").join(labels.where(~is_hot).select("fp", "component_id"), "fp")
+    return prints.join(hot, "fp").unionByName(cold).select("doc_id", "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
