@@ -112,3 +112,43 @@ def score_answers(rows: DataFrame) -> DataFrame:
 def within_length(rows: DataFrame, tokens: str, most: int) -> DataFrame:
     """Examples that are too long are dropped, never cut."""
     return rows.where(F.col(tokens) <= most)
+
+
+def card_examples(cards: DataFrame, held_out: DataFrame, hits: DataFrame) -> DataFrame:
+    """Examples of three kinds for each card: its answer (sft), the answer over the worst reaction (preference), and the correction of it (reflection).
+
+    A card is skipped, with the reason, if it is held out, names a dose, has no worst reaction, or is not among the hits of its own question
+    (hits: card_no, found).
+    """
+    rows = cards.join(held_out.select("card_no").distinct().withColumn("__held", F.lit(True)), "card_no", "left").join(hits, "card_no", "left")
+    text = F.concat_ws(" ", "observation", "action", "consequence", "why")
+    dose = F.regexp(text, F.lit(r"(?i)\d+(?:[.,]\d+)?\s*(?:ml|l|liter|kg|g|gram)\b"))
+    skip = F.when(F.col("__held"), "held out").when(dose, "names a dose").when(F.coalesce("worst_case", F.lit("")) == "", "no worst reaction").when(~F.coalesce("found", F.lit(False)), "not retrieved")
+    answer = F.concat_ws("\n", F.concat(F.lit("Actie: "), "action"), F.when(F.coalesce("why", F.lit("")) != "", F.concat(F.lit("Waarom: "), "why")), F.concat(F.lit("Vermijd: "), "worst_case"), F.concat(F.lit("Bronnen: "), F.coalesce("sources", F.lit("kaart"))))
+    worst = F.concat(F.lit("Actie: "), "worst_case")
+    kinds = F.array(F.struct(F.lit("sft").alias("kind"), answer.alias("chosen"), F.lit(None).cast("string").alias("rejected")), F.struct(F.lit("preference").alias("kind"), answer.alias("chosen"), worst.alias("rejected")), F.struct(F.lit("reflection").alias("kind"), answer.alias("chosen"), worst.alias("rejected")))
+    return rows.select("card_no", F.col("observation").alias("question"), skip.alias("skipped"), F.explode(F.when(skip.isNull(), kinds).otherwise(F.array(F.struct(F.lit("skipped").alias("kind"), F.lit(None).cast("string").alias("chosen"), F.lit(None).cast("string").alias("rejected"))))).alias("e")).select("card_no", "question", "skipped", "e.*")
+
+
+def log_examples(entries: DataFrame, distractors: int = 3, seed: int = 1) -> DataFrame:
+    """A question for each day of the log with the day's entries and, in hash order, entries of other days; the answer is the day's own.
+
+    Distractors are those that follow the day on a ring of all entries in hash order, by position, so that nothing is compared with everything.
+    """
+    days = entries.groupBy("day").agg(F.array_sort(F.collect_list("text")).alias("own"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "day"), F.lit(1024))
+    ring = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 1), "day"), "day")
+    rows = days.withColumn("bucket", bucket)
+    others = F.array_compact(F.array(*[F.lead(F.col("own")[0], i).over(ring) for i in range(1, distractors + 1)]))
+    rows = rows.withColumn("others", others)
+    return rows.select("day", F.concat(F.lit("Wat is er gedaan op "), F.date_format("day", "yyyy-MM-dd"), F.lit("?")).alias("question"), F.concat("own", "others").alias("context"), F.array_join("own", "; ").alias("answer"))
+
+
+def templated_examples(templates: DataFrame, targets: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """n distinct questions from templates (template with %s, weight) and targets, heavier templates first by a weighted hash."""
+    pairs = targets.crossJoin(F.broadcast(templates))
+    u = (F.xxhash64(F.lit(seed), "template", "target").bitwiseAND(F.lit((1 << 53) - 1)) + 1) / F.lit(float((1 << 53) + 1))
+    question = F.replace("template", F.lit("%s"), F.col("target"))
+    rows = pairs.select(question.alias("question"), "target", (-F.log(u) / F.col("weight")).alias("key"))
+    rows = rows.groupBy("question", "target").agg(F.min("key").alias("key"))
+    return rows.orderBy("key", "question").limit(n).drop("key")
