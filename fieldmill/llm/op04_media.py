@@ -14,7 +14,7 @@ AC coefficients, of which it keeps the luminance DC. Restart intervals are
 independent of each other, so they are decoded side by side: one numpy step
 takes one symbol of every interval, over all images of a block of rows.
 
-Memory is bounded by ``BLOCK_BYTES`` of payload at a time, and by the largest text.
+Working memory is bounded by ``BLOCK_BYTES`` of payload at a time; of a longer text only its bytes are held.
 
 Defined results: a null text is the empty payload, which is padded like any other;
 equal texts have equal bytes and features; repeated rows are stored one by one; an
@@ -110,7 +110,22 @@ def _header(rows: int) -> bytes:
 
 
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
-    """The stored form of each payload; each is a positive multiple of ``WIDTH`` long."""
+    """The stored form of each payload; each is a positive multiple of ``WIDTH`` long. Images are written a block at a time."""
+    most = WIDTH * MOST_ROWS
+    images = [p[i : i + most] for p in payloads for i in range(0, len(p), most)]
+    stored: list[bytes] = []
+    start = size = 0
+    for k, image in enumerate(images):
+        if size and size + len(image) > BLOCK_BYTES:
+            stored += _encode_images(images[start:k])
+            start, size = k, 0
+        size += len(image)
+    stored += _encode_images(images[start:])
+    done = iter(stored)
+    return [b"".join(next(done) for _ in range(0, len(p), most)) for p in payloads]
+
+
+def _encode_images(payloads: list[bytes]) -> list[bytes]:
     samples = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, WIDTH).astype(np.int64)
     diff = samples.copy()
     diff[:, 1:] -= samples[:, :-1]
@@ -138,16 +153,13 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     first = first + np.searchsorted(stuffed, first, side="left")
     plain = data.tobytes()
     for payload in payloads:
-        parts, n = [], len(payload) // WIDTH
-        for top in range(0, n, MOST_ROWS):
-            rows = min(MOST_ROWS, n - top)
-            parts.append(_header(rows))
-            for k in range(rows):
-                if k:
-                    parts.append(bytes([0xFF, 0xD0 + (k - 1) % 8]))
-                parts.append(plain[first[row + top + k] : first[row + top + k + 1]])
-            parts.append(b"\xff\xd9")
-        out.append(b"".join(parts))
+        n = len(payload) // WIDTH
+        parts = [_header(n)]
+        for k in range(n):
+            if k:
+                parts.append(bytes([0xFF, 0xD0 + (k - 1) % 8]))
+            parts.append(plain[first[row + k] : first[row + k + 1]])
+        out.append(b"".join([*parts, b"\xff\xd9"]))
         row += n
     return out
 
@@ -266,6 +278,16 @@ def _scan(frame: Frame, data: bytes, body: bytes, at: int) -> int:
     return i
 
 
+def _decode_in_blocks(plan: tuple, data: bytes, intervals: list[tuple[int, int, int]]) -> Iterator[np.ndarray]:
+    """Of each interval in order, with about ``BLOCK_BYTES`` of scan data at a time."""
+    start = 0
+    for k in range(1, len(intervals) + 1):
+        if k == len(intervals) or intervals[k][1] - intervals[start][0] > 2 * BLOCK_BYTES:
+            low, high = intervals[start][0], intervals[k - 1][1]
+            yield from _decode_intervals(plan, data[low:high], [(s - low, e - low, m) for s, e, m in intervals[start:k]])
+            start = k
+
+
 def _decode_intervals(plan: tuple, data: bytes, intervals: list[tuple[int, int, int]]) -> list[np.ndarray]:
     """The luminance DC coefficients of each interval, in the order of their blocks."""
     raw = np.frombuffer(data, dtype=np.uint8)
@@ -368,7 +390,7 @@ def dc_thumbnails(stored: list[bytes]) -> list[list[np.ndarray]]:
     for k, images in enumerate(frames):
         for f in images:
             by_plan.setdefault(f.plan, []).extend((s + offsets[k], e + offsets[k], m) for s, e, m in f.intervals)
-    coefficients = {plan: iter(_decode_intervals(plan, data, iv)) for plan, iv in by_plan.items()}
+    coefficients = {plan: _decode_in_blocks(plan, data, iv) for plan, iv in by_plan.items()}
     out = []
     for images in frames:
         thumbs = []
