@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmill.llm import op01_pii, op05_simhash, op06_language_id, op08_bpe, op09_mixing
+from fieldmill.llm import near_copies, op01_pii, op06_language_id, op08_bpe, op09_mixing
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id."""
-    return op05_simhash.keep_representatives(docs)
+    """One document of each group of near-duplicates (five-word Jaccard 0.8 or more) stays: that with the smallest doc_id."""
+    return near_copies.keep_representatives(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

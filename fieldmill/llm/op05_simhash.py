@@ -230,7 +230,11 @@ def _labelled(prints: DataFrame, labels: DataFrame, n_rows: int) -> DataFrame:
 
 def keep_representatives(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest doc_id, the first of equal rows."""
-    found = near_duplicates(docs, shingle, max_bits)
+    return representatives(docs, near_duplicates(docs, shingle, max_bits))
+
+
+def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their component_id in ``found``, once each."""
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias(f"{OWN}n"))
     kept = kept.select(F.col("doc_id").alias(f"{OWN}id"), f"{OWN}n")
     rows = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept[f"{OWN}id"])).drop(f"{OWN}id")
