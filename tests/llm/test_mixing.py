@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from fieldmill.llm import op09_mixing as mixing
 
@@ -64,3 +65,37 @@ def test_defined_cases(odd_docs, no_docs):
     assert mixing.sample(no_docs).count() == 0
     only = mixing.sample(odd_docs, targets={"source": {"src0": 1.0}})
     assert only.columns == odd_docs.columns and only.where("source IS NULL OR source <> 'src0'").count() == 0
+
+
+def correlated(spark, few):
+    """Sources that almost determine the language, so that the first rounds hardly lower the gap."""
+    rows = [("a", "x", "t", 10_000.0), ("b", "y", "t", 10_000.0), ("a", "y", "t", few)]
+    return spark.createDataFrame(rows, "source string, lang string, topic string, tokens double").coalesce(1)
+
+
+SLOW = {"source": {"a": 0.6, "b": 0.4}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"t": 1.0}}
+
+
+def test_slow_convergence_goes_on_until_it_fits(spark):
+    rows = mixing.rake(correlated(spark, 1.0), True, SLOW).collect()
+    for m, wanted in SLOW.items():
+        for value, share in wanted.items():
+            assert abs(sum(r["weight"] for r in rows if r[m] == value) - share) <= mixing.TOLERANCE * share
+
+
+def test_same_rounds_at_every_size(spark):
+    small, large = ({(r["source"], r["lang"]): r["weight"] for r in mixing.rake(correlated(spark, 3000.0), s, SLOW).collect()} for s in (True, False))
+    assert small.keys() == large.keys() and all(abs(small[k] - large[k]) < 1e-12 for k in small)
+
+
+def test_targets_that_the_cells_cannot_meet_are_reported(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 5.0), ("b", "y", "t", 5.0)], "source string, lang string, topic string, tokens double").coalesce(1)
+    with pytest.warns(UserWarning, match="can't meet the targets together"):
+        mixing.rake(cells, True, SLOW).collect()
+
+
+def test_budget_is_spent_however_many_cells_run_out(spark):
+    n = 40
+    cells = spark.createDataFrame([(f"s{i}", 2.0**i, 4.0 ** -min(i, n - 2)) for i in range(n)], "source string, tokens double, weight double")
+    found = mixing.calibrate(cells.coalesce(1), 0.9999).collect()
+    assert abs(sum(r["tokens"] * r["probability"] for r in found) / sum(r["tokens"] for r in found) - 0.9999) < 1e-9
