@@ -84,7 +84,7 @@ def test_slow_convergence_goes_on_until_it_fits(spark):
 
 
 def test_same_rounds_at_every_size(spark):
-    small, large = ({(r["source"], r["lang"]): r["weight"] for r in mixing.rake(correlated(spark, 3000.0), s, SLOW).collect()} for s in (True, False))
+    small, large = ({(r["source"], r["lang"]): r["weight"] for r in mixing.rake(correlated(spark, 30_000.0), s, SLOW).collect()} for s in (True, False))
     assert small.keys() == large.keys() and all(abs(small[k] - large[k]) < 1e-12 for k in small)
 
 
