@@ -11,8 +11,9 @@ space, and a text begins and ends with one. There are ``SYMBOLS`` symbols: the
 space, a to z, and a hash for every other letter, so that the table of trigram
 vectors is bounded whatever the scripts. Training sums over all documents that
 are not held out: each task adds up its own documents, and one vector a language
-and task is shuffled. Only the languages' vectors come to the driver, whose size
-is that of the set of languages.
+and task is shuffled. Only the languages' vectors come to the driver, and more than
+``MOST_LANGUAGES`` of them are an error. Workers keep trigram vectors as bytes and drop
+them with the end of a task.
 
 Defined results: a text that is null or has no letter gets ``und`` with score 0,
 as does every text if nothing can be learned. Documents with a null lang or
@@ -38,15 +39,19 @@ DIMENSIONS = 512
 SYMBOLS = 128
 SEED = 20240607
 #: Trigram vectors that a worker keeps at once.
-KEPT_TRIGRAMS = 24_000
+KEPT_TRIGRAMS = 12_000
+#: Trigrams that are added up at once; at most KEPT_TRIGRAMS.
+BUNDLED_AT_ONCE = 2_000
+#: Learned lang values; their vectors come to the driver and go to every task.
+MOST_LANGUAGES = 5_000
 BLOCK_BYTES = 4 << 20
 
 
 @cache
 def _symbols() -> np.ndarray:
     """By code point: 0 for no letter, 1-26 for a to z, else a hash up to ``SYMBOLS`` - 1."""
-    found = np.zeros(0x110000, dtype=np.int32)
-    letters = np.array([c for c in range(0x110000) if chr(c).isalpha()])
+    found = np.zeros(0x110000, dtype=np.uint8)
+    letters = np.fromiter((c for c in range(0x110000) if chr(c).isalpha()), dtype=np.int64)
     found[letters] = 27 + (letters * 2654435761 >> 7) % (SYMBOLS - 27)
     found[97:123] = np.arange(1, 27)
     return found
@@ -59,7 +64,7 @@ def _letters() -> np.ndarray:
 
 def trigrams(text: str) -> np.ndarray:
     """Ids of all trigrams in order; none if the text has no letter."""
-    symbols = _symbols()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32)]
+    symbols = _symbols()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32)].astype(np.int32)
     letter = symbols > 0
     if not letter.any():
         return np.zeros(0, dtype=np.int32)
@@ -76,14 +81,15 @@ class TrigramVectors:
 
     def __init__(self) -> None:
         self.row = np.full(SYMBOLS**3, -1, dtype=np.int32)
-        self.vectors = np.empty((KEPT_TRIGRAMS, DIMENSIONS), dtype=np.float32)
+        self.vectors = np.empty((KEPT_TRIGRAMS, DIMENSIONS), dtype=np.int8)
         self.used = 0
 
     def bundle(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         total = np.zeros(DIMENSIONS)
-        for i in range(0, len(ids), KEPT_TRIGRAMS):
-            part = ids[i : i + KEPT_TRIGRAMS]
-            total += counts[i : i + KEPT_TRIGRAMS].astype(np.float32) @ self._rows(part)
+        at_once = min(BUNDLED_AT_ONCE, KEPT_TRIGRAMS)
+        for i in range(0, len(ids), at_once):
+            part = ids[i : i + at_once]
+            total += counts[i : i + at_once].astype(np.float32) @ self._rows(part).astype(np.float32)
         return total
 
     def _rows(self, ids: np.ndarray) -> np.ndarray:
@@ -126,13 +132,17 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
                     counts = np.bincount(np.concatenate(parts))
                     ids = np.flatnonzero(counts)
                     total[lang] = total.get(lang, 0) + _vectors().bundle(ids, counts[ids])
+        _vectors.cache_clear()
         for lang, vector in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(vector)], ["lang", "at", "value"])
 
     # the parts are whole numbers, so that their sum doesn't depend on the order
     sums = labelled.select("text", "lang").mapInArrow(run, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
     vectors: dict[str, np.ndarray] = {}
-    for lang, at, value in sums.collect():
+    found = sums.limit(MOST_LANGUAGES * DIMENSIONS + 1).collect()
+    if len(found) > MOST_LANGUAGES * DIMENSIONS:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: their vectors would not fit on the driver")
+    for lang, at, value in found:
         vectors.setdefault(lang, np.zeros(DIMENSIONS))[at] = value
     return {lang: v / np.linalg.norm(v) for lang, v in sorted(vectors.items()) if v.any()}
 
@@ -157,6 +167,7 @@ def predict(docs: DataFrame, languages: dict[str, np.ndarray], lang_column: str,
                     found.append(names[best])
                     scores.append(float(min(1.0, max(0.0, cosines[best]))))
                 yield pa.RecordBatch.from_arrays([*block.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*block.schema.names, lang_column, score_column])
+        _vectors.cache_clear()
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     return docs.mapInArrow(run, f"{schema}, `{lang_column}` string, `{score_column}` double")
@@ -179,8 +190,9 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those in which no language is found: null texts and texts without a letter."""
-    return predict(docs, learn(training_rows(docs)), f"{OWN}lang", f"{OWN}score").where(F.col(f"{OWN}lang") != UNKNOWN).select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` without those in which no language is found: null texts and texts without a letter. A null lang becomes the predicted one."""
+    found = predict(docs, learn(training_rows(docs)), f"{OWN}lang", f"{OWN}score").where(F.col(f"{OWN}lang") != UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", f"{OWN}lang")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

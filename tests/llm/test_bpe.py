@@ -51,9 +51,10 @@ def test_gadgets_equal_merging_on_small_vocabularies():
                 merges.append((a, b))
                 tokens.append(a + b)
         automaton = bpe.Automaton({t: i for i, t in enumerate(tokens)}, merges)
-        for _ in range(60):
-            word = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14)))
+        words = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+        for word, ids in zip(words, automaton.encode_all(words), strict=True):
             assert [tokens[i] for i in automaton.encode(word)] == merged(word, merges)
+            assert memoryview(ids).cast("I").tolist() == automaton.encode(word)
         assert len(automaton.states) + len(automaton.unread) == len(merges) + 1
 
 
@@ -76,3 +77,13 @@ def test_defined_cases(odd_docs, no_docs):
 def test_vocabulary_without_a_byte():
     with pytest.raises(ValueError):
         bpe.Automaton({b"a": 0}, []).encode(b"ab")
+    with pytest.raises(ValueError):
+        bpe.Automaton({b"a": 0}, []).encode_all([b"a", b"ab"])
+
+
+def test_long_words_read_alone_equal_those_read_side_by_side(library, model):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("ethaoin") for _ in range(n)) for n in (1, 63, 64, 65, 200, 20_000)]
+    for word in words:
+        ids = library.encode(word, add_special_tokens=False).ids
+        assert model.automaton.encode(word.encode()) == ids == memoryview(model.encode(word)).cast("I").tolist()

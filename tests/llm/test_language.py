@@ -48,3 +48,41 @@ def test_defined_cases(odd_docs, no_docs):
     assert lang.identify_languages(no_docs).count() == 0
     kept = lang.keep_identified(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 3
+    assert kept.where("lang IS NULL").count() == 0
+
+
+def test_predictions_equal_profiles_by_definition(spark, sf_dir):
+    """Every prediction of a table against sums of bound vectors, written as loops."""
+    letters = lang._letters().astype(int)
+
+    def vector(text):
+        total = np.zeros(lang.DIMENSIONS)
+        for i in lang.trigrams(text or "").tolist():
+            a, b, c = i // lang.SYMBOLS**2, i // lang.SYMBOLS % lang.SYMBOLS, i % lang.SYMBOLS
+            total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return total
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars < 1500")
+    rows = docs.collect()
+    found = {r["doc_id"]: r for r in lang.identify_languages(docs).collect()}
+    vectors = {r["doc_id"]: vector(r["text"]) for r in rows}
+    profiles = {}
+    for r in rows:
+        if not found[r["doc_id"]]["held_out"] and r["text"] is not None and r["lang"] is not None:
+            profiles[r["lang"]] = profiles.get(r["lang"], 0) + vectors[r["doc_id"]]
+    for r in rows:
+        v = vectors[r["doc_id"]]
+        if not v.any():
+            continue
+        cosines = {k: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for k, p in profiles.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert found[r["doc_id"]]["lang_pred"] == best and abs(found[r["doc_id"]]["score"] - min(1, max(0, cosines[best]))) < 1e-9
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(lang, "MOST_LANGUAGES", 2)
+    rows = [(i, f"text number {x}", x) for i, x in enumerate("abcdef")]
+    with pytest.raises(ValueError, match="values of lang"):
+        lang.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
