@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return
 the columns of ``docs``.
+
+Defined results: null texts go in the first stage; rows with the same or no doc_id are
+documents of their own, unless their texts are near copies; an empty table gives an
+empty result with the last stage's columns; extra columns are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ from fieldmill.llm import near_copies, op01_pii, op06_language_id, op08_bpe, op0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter."""
+    """Documents without a language go: null texts and texts without a letter. A missing label becomes the predicted language."""
     return op06_language_id.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word Jaccard 0.8 or more) stays: that with the smallest doc_id."""
+    """One document of each group of near-duplicates (five-word Jaccard 0.8 or more) stays: that with the smallest doc_id. Candidates by SimHash with pivot tables, and by MinHash bands beyond its reach."""
     return near_copies.keep_representatives(docs)
 
 
