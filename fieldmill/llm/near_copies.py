@@ -1,22 +1,24 @@
-"""Near copies by the Jaccard similarity of word shingles, for the corpus pipeline.
+"""Near copies by the Jaccard similarity of word shingles: op05_simhash at a wider reach, for the corpus pipeline.
 
 Two texts link if the sets of their ``SHINGLE_WORDS``-word shingles have a Jaccard
-similarity of ``LEAST`` or more. Equal sets are one node, so copies never make
-pairs.
-
-Candidates share a band: ``ROWS`` of ``BANDS * ROWS`` MinHash values. A pair of
-similarity s misses all bands with probability (1 - s**ROWS)**BANDS, 3 in a million at
-0.8 and less above it. Every candidate is verified on the sets. First each node of a
-bucket is compared with one of the bucket, as often as ``STARS``; what these links
-connect needs no more comparisons, so a large group of near copies costs as much as
-its rows. In buckets that are still apart, all pairs of different components
+similarity of ``LEAST`` or more. Equal sets are one node, so copies never make pairs.
+
+Candidates come from two searches, and every one is verified on the sets:
+
+* SimHash of the sets: ``op05_simhash.links`` finds, by pivot distance tables, the fingerprints
+  that differ in at most three bits, which is where most near copies are;
+* a shared band: ``ROWS`` of ``BANDS * ROWS`` MinHash values. At a similarity of 0.8 about ten
+  of 64 bits differ, and pivot tables discard nothing at that distance, as random fingerprints
+  are all about as far from any pivot. A pair of similarity s misses all bands with
+  probability (1 - s**ROWS)**BANDS, 3 in a million at 0.8 and less above it.
+
+First each node of a bucket is compared with one of the bucket, as often as ``STARS``; what
+these links connect needs no more comparisons, so a large group of near copies costs
+as much as its rows. In buckets that are still apart, all pairs of different components
 meet: by pivot tables of Jaccard distances first (it is a metric, so a pair whose
 distances to any pivot differ by more than 1 - ``LEAST`` can't link), then by the sets
 of the survivors. A bucket with many nodes is dealt into chunks, and each pair of
-chunks is a group of its own.
-
-SimHash's block keys don't reach that far: at a similarity of 0.8 about ten of 64 bits
-differ, and blocks that are sure to leave one untouched have fewer than six bits.
+chunks is a group of its own. Sets are made again from the texts of candidates only.
 
 Defined results are those of ``op05_simhash``; texts without words are alike.
 """
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks, checkpoint, text_or_empty
 from .graph import connected_components
-from .op05_simhash import BLOCK_BYTES, HASH_SEED, HOT_SHARE, PIVOTS, _labelled, representatives
+from .op05_simhash import BITS, BLOCK_BYTES, HASH_SEED, HOT_SHARE, MOST_BROADCAST, PIVOTS, labelled, representatives
+from .op05_simhash import links as near_prints
 
 SHINGLE_WORDS = 5
 LEAST = 0.8
@@ -70,22 +73,41 @@ def band_keys(own: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed number."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for i in range(0, len(own), _AT_ONCE):
+        counts += np.unpackbits(own[i : i + _AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(own)).tobytes(), "big", signed=True)
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, the hash of its text, its node and the keys of its bands, for each row of ``docs``."""
+    """doc_id, the hash of its text (tie), its node (fp), SimHash and the keys of its bands, for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text", BLOCK_BYTES):
-                sets = [shingles(t) for t in block.column(2).to_pylist()]
-                nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), nodes, pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "tie", "node", "keys"])
+                nodes, prints, keys = [], [], []
+                for text in block.column(2).to_pylist():
+                    own = shingles(text)
+                    nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
+                    prints.append(fingerprint(own))
+                    keys.append(band_keys(own))
+                yield pa.RecordBatch.from_arrays(
+                    [block.column(0), block.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tie", "fp", "print", "keys"]
+                )
 
     plain = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("tie"), "text")
-    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, tie long, node long, keys array<long>")
+    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, tie long, fp long, print long, keys array<long>")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a checkpointed table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its shingles, from the text of one row of each wanted node (node, at: doc_id and tie)."""
+    """node and its shingles, from the text of one row of each wanted node (node, first: doc_id and tie)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,12 +115,21 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [shingles(t).tobytes() for t in block.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    one = wanted.select("node", F.col("at.doc_id").alias("id"), F.col("at.tie").alias("own"))
+    one = _small(checkpoint(wanted.select("node", F.col("first.doc_id").alias("id"), F.col("first.tie").alias("own"))))
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("tie"), "text")
     texts = rows.join(one, (F.col("tie") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text").dropDuplicates(["node"])
     return texts.mapInArrow(run, "node long, set binary")
 
 
+def _print_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes that connect all whose SimHash is equal or differs in three bits or fewer, if every one of them links."""
+    of = checkpoint(distinct.groupBy(F.col("print").alias("fp")).agg(F.min(F.col("fp")).alias("node")))
+    same = distinct.select("fp", "print").join(of.select(F.col("fp").alias("print"), "node"), "print").where("fp <> node").select(F.col("fp").alias("u"), F.col("node").alias("v"))
+    near = near_prints(of.select("fp"), of.count())
+    near = near.join(of.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(of.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v")
+    return same.union(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) that link. A v of more than one in HOT_SHARE pairs is broadcast, as there are fewer than HOT_SHARE of these."""
 
@@ -179,22 +210,20 @@ def _remaining_links(apart: DataFrame, sets: DataFrame, least: float, chunk: int
     return grouped.mapInArrow(run, "u long, v long")
 
 
-def near_copies(docs: DataFrame, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, fp (the node) and component_id, the smallest doc_id that links reach, of each row of ``docs``."""
+def _found(docs: DataFrame, least: float, chunk: int) -> DataFrame:
     prints = checkpoint(_sketches(docs))
-    distinct = checkpoint(prints.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    n_rows = prints.count()
-    # of the rows of a node one has its keys; partial aggregation leaves one a task
-    rows = prints.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = checkpoint(rows.join(shared, "key"))
-    sets = checkpoint(_sets(docs, distinct.join(members.select("node").distinct(), "node").select("node", "at")))
-    links = labels = None
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("print").alias("print"), F.first("keys").alias("keys")))
+    rows = distinct.select(F.col("fp").alias("node"), F.explode("keys").alias("key"))
+    # a frequent key is one row a task before it is shuffled
+    shared = checkpoint(rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"))
+    members = checkpoint(rows.join(_small(shared), "key"))
+    candidates = checkpoint(_print_pairs(distinct))
+    wanted = members.select("node").union(candidates.select("u")).union(candidates.select("v")).distinct()
+    sets = checkpoint(_sets(docs, wanted.join(distinct.select(F.col("fp").alias("node"), "first"), "node")))
+    links = checkpoint(_verified(candidates, sets, least))
     for k in range(STARS + 1):
-        if labels is None:
-            apart = members.withColumn("part", F.col("node"))
-        else:
-            apart = checkpoint(_apart(members, labels))
+        labels = connected_components(links).select("node", F.col("root").alias("part"))
+        apart = checkpoint(_apart(members, labels))
         if k < STARS:
             number = F.xxhash64("node", F.lit(k))
             least_of = apart.groupBy("key").agg(F.min(F.struct(number.alias("h"), "node", "part")).alias("m"))
@@ -202,16 +231,15 @@ def near_copies(docs: DataFrame, least: float = LEAST, chunk: int = CHUNK) -> Da
             found = _verified(checkpoint(pairs), sets, least)
         else:
             found = _remaining_links(apart, sets, least, chunk)
-        links = checkpoint(found if links is None else links.unionByName(found))
-        tree = checkpoint(connected_components(links))
-        labels = tree.select("node", F.col("root").alias("part"))
-    labels = labels.unionByName(labels.select(F.col("part").alias("node"), "part").distinct())
-    joined = distinct.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    smallest = joined.groupBy("part").agg(F.min("first").alias("component_id"))
-    found = joined.join(smallest, "part").select(F.col("node").alias("fp"), "component_id", "n")
-    return _labelled(prints.select("doc_id", F.col("node").alias("fp")), checkpoint(found), n_rows)
-
-
-def keep_representatives(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row of ``docs`` for each component: that with the smallest doc_id, the first of equal rows."""
-    return representatives(docs, near_copies(docs, least))
+        links = checkpoint(links.unionByName(found))
+    return labelled(prints.select("doc_id", "tie", "fp"), distinct.select("fp", "first", "n"), connected_components(links))
+
+
+def near_copies(docs: DataFrame, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, fp (the node) and component_id, the smallest doc_id that links reach, of each row of ``docs``."""
+    return _found(docs, least, chunk).select("doc_id", "fp", F.col("chosen.doc_id").alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
+    """One row of ``docs`` for each component: that with the smallest doc_id and, of these, hash of the text; one of equal rows."""
+    return representatives(docs, _found(docs, least, chunk))

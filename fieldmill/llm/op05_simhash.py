@@ -34,10 +34,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, blocks, checkpoint, table
+from .common import OWN, blocks, checkpoint, table, text_or_empty
 from .graph import connected_components
 
 BITS = 64
@@ -49,6 +49,8 @@ PIVOTS = 24
 PIVOT_SEED = 7
 #: Fingerprints of a key that a group holds; two of these chunks meet at a time.
 CHUNK = 1024
+#: Rows of a table that is broadcast.
+MOST_BROADCAST = 200_000
 #: Rows of a fingerprint with more than this part of all rows don't go through a shuffle.
 HOT_SHARE = 1000
 BLOCK_BYTES = 4 << 20
@@ -76,16 +78,16 @@ def simhash(text: str, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (long) of each row of ``docs``."""
+    """doc_id, tie (a hash of the text) and fp (long) of each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text", BLOCK_BYTES):
-                fps = np.array([simhash(t, shingle) for t in block.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                fps = np.array([simhash(t, shingle) for t in block.column(2).to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(fps.view(np.int64))], ["doc_id", "tie", "fp"])
 
-    plain = docs.select("doc_id", "text")
-    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, fp long")
+    plain = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("tie"), "text")
+    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, tie long, fp long")
 
 
 def block_masks(n: int, max_bits: int = MAX_BITS) -> list[int]:
@@ -108,10 +110,14 @@ def _pivots() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(PIVOT_SEED)).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
 
 
-def linked(a: np.ndarray, b: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """The distances of fingerprints (rows) to the pivots (columns)."""
+    return np.bitwise_count(fps[:, None] ^ _pivots()).astype(np.int8)
+
+
+def linked(a: np.ndarray, b: np.ndarray, max_bits: int = MAX_BITS, tables: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Which of the fingerprints a (rows) and b (columns) link: pivot tables first, then the bits of the survivors."""
-    pivots = _pivots()
-    ta, tb = (np.bitwise_count(x[:, None] ^ pivots).astype(np.int8) for x in (a, b))
+    ta, tb = tables or (pivot_table(a), pivot_table(b))
     alive = np.ones((len(a), len(b)), dtype=bool)
     for p in range(PIVOTS):
         alive &= np.abs(ta[:, p, None] - tb[None, :, p]) <= max_bits
@@ -120,15 +126,15 @@ def linked(a: np.ndarray, b: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray
     return alive
 
 
-def spanning_links(fps: np.ndarray, right: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
+def spanning_links(fps: np.ndarray, right: np.ndarray, table: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
     """A spanning forest of the links between the fingerprints that are not ``right`` and those that are; of all links if none is."""
     if right.any():
         a, b = np.flatnonzero(~right), np.flatnonzero(right)
         near = np.zeros((len(fps), len(fps)), dtype=bool)
-        near[np.ix_(a, b)] = linked(fps[a], fps[b], max_bits)
+        near[np.ix_(a, b)] = linked(fps[a], fps[b], max_bits, (table[a], table[b]))
         near |= near.T
     else:
-        near = linked(fps, fps, max_bits)
+        near = linked(fps, fps, max_bits, (table, table))
     waiting = np.ones(len(fps), dtype=bool)
     out = []
     for start in range(len(fps)):
@@ -168,22 +174,21 @@ def links(distinct: DataFrame, n_rows: int, max_bits: int = MAX_BITS, chunk: int
             v: list[int] = []
             edges = [0, *cuts.tolist(), len(fps)]
             sizes = np.diff(edges)
+            # one row of the pivot table for each fingerprint of the batch, in however many groups it is
+            distinct, row = np.unique(fps, return_inverse=True)
+            table = pivot_table(distinct)
             pairs = np.array(edges[:-1], dtype=int)[sizes == 2]
             if len(pairs):  # most groups: all at once
-                a, b = fps[pairs], fps[pairs + 1]
-                pivots = _pivots()
-                far = np.zeros(len(a), dtype=np.int16)
-                for p in pivots:
-                    far = np.maximum(far, np.abs(np.bitwise_count(a ^ p).astype(np.int16) - np.bitwise_count(b ^ p).astype(np.int16)))
-                a, b = a[far <= max_bits], b[far <= max_bits]
+                near = np.abs(table[row[pairs]] - table[row[pairs + 1]]).max(axis=1) <= max_bits
+                a, b = fps[pairs][near], fps[pairs + 1][near]
                 near = np.bitwise_count(a ^ b) <= max_bits
                 u += a[near].view(np.int64).tolist()
                 v += b[near].view(np.int64).tolist()
             for k in np.flatnonzero(sizes > 2).tolist():
-                own_fps = fps[edges[k] : edges[k + 1]]
-                for i, j in spanning_links(own_fps, right[edges[k] : edges[k + 1]], max_bits):
-                    u.append(int(own_fps[i].view(np.int64)))
-                    v.append(int(own_fps[j].view(np.int64)))
+                own = slice(edges[k], edges[k + 1])
+                for i, j in spanning_links(fps[own], right[own], table[row[own]], max_bits):
+                    u.append(int(fps[own][i].view(np.int64)))
+                    v.append(int(fps[own][j].view(np.int64)))
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
@@ -205,43 +210,65 @@ def links(distinct: DataFrame, n_rows: int, max_bits: int = MAX_BITS, chunk: int
     return grouped.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links reach, of each row of ``docs``."""
-    prints = checkpoint(fingerprints(docs, shingle))
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    n_distinct, n_rows = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    tree = connected_components(links(distinct.select("fp"), n_distinct, max_bits))
-    # the smallest doc_id of each component, then of each fingerprint in one
+def distinct_nodes(prints: DataFrame) -> DataFrame:
+    """fp, its smallest row (first: doc_id and tie, null ids last) and number of rows."""
+    return prints.groupBy("fp").agg(F.min(_rank()).alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def _rank() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+
+
+def labelled(prints: DataFrame, distinct: DataFrame, tree: DataFrame) -> DataFrame:
+    """``prints`` with ``chosen``, the smallest row of the component. distinct is :func:`distinct_nodes`, tree has node and root of the components.
+
+    A fingerprint with more than one in HOT_SHARE rows is hot. There are fewer than HOT_SHARE of these,
+    so they are broadcast and their rows stay where they are.
+    """
     members = tree.select(F.col("node").alias("fp"), "root").union(tree.select(F.col("root").alias("fp"), "root").distinct())
-    members = members.join(distinct, "fp")
+    members = members.join(distinct.select("fp", "first"), "fp")
     smallest = members.groupBy("root").agg(F.min("first").alias("smallest"))
     joined = members.join(smallest, "root").select("fp", "smallest")
-    labels = distinct.join(joined, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"), "n")
-    return _labelled(prints, checkpoint(labels), n_rows)
+    labels = checkpoint(distinct.join(joined, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("chosen"), "n"))
+    n_rows = labels.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") > n_rows / HOT_SHARE
+    hot = F.broadcast(labels.where(is_hot).select("fp", "chosen"))
+    cold = prints.join(hot.select("fp"), "fp", "left_anti").join(labels.where(~is_hot).select("fp", "chosen"), "fp")
+    return prints.join(hot, "fp").unionByName(cold)
 
 
-def _labelled(prints: DataFrame, labels: DataFrame, n_rows: int) -> DataFrame:
-    """The rows with the component of their fingerprint. A fingerprint with more than one in HOT_SHARE rows is hot. There are fewer than HOT_SHARE of these, so they are broadcast and their rows stay where they are."""
-    is_hot = F.col("n") > n_rows / HOT_SHARE
-    hot = F.broadcast(labels.where(is_hot).select("fp", "component_id"))
-    cold = prints.join(hot.select("fp"), "fp", "left_anti").join(labels.where(~is_hot).select("fp", "component_id"), "fp")
-    return prints.join(hot, "fp").unionByName(cold).select("doc_id", "fp", "component_id")
+def _found(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    prints = checkpoint(fingerprints(docs, shingle))
+    distinct = checkpoint(distinct_nodes(prints))
+    return labelled(prints, distinct, connected_components(links(distinct.select("fp"), distinct.count(), max_bits)))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id that links reach, of each row of ``docs``."""
+    return _found(docs, shingle, max_bits).select("doc_id", "fp", F.col("chosen.doc_id").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of ``docs`` for each component: that with the smallest doc_id, the first of equal rows."""
-    return representatives(docs, near_duplicates(docs, shingle, max_bits))
+    """One row of ``docs`` for each component: that with the smallest doc_id and, of these, hash of the text; one of equal rows."""
+    return representatives(docs, _found(docs, shingle, max_bits))
 
 
 def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component_id in ``found``, once each."""
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias(f"{OWN}n"))
-    kept = kept.select(F.col("doc_id").alias(f"{OWN}id"), f"{OWN}n")
-    rows = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept[f"{OWN}id"])).drop(f"{OWN}id")
+    """The rows of ``docs`` that are the chosen ones of ``found``, once each. Rows are told by doc_id and text, so that rows with the same or no id stay if they are chosen.
+
+    Most rows stay, so the others are marked. Up to ``MOST_BROADCAST`` marks, which is checked, they are broadcast;
+    beyond, texts are shuffled to them.
+    """
+    marks = found.select("doc_id", "tie", _rank().eqNullSafe(F.col("chosen")).alias(f"{OWN}chosen")).groupBy(F.col("doc_id").alias(f"{OWN}id"), F.col("tie").alias(f"{OWN}key"))
+    marks = checkpoint(marks.agg(F.min(f"{OWN}chosen").alias(f"{OWN}chosen"), F.count(F.lit(1)).alias(f"{OWN}n")).where(f"NOT {OWN}chosen OR {OWN}n > 1"))
+    few = marks.count() <= MOST_BROADCAST
+    rows = docs.withColumn(f"{OWN}tie", F.xxhash64(text_or_empty()))
+    rows = rows.join(F.broadcast(marks) if few else marks, (F.col(f"{OWN}tie") == F.col(f"{OWN}key")) & F.col("doc_id").eqNullSafe(F.col(f"{OWN}id")), "left")
     columns = [f"`{c}`" for c in docs.columns]
-    single = rows.where(f"{OWN}n = 1").select(*columns)
-    repeated = rows.where(f"{OWN}n > 1").dropDuplicates(["doc_id"]).select(*columns)
-    return single.unionByName(repeated)
+    single = rows.where(F.col(f"{OWN}n").isNull()).select(*columns)
+    if not marks.where(f"{OWN}chosen").head(1):
+        return single
+    return single.unionByName(rows.where(f"{OWN}chosen").dropDuplicates(["doc_id", f"{OWN}tie"]).select(*columns))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

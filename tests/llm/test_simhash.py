@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from fieldmill.llm import near_copies
 from fieldmill.llm import op05_simhash as sim
 from fieldmill.llm.graph import connected_components
 
@@ -107,3 +108,13 @@ def test_one_of_each_group_stays(spark):
     near = text.replace("word399", "other")
     docs = spark.createDataFrame([(3, text), (1, near), (2, text), (9, "something else entirely, on its own")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in sim.keep_representatives(docs).collect()) == [1, 9]
+
+
+def test_unlinked_rows_with_the_same_or_no_id_stay(spark):
+    """Two null ids, one id over two texts, an exact repeat of a row, and a near copy."""
+    long = " ".join(f"word{i}" for i in range(400))
+    rows = [(None, "first of two without an id", 1), (None, "a second one, of other words", 2), (5, "one text", 3), (5, "and quite another text here", 4), (7, long, 5), (7, long, 5), (8, long, 6), (None, long, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    for module in (sim, near_copies):
+        kept = sorted(r["extra"] for r in module.keep_representatives(docs).collect())
+        assert kept == [1, 2, 3, 4, 5]
