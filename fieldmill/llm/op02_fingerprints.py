@@ -6,11 +6,16 @@ fingerprint is made of one hash for each of ``len(RATES)`` random subsets of the
 lexicon: the hash of the document's distinct terms in that subset, sorted. Small
 subsets survive larger edits, large ones tell more documents apart.
 
+Terms of a group of copies with a large share of all rows are too frequent for the band,
+and those of a small language can be too rare. So that such documents have a likeness
+too, a fingerprint ends with a sum over random subsets of all its own terms; it counts
+where either document has no term of the lexicon.
+
 The lexicon is broadcast. Its size has a bound that doesn't grow with the corpus:
 a term in the band is in at least exp(-IDF_HIGH) of all documents, so there are at
-most (mean distinct terms of a document) * exp(IDF_HIGH) of them. The counts
-themselves stay distributed: each task counts its documents and sends one row a
-term.
+most (mean distinct terms of a document) * exp(IDF_HIGH) of them; more than
+``MOST_TERMS`` are an error. The counts themselves stay distributed: each task counts its
+documents and sends one row a term.
 
 Each document is compared with an edited form that takes in the start of its
 successor by doc_id, and with the successor itself. For that, documents are dealt
@@ -18,9 +23,8 @@ into ranges of doc_id; the first document of each range is also sent to the rang
 before it, and that of the first range to the last. Texts travel compressed and
 only once. Within a range one document at a time is held with its successor.
 
-Defined results: a null text counts as empty. A document without a term of the
-lexicon has the hash of all its distinct terms instead, and one without any term
-the hash of its text, each like itself alone. Null doc_ids come first; equal
+Defined results: a null text counts as empty. A document without any term has the hash
+of its text and is like itself alone, as is one none of whose terms is in any subset. Null doc_ids come first; equal
 doc_ids are ordered by a hash of their text; the successor of a single document is
 itself. Repeated rows are fingerprinted one by one; an empty table gives an empty
 result; extra columns are left out.
@@ -48,6 +52,10 @@ IDF_LOW, IDF_HIGH = math.log(5), math.log(1000)
 #: The share of the lexicon in each random subset.
 RATES = (1 / 8,) * 4 + (1 / 32,) * 6 + (1 / 128,) * 8 + (1 / 512,) * 8
 EMPTY = "0" * 8
+#: Of all terms of a document: so many bits of a term's hash have to be zero for each subset of its own terms.
+OWN_BITS = (1,) * 4 + (3,) * 4 + (5,) * 4
+#: Terms of the lexicon, which comes to the driver and goes to every task.
+MOST_TERMS = 2_000_000
 #: Distinct terms that a task counts before it sends the counts on.
 COUNTED_TERMS = 600_000
 BLOCK_BYTES = 4 << 20
@@ -84,7 +92,10 @@ def lexicon(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIG
     """The terms whose inverse document frequency lies in the band, sorted."""
     n = docs.count()
     least, most = n * math.exp(-idf_high), n * math.exp(-idf_low)
-    return sorted(r[0] for r in document_frequencies(docs).where(F.col("df").between(least - 1e-6, most + 1e-6)).select("term").collect())
+    found = document_frequencies(docs).where(F.col("df").between(least - 1e-6, most + 1e-6)).select("term").limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms in the band: choose a narrower one")
+    return sorted(r[0] for r in found)
 
 
 def subsets(words: list[str]) -> dict[str, tuple[int, ...]]:
@@ -103,20 +114,38 @@ class IMatch:
         for term in sorted(own & self.words):
             for k in self.subsets[term]:
                 held[k].append(term)
-        if not any(held):
+        sums = own_sums(own)
+        if not any(held) and all(x == EMPTY for x in sums):
             return "-" + xxhash.xxh64_hexdigest(" ".join(sorted(own)) or "\0" + text)
-        return "".join(xxhash.xxh32_hexdigest(" ".join(x)) if x else EMPTY for x in held)
+        return "".join([*(xxhash.xxh32_hexdigest(" ".join(x)) if x else EMPTY for x in held), *sums])
+
+
+def own_sums(own: set[str]) -> list[str]:
+    """The sum of the hashes of the terms in each subset of a document's own terms."""
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(t) for t in own), dtype=np.uint64, count=len(own))
+    out, at = [], 0
+    for bits in OWN_BITS:
+        inside = hashes[(hashes >> np.uint64(at)) & np.uint64((1 << bits) - 1) == 0]
+        out.append(f"{(int(inside.sum(dtype=np.uint64)) >> 32) or 1:08x}" if len(inside) else EMPTY)
+        at += bits
+    return out
 
 
 def likeness(a: str, b: str) -> float:
-    """The share of subsets with equal hashes among those that either document has terms of."""
+    """The share of subsets with equal hashes among those that either document has terms of: subsets of the lexicon if both have terms of it, else of their own terms."""
     if a == b:
         return 1.0
     if "-" in (a[0], b[0]):
         return 0.0
+    cut = 8 * len(RATES)
+    if any(not x[:cut].strip("0") for x in (a, b)):
+        a, b = a[cut:], b[cut:]
+    else:
+        a, b = a[:cut], b[:cut]
     pairs = [(a[i : i + 8], b[i : i + 8]) for i in range(0, len(a), 8)]
     used = [(x, y) for x, y in pairs if x != EMPTY or y != EMPTY]
-    return sum(x == y for x, y in used) / len(used)
+    return sum(x == y for x, y in used) / max(1, len(used))
 
 
 def edited(text: str, following: str) -> str:
