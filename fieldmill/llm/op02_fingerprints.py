@@ -8,8 +8,7 @@ subsets survive larger edits, large ones tell more documents apart.
 
 Terms of a group of copies with a large share of all rows are too frequent for the band,
 and those of a small language can be too rare. So that such documents have a likeness
-too, a fingerprint ends with a sum over random subsets of all its own terms; it counts
-where either document has no term of the lexicon.
+too, a fingerprint ends with sums over random subsets of all terms of the document.
 
 The lexicon is broadcast. Its size has a bound that doesn't grow with the corpus:
 a term in the band is in at least exp(-IDF_HIGH) of all documents, so there are at
@@ -53,7 +52,7 @@ IDF_LOW, IDF_HIGH = math.log(5), math.log(1000)
 RATES = (1 / 8,) * 4 + (1 / 32,) * 6 + (1 / 128,) * 8 + (1 / 512,) * 8
 EMPTY = "0" * 8
 #: Of all terms of a document: so many bits of a term's hash have to be zero for each subset of its own terms.
-OWN_BITS = (1,) * 4 + (3,) * 4 + (5,) * 4
+OWN_BITS = (1,) * 1 + (3,) * 3 + (5,) * 4 + (7,) * 4
 #: Terms of the lexicon, which comes to the driver and goes to every task.
 MOST_TERMS = 2_000_000
 #: Distinct terms that a task counts before it sends the counts on.
@@ -133,19 +132,14 @@ def own_sums(own: set[str]) -> list[str]:
 
 
 def likeness(a: str, b: str) -> float:
-    """The share of subsets with equal hashes among those that either document has terms of: subsets of the lexicon if both have terms of it, else of their own terms."""
+    """The share of subsets, of the lexicon and of their own terms, with equal hashes among those that either document has terms of."""
     if a == b:
         return 1.0
     if "-" in (a[0], b[0]):
         return 0.0
-    cut = 8 * len(RATES)
-    if any(not x[:cut].strip("0") for x in (a, b)):
-        a, b = a[cut:], b[cut:]
-    else:
-        a, b = a[:cut], b[:cut]
     pairs = [(a[i : i + 8], b[i : i + 8]) for i in range(0, len(a), 8)]
     used = [(x, y) for x, y in pairs if x != EMPTY or y != EMPTY]
-    return sum(x == y for x, y in used) / max(1, len(used))
+    return sum(x == y for x, y in used) / len(used)
 
 
 def edited(text: str, following: str) -> str:
