@@ -15,6 +15,7 @@ STOPWORDS = {
 }
 #: Fixed: patterns of the reference score: years, abbreviations, volume and page.
 REFERENCE_PATTERNS = (r"\b(?:18|19|20)\d{2}\b", r"\b[A-Z][a-z]{1,5}\.", r"\b\d{1,3}\s*[:(]\s*\d")
+#: Fixed: what counts as a table cell, a list marker, a word, a claim about a legal status and a hedge.
 NUMERIC_TOKEN = r"^[\d.,%±()/\-–+<>=°]+[a-zA-Z%°]{0,3}$"
 LIST_MARKER = r"^\s*(?:[-•*]|\d{1,2}[.)])\s+"
 WORD = r"[^\W\d_]{3,}"
@@ -98,6 +99,63 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+#: Fixed: words whose full stop ends no sentence, and the tail of a reference to a figure or table.
+ABBREVIATIONS = [
+    "spp", "vs", "al", "ca", "bv", "nr", "no", "fig", "figs", "tab", "table", "tables", "dr", "prof", "ir", "inc",
+    "ltd", "st", "etc", "enz", "resp", "incl", "excl", "dept", "proc", "agr", "hort", "sci", "soc", "bul", "amer",
+    "vol", "pp", "cf", "sp", "var", "subsp", "syn", "approx", "max", "min", "gem", "evt", "sec", "pl", "sq",
+]
+REFERENCE_TAIL = r"^\d+(?:[\s,;]+[A-Za-z0-9]{1,2})*\)+\.?$"
+HEADING_LINE = r"(?m)^[^\S\n]*\*\*[^*\n]+\*\*[^\S\n]*$"
+
+
+def _same_sentence(before: Column, piece: Column) -> Column:
+    """Whether a piece that was cut off after ``before`` belongs to its sentence: after an abbreviation, an initial, a unit, an open bracket or a number of its own."""
+    word = F.regexp_extract(before, r"(?:^|\s)[(\[{\"'‘“]*([A-Za-z]+)\.$", 1)
+    small = F.regexp(piece, F.lit(r"^\p{Ll}"))
+    unit = F.regexp(word, F.lit("^[a-z]{1,3}$")) & F.regexp(piece, F.lit(r"^[\p{Ll}\p{Nd}]"))
+    is_open = F.regexp_count(before, F.lit(r"[(\[{]")) > F.regexp_count(before, F.lit(r"[)\]}]"))
+    return (
+        F.regexp(piece, F.lit("^[;,)]")) | F.lower(word).isin(ABBREVIATIONS) | F.regexp(word, F.lit("^[A-Z]$")) | unit
+        | (small & (is_open | F.regexp(before, F.lit(r"(?:\)\.|[?!])$")))) | F.regexp(piece, F.lit(REFERENCE_TAIL)) | F.regexp(before, F.lit(r"^\d+\.$"))
+    )
+
+
+def whole_sentences(text: Column) -> Column:
+    """Sentences cut after . ! or ?, with those that a full stop inside a sentence parted put together again. A piece that begins small after a plain full stop stays one of its own."""
+    pieces = split_sentences(text)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        joined = F.coalesce(_same_sentence(acc["last"], piece), F.lit(False))
+        done = F.when(joined | acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"])))
+        return F.struct(done.alias("done"), F.when(joined, F.concat_ws(" ", acc["last"], piece)).otherwise(piece).alias("last"))
+
+    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))))
+
+
+def prose_view(text: Column) -> Column:
+    """A text as its sentences are judged: without heading lines and list markers; a list item of four words or more that begins with a capital is a statement."""
+    plain = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), HEADING_LINE, ""), "\n")
+
+    def line(x: Column) -> Column:
+        body = F.trim(F.regexp_replace(x, LIST_MARKER, ""))
+        statement = (word_count(body) >= 4) & F.regexp(body, F.lit(r"^\p{Lu}")) & ~F.regexp(body, F.lit(rf"[{TERMINALS}]$"))
+        return F.when(F.regexp(x, F.lit(LIST_MARKER)), F.when(statement, F.concat(body, F.lit("."))).otherwise(body)).otherwise(x)
+
+    return F.regexp_replace(F.array_join(F.transform(plain, line), "\n"), r"\n+", " \n ")
+
+
+def sentence_ratio(text: Column, sentences: Column) -> Column:
+    """The share of a text's words that are in complete sentences of four words or more and mostly letters."""
+    total = word_count(F.regexp_replace(F.coalesce(text, F.lit("")), HEADING_LINE, ""))
+    complete = lambda s: (
+        (word_count(s) >= 4) & F.regexp(s, F.lit(r"^[\p{Lu}\p{Nd}]")) & F.regexp(s, F.lit(r"[.!?:;][\"')”]*$")) & (F.regexp_count(s, F.lit(r"\p{L}")) >= 0.7 * F.length(s))
+    )
+    good = F.aggregate(F.filter(sentences, complete), F.lit(0), lambda n, s: n + word_count(s))
+    return ratio(good, total)
+
+
 def hyphen_artifacts(text: Column) -> Column:
     """Hyphens of line ends that were left in a text; an ellipsis compound is none. Five at most."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[a-zà-ÿ]- ([a-zà-ÿ]+)"), F.lit(0))
@@ -170,10 +228,20 @@ def redact(text: Column, patterns: dict[str, str]) -> Column:
     return text
 
 
+def _accents() -> tuple[str, str]:
+    """Small letters up to Latin Extended-B and in Latin Extended Additional that decompose, and the plain letters they decompose to."""
+    import unicodedata
+
+    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(c).islower()]
+    plain = {x: unicodedata.normalize("NFKD", x)[0] for x in letters}
+    plain = {x: y for x, y in plain.items() if x != y and y.isascii() and len([c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)]) == 1}
+    return "".join(plain), "".join(plain.values())
+
+
 def fold(text: Column) -> Column:
-    """Lower case, white space collapsed; Latin accents folded by a table, as there is no built-in decomposition."""
-    plain = F.lower(F.coalesce(text, F.lit("")))
-    plain = F.translate(plain, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case, white space collapsed, accents dropped from Latin letters and as marks of their own."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_accents())
+    plain = F.regexp_replace(plain, r"\p{Mn}+", "")
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 

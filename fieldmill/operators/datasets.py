@@ -24,16 +24,21 @@ def without_held_out(rows: DataFrame, held_out: DataFrame, key: str) -> DataFram
     return rows.join(held_out.select(key).distinct(), key, "left_anti")
 
 
-def preference_pairs(rows: DataFrame, group: str, key: str, good: Column, most: int | None = None) -> DataFrame:
-    """(group, chosen, rejected): each good row with each bad one of its group, or each with the bad row of the same rank if ``most`` is 1.
+def preference_pairs(rows: DataFrame, group: str, key: str, good: Column) -> DataFrame:
+    """(group, chosen, rejected): each row of a group with one of the other kind at least.
 
-    With ``most`` = 1 the pairs grow with the rows and not with their product.
+    The k-th row of the larger side meets the k-th of the smaller, which is begun anew at its end. Every
+    row of either side is in a pair and the pairs grow with the rows; all pairs of a group follow from its
+    rows and aren't made. A group without one of the kinds has no pairs.
     """
-    ranked = rows.withColumn("__good", good).withColumn("k", F.row_number().over(Window.partitionBy(group, "__good").orderBy(key)))
-    chosen = ranked.where("__good").select(group, F.col(key).alias("chosen"), "k")
-    rejected = ranked.where("NOT __good").select(group, F.col(key).alias("rejected"), "k")
-    on = [group, "k"] if most == 1 else [group]
-    return chosen.join(rejected if most == 1 else rejected.drop("k"), on).select(group, "chosen", "rejected")
+    sizes = rows.groupBy(group).agg(F.count_if(good).alias("__g"), F.count_if(~good).alias("__b")).where("__g > 0 AND __b > 0")
+    ranked = rows.withColumn("__good", good).join(sizes, group).withColumn("__k", F.row_number().over(Window.partitionBy(group, "__good").orderBy(key)) - 1)
+    # the larger side carries the rank in the smaller one
+    at = F.pmod(F.col("__k"), F.least("__g", "__b"))
+    side = ranked.select(group, F.col(key).alias("__key"), "__good", "__k", at.alias("__at"), (F.col("__good") == (F.col("__g") >= F.col("__b"))).alias("__larger"))
+    larger = side.where("__larger").select(group, F.col("__at").alias("__k"), F.col("__key").alias("a"), F.col("__good").alias("__first"))
+    pairs = larger.join(side.where("NOT __larger").select(group, "__k", F.col("__key").alias("b")), [group, "__k"])
+    return pairs.select(group, F.when(F.col("__first"), F.col("a")).otherwise(F.col("b")).alias("chosen"), F.when(F.col("__first"), F.col("b")).otherwise(F.col("a")).alias("rejected"))
 
 
 def choose_pairs(candidates: DataFrame, prompt: str, least_gap: float = 0.1) -> DataFrame:

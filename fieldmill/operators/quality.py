@@ -7,52 +7,85 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-SIGNALS = ("words", "fragment_ratio", "tabular_score", "digit_ratio", "reference_score", "stopword_ratio", "duplicate_lines", "caps_ratio", "n_sentences", "incomplete_sentences", "first_incomplete", "last_incomplete")
-
-
-def sentence_flags(text: Column) -> Column:
+SIGNALS = (
+    "words", "sentence_ratio", "fragment_ratio", "tabular_score", "digit_ratio", "reference_score", "stopword_ratio", "duplicate_lines", "caps_ratio",
+    "n_sentences", "incomplete_sentences", "first_incomplete", "last_incomplete", "hyphens",
+)
+#: Fixed: titles of lists of references and of what belongs to a site and not to its text.
+REFERENCE_TITLE = r"(?i)literature cited|literatuur|references|referenties|bibliograph|bronnen en|verder lezen|further readings?|about the authors"
+CHROME_TITLE = r"(?i)^(nieuws|reacties?|disqus|gerelateerd\w*|volg ons|nieuwsbrief|contact|uitgever|colofon|over deze praktijksamenvatting|permalink|projectnaam)\b"
+#: Fixed: kinds of chunks that may be short.
+STANDALONE = ("probleem",)
+
+
+def sentence_flags(sentences: Column) -> Column:
     """For each sentence whether it is complete: it begins like one, ends like one and has three words."""
-    prose = F.regexp_replace(F.coalesce(text, F.lit("")), r"\n+", " \n ")
-    return F.transform(
-        T.split_sentences(prose),
-        lambda s: F.regexp(s, F.lit("^[\\p{Lu}\\p{Nd}\"'“‘(]")) & F.regexp(s, F.lit("[.!?:;…][\"')”’]*$")) & (F.size(T.tokens(s)) >= 3),
-    )
+    return F.transform(sentences, lambda s: F.regexp(s, F.lit("^[\\p{Lu}\\p{Nd}\"'“‘(]")) & F.regexp(s, F.lit("[.!?:;…][\"')”’]*$")) & (T.word_count(s) >= 3))
 
 
 def signals(docs: DataFrame, text: str = "text", language: str = "lang") -> DataFrame:
-    """``docs`` with the structural signals of their text; ratios to three places, half to even."""
-    t = F.col(text)
-    flags = F.col("__flags")
-    found = docs.withColumn("__flags", sentence_flags(t))
+    """``docs`` with the structural signals of their text; ratios to three places, half to even. Sentences are made once a row."""
+    t, flags, sentences = F.col(text), F.col("__flags"), F.col("__sentences")
+    found = docs.withColumn("__sentences", T.whole_sentences(T.prose_view(t))).withColumn("__flags", sentence_flags(sentences))
     three = lambda c: F.bround(c, 3)
     return found.withColumns(
         {
-            "words": T.word_count(t), "fragment_ratio": three(T.fragment_ratio(t)), "tabular_score": three(T.tabular_score(t)), "digit_ratio": three(T.digit_ratio(t)),
+            "words": T.word_count(t), "sentence_ratio": three(T.sentence_ratio(t, sentences)), "fragment_ratio": three(T.fragment_ratio(t)), "tabular_score": three(T.tabular_score(t)), "digit_ratio": three(T.digit_ratio(t)),
             "reference_score": three(T.reference_score(t)), "stopword_ratio": three(T.stopword_ratio(t, F.col(language))), "duplicate_lines": T.duplicate_lines(t), "caps_ratio": three(T.caps_ratio(t)),
             "n_sentences": F.size(flags), "incomplete_sentences": F.size(F.filter(flags, lambda f: ~f)), "first_incomplete": ~F.coalesce(F.try_element_at(flags, F.lit(1)), F.lit(True)), "last_incomplete": ~F.coalesce(F.try_element_at(flags, F.lit(-1)), F.lit(True)),
+            "hyphens": T.hyphen_artifacts(t),
         }
-    ).drop("__flags")
+    ).drop("__flags", "__sentences")
+
+
+def _or_default(rows: DataFrame, column: str, default: Column) -> Column:
+    """A column that a row may lack, as chunks without a title or unscored sentences do."""
+    return F.coalesce(F.col(column), default) if column in rows.columns else default
 
 
 def verdict(rows: DataFrame) -> DataFrame:
-    """``rows`` with verdict (references, fail, warn or ok, the first that applies) and its reasons in order."""
+    """``rows`` with verdict (references, fail, warn or ok, the first that applies), its reasons in order and their categories.
+
+    Beside the signals a row may have title, heading_path, type, oov_ratio, page_residue, and outliers with
+    outlier_share of its sentences' losses; a rule on a column that is not there doesn't apply.
+    """
     c = F.col
-    references = ((c("words") >= 25) & (c("reference_score") >= 0.12)) | ((c("words") >= 8) & (c("caps_ratio") >= 0.45) & (c("reference_score") >= 0.05))
+    title = _or_default(rows, "title", F.lit(""))
+    headings = F.concat_ws(" ", title, _or_default(rows, "heading_path", F.array().cast("array<string>")))
+    oov, residue = _or_default(rows, "oov_ratio", F.lit(0.0)), _or_default(rows, "page_residue", F.lit(False))
+    outliers, share = _or_default(rows, "outliers", F.lit(0)), _or_default(rows, "outlier_share", F.lit(0.0))
+    running = ~_or_default(rows, "type", F.lit("")).isin(*STANDALONE)
+    # fixed: the thresholds below and the order of the rules
+    references = F.regexp(headings, F.lit(REFERENCE_TITLE)) | ((c("words") >= 25) & (c("reference_score") >= 0.12)) | ((c("words") >= 8) & (c("caps_ratio") >= 0.45) & (c("reference_score") >= 0.05))
+    chrome = F.regexp(title, F.lit(CHROME_TITLE))
     inner = c("incomplete_sentences") - c("first_incomplete").cast("int") - c("last_incomplete").cast("int")
-    fail = F.array_compact(
-        F.array(
-            F.when((c("words") >= 12) & (c("tabular_score") >= 0.45), "table"),
-            F.when((c("stopword_ratio") < 0.03) & (c("words") >= 50), "language"),
-            F.when(c("first_incomplete"), "begins inside a sentence"),
-            F.when(c("last_incomplete"), "ends inside a sentence"),
-            F.when(inner > 0, "incomplete sentences"),
-            F.when(c("words") < 8, "too little text"),
-        )
+    fail = (
+        ("table", "no running sentences", (c("words") >= 25) & running & (c("sentence_ratio") < 0.35)),
+        ("table", "table", (c("words") >= 12) & (c("tabular_score") >= 0.45)),
+        ("ocr", "many unknown words", oov >= 0.12),
+        ("language", "language", (c("stopword_ratio") < 0.03) & (c("words") >= 50) & running),
+        ("columns", "mixed columns", (outliers >= 2) & (share >= 0.25)),
+        ("page_break", "begins inside a sentence", c("first_incomplete")),
+        ("page_break", "ends inside a sentence", c("last_incomplete")),
+        ("incomplete", "incomplete sentences", inner > 0),
+        ("incomplete", "too little text", (c("words") < 8) & running),
+        ("page_break", "page residue", residue),
     )
-    warn = F.array_compact(F.array(F.when((c("fragment_ratio") >= 0.3) & (c("words") >= 20), "fragments"), F.when(c("duplicate_lines") > 0, "duplicate lines")))
-    state = F.when(references, "references").when(F.size(fail) > 0, "fail").when(F.size(warn) > 0, "warn").otherwise("ok")
-    reasons = F.when(references, F.array(F.lit("bibliography"))).when(F.size(fail) > 0, fail).otherwise(warn)
-    return rows.withColumn("verdict", state).withColumn("reasons", reasons)
+    warn = (
+        ("ocr", "unknown words", oov >= 0.06),
+        ("page_break", "hyphens of line ends", F.size("hyphens") > 0),
+        ("table", "fragments", (c("fragment_ratio") >= 0.3) & (c("words") >= 20)),
+        (None, "duplicate lines", c("duplicate_lines") > 0),
+        ("columns", "unlikely sentences", outliers >= 1),
+    )
+    met = lambda rules: F.filter(F.array(*[F.struct(F.lit(k).cast("string").alias("category"), F.lit(r).alias("reason"), F.coalesce(x, F.lit(False)).alias("met")) for k, r, x in rules]), lambda x: x["met"])
+    only = lambda k, r: F.array(F.struct(F.lit(k).alias("category"), F.lit(r).alias("reason"), F.lit(True).alias("met")))
+    rows = rows.withColumn("__fail", met(fail)).withColumn("__warn", met(warn))
+    failed, warned = F.size("__fail") > 0, F.size("__warn") > 0
+    rows = rows.withColumn("verdict", F.when(references, "references").when(chrome | failed, "fail").when(warned, "warn").otherwise("ok"))
+    why = F.when(references, only("references", "bibliography")).when(chrome, only("chrome", "part of the site")).when(failed, c("__fail")).otherwise(c("__warn"))
+    rows = rows.withColumn("__why", why)
+    return rows.withColumn("reasons", F.transform("__why", lambda x: x["reason"])).withColumn("categories", F.array_distinct(F.array_compact(F.transform("__why", lambda x: x["category"])))).drop("__fail", "__warn", "__why")
 
 
 def apply_overrides(rows: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
@@ -70,11 +103,29 @@ def verdict_counts(rows: DataFrame, group: str) -> DataFrame:
 
 
 def protected_terms(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
-    """Words that occur ``least`` times in all texts, or with a capital inside a sentence. Words are counted per task before they are shuffled."""
-    once = docs.select(F.explode(T.words(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("term")
-    inner = F.flatten(F.transform(T.split_sentences(F.col(text)), lambda s: F.slice(F.regexp_extract_all(s, F.lit(r"(?U)" + T.WORD), F.lit(0)), F.lit(2), F.greatest(F.lit(1), F.length(s)))))
-    capital = docs.select(F.explode(inner).alias("w")).where(F.regexp("w", F.lit(r"^\p{Lu}"))).select(F.lower("w").alias("term"))
-    return once.union(capital).distinct()
+    """Words that occur ``least`` times in all texts, or with a capital inside a sentence. Texts are read once, and words are counted per task before they are shuffled."""
+    in_sentence = lambda s: F.transform(F.regexp_extract_all(s, F.lit(r"(?U)" + T.WORD), F.lit(0)), lambda w, i: F.struct(F.lower(w).alias("term"), ((i > 0) & F.regexp(w, F.lit(r"^\p{Lu}"))).alias("inner")))
+    rows = docs.select(F.explode(F.flatten(F.transform(T.split_sentences(F.col(text)), in_sentence))).alias("w")).select("w.*")
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).where((F.col("n") >= least) | F.col("inner")).select("term")
+
+
+def page_residue(units: DataFrame, document: str, chunk: str, text: str, size: int = 6, least: int = 4) -> DataFrame:
+    """Runs of six words that occur in four chunks of a document or more, at least half of them at the start of a unit.
+
+    Runs are counted by a 64-bit hash, and a chunk's repeats are added up before they are shuffled; the words come
+    back for the survivors only.
+    """
+    w = F.col("__w")
+    rows = units.select(document, chunk, F.transform(T.tokens(F.col(text)), lambda x: F.lower(x)).alias("__w"))
+    gram = lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " ")
+    starts = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size))
+    hashed = rows.select(document, chunk, F.explode(F.transform(starts, lambda i: F.struct(F.xxhash64(gram(i)).alias("h"), (i == 0).alias("start")))).alias("g")).select(document, chunk, "g.*")
+    by_chunk = hashed.groupBy(document, "h", chunk).agg(F.count(F.lit(1)).alias("n"), F.count_if("start").alias("s"))
+    found = by_chunk.groupBy(document, "h").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n"), F.sum("s").alias("n_start"))
+    found = found.where((F.col("n_chunks") >= least) & (F.col("n_start") >= 0.5 * F.col("n")))
+    # half of a survivor's occurrences begin a unit, so its words are those of such a unit
+    words = rows.where(F.size(w) >= size).select(document, gram(F.lit(0)).alias("gram")).distinct().withColumn("h", F.xxhash64("gram"))
+    return found.join(words, [document, "h"]).drop("h")
 
 
 def page_residue(units: DataFrame, document: str, chunk: str, text: str, size: int = 6, least: int = 4) -> DataFrame:
@@ -87,11 +138,13 @@ def page_residue(units: DataFrame, document: str, chunk: str, text: str, size: i
     return found.where((F.col("n_chunks") >= least) & (F.col("n_start") >= 0.5 * F.col("n")))
 
 
-def repair(rows: DataFrame, text: str = "text", most: float = 0.3) -> DataFrame:
-    """Texts without their incomplete sentences, if these are three tenths or fewer; the raw text and what was dropped are kept. Always made from text_raw, so that repairing twice changes nothing."""
+def repair(rows: DataFrame, text: str = "text", most: float = 0.3, garbled: str | None = None) -> DataFrame:
+    """Texts without their incomplete sentences and those that hold a token of the array column ``garbled``, if these are three tenths or fewer; the raw text and what was dropped are kept. Always made from text_raw, so that repairing twice changes nothing."""
     raw = F.col("text_raw") if "text_raw" in rows.columns else F.col(text)
-    sentences = T.split_sentences(raw)
-    flags = sentence_flags(raw)
+    sentences = T.whole_sentences(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\n+", " \n "))
+    damaged = F.col(garbled) if garbled else F.array().cast("array<string>")
+    hurt = lambda s: F.exists(damaged, lambda g: F.when(F.regexp(g, F.lit(r"^\p{L}+$")), F.array_contains(T.words(s), F.lower(g))).otherwise(F.contains(s, g)))
+    flags = F.zip_with(sentence_flags(sentences), sentences, lambda f, s: f & ~F.coalesce(hurt(s), F.lit(False)))
     pairs = F.zip_with(sentences, flags, lambda s, f: F.struct(s.alias("s"), F.coalesce(f, F.lit(False)).alias("f")))
     good = F.transform(F.filter(pairs, lambda p: p["f"]), lambda p: p["s"])
     bad = F.transform(F.filter(pairs, lambda p: ~p["f"]), lambda p: p["s"])

@@ -82,11 +82,15 @@ def onset_profile(summaries: DataFrame, category: str, doy: str) -> DataFrame:
 
 
 def early_warnings(current: DataFrame, profile: DataFrame, recent: DataFrame, category: str, doy: int, margin: int = 21) -> DataFrame:
-    """Categories whose current window reaches the smallest values before past onsets, in their season give or take ``margin`` days, without a treatment of late (``recent``)."""
+    """Categories whose current window reaches the smallest values before past onsets, in their season give or take ``margin`` days, without a treatment of late (``recent``), for each row of ``current``, a window a site, with its columns but the measures.
+
+    The profile has a row a category, so each window meets a bounded table, in a join on the measure it has to reach.
+    """
     near = profile.where((F.lit(doy) >= F.col("doy_min") - margin) & (F.lit(doy) <= F.col("doy_max") + margin)).join(recent.select(category).distinct(), category, "left_anti")
-    met = near.crossJoin(F.broadcast(current.limit(1))).where("avg_value >= avg_value_min AND total_amount >= total_amount_min AND n_wet_days >= n_wet_days_min")
+    met = current.join(near, F.expr("avg_value >= avg_value_min AND total_amount >= total_amount_min AND n_wet_days >= n_wet_days_min"))
     strong = F.expr("avg_value >= avg_value_mean AND total_amount >= total_amount_mean AND n_wet_days >= n_wet_days_mean")
-    return met.select(category, F.when(strong, "high").otherwise("moderate").alias("severity"), "n_events")
+    own = [c for c in current.columns if c not in ("n_days", "avg_value", "total_amount", "n_wet_days", category)]
+    return met.select(*own, category, F.when(strong, "high").otherwise("moderate").alias("severity"), "n_events")
 
 
 #: Fixed: bees fly from this temperature on, up to this much rain and wind.

@@ -1,13 +1,14 @@
 """Soil water: the bucket, the clamped deficit and running sums, by site.
 
 The bucket clamps at both ends and its uptake depends on its state, so it has no
-closed form. It folds each site's days in order with ``aggregate``: all in the JVM,
-one shuffle on the site, and a site's days are as many as its calendar has.
+closed form. It runs over each site's days in order, one loop a site after one
+shuffle on the site; a site's days are as many as its calendar has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import crop_coefficient
@@ -18,9 +19,6 @@ DEPLETION_FRACTION = 0.50
 DRY_WARNING = 0.75
 WET_DRAINAGE_MM = 5.0
 
-_STATE = "struct<depletion:double,out:array<struct<day:date,kc:double,etc:double,etc_actual:double,ks:double,delta:double,drainage:double,depletion:double,et0_missing:boolean,inflow:double>>>"
-
-
 def total_available_water(soil: str, root_depth_m: float) -> float:
     return 1000.0 * SOILS[soil] * root_depth_m
 
@@ -35,22 +33,21 @@ def water_balance(days: DataFrame, site: str, soil: str = "loam", root_depth_m:
     kc = crop_coefficient(F.col("day"), cover)
     et0 = F.greatest(F.coalesce("et0_mm", F.lit(0.0)), F.lit(0.0))
     inflow = F.greatest("precipitation_mm", F.lit(0.0)) + F.greatest(F.coalesce("irrigation_mm", F.lit(0.0)), F.lit(0.0))
-    day = F.struct("day", kc.alias("kc"), (kc * et0).alias("etc"), F.col("et0_mm").isNull().alias("et0_missing"), inflow.alias("inflow"))
-
-    def step(acc: Column, d: Column) -> Column:
-        before = acc["depletion"]
-        ks = F.when(before <= raw, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (F.lit(taw) - before) / ((1.0 - fraction) * taw)))
-        uptake = ks * d["etc"]
-        after = before - d["inflow"] + uptake
-        drainage = F.greatest(F.lit(0.0), -after)
-        now = F.least(F.greatest(after, F.lit(0.0)), F.lit(taw))
-        used = uptake - F.greatest(F.lit(0.0), after - taw)
-        row = F.struct(d["day"].alias("day"), d["kc"].alias("kc"), d["etc"].alias("etc"), used.alias("etc_actual"), ks.alias("ks"), (d["inflow"] - d["etc"]).alias("delta"), drainage.alias("drainage"), now.alias("depletion"), d["et0_missing"].alias("et0_missing"), d["inflow"].alias("inflow"))
-        return F.struct(now.alias("depletion"), F.concat(acc["out"], F.array(row)).alias("out")).cast(_STATE)
-
-    start = F.struct(F.lit(min(max(start_mm, 0.0), taw)).alias("depletion"), F.array().alias("out")).cast(_STATE)
-    folded = days.groupBy(site).agg(F.array_sort(F.collect_list(day)).alias("days")).select(site, F.aggregate("days", start, step)["out"].alias("rows"))
-    rows = folded.select(site, F.explode("rows").alias("r")).select(site, "r.*")
+    rows = days.select(site, "day", kc.alias("kc"), (kc * et0).alias("etc"), F.col("et0_mm").isNull().alias("et0_missing"), inflow.alias("inflow"))
+    first = min(max(start_mm, 0.0), taw)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["day", "kc", "etc", "et0_missing", "inflow"], ignore_index=True)
+        depletion, out = first, []
+        for etc, water in zip(group["etc"].tolist(), group["inflow"].tolist(), strict=True):
+            ks = 1.0 if depletion <= raw else max(0.0, (taw - depletion) / ((1.0 - fraction) * taw))
+            after = depletion - water + ks * etc
+            depletion = min(max(after, 0.0), taw)
+            out.append((ks * etc - max(0.0, after - taw), ks, water - etc, max(0.0, -after), depletion))
+        return pd.concat([group, pd.DataFrame(out, columns=["etc_actual", "ks", "delta", "drainage", "depletion"], dtype=float)], axis=1)
+
+    kind = dict(rows.dtypes)[site]
+    rows = rows.groupBy(site).applyInPandas(run, f"`{site}` {kind}, day date, kc double, etc double, et0_missing boolean, inflow double, etc_actual double, ks double, delta double, drainage double, depletion double")
     drained = F.sum("drainage").over(Window.partitionBy(site).orderBy("day").rowsBetween(-2, 0))
     status = F.when(F.col("ks") < 1.0, "dry").when(F.col("depletion") > DRY_WARNING * raw, "dry soon").when(drained >= WET_DRAINAGE_MM, "wet").otherwise("ok")
     return rows.withColumn("moisture_pct", 100.0 * (1.0 - F.col("depletion") / taw)).withColumn("status", status)

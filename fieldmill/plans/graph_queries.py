@@ -149,12 +149,13 @@ def holdout_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "preference_pairs",
-    """WITH r AS (SELECT source, doc_id, quality, row_number() OVER (PARTITION BY source, quality = 1 ORDER BY doc_id) AS k FROM documents JOIN labels USING (doc_id))
-SELECT g.source, g.doc_id AS chosen, b.doc_id AS rejected FROM r g JOIN r b ON g.source = b.source AND g.k = b.k WHERE g.quality = 1 AND b.quality <> 1""",
+    """WITH r AS (SELECT source, doc_id, quality = 1 AS good, row_number() OVER (PARTITION BY source, quality = 1 ORDER BY doc_id) - 1 AS k,
+ count(*) FILTER (WHERE quality = 1) OVER (PARTITION BY source) AS ng, count(*) FILTER (WHERE quality <> 1) OVER (PARTITION BY source) AS nb FROM documents JOIN labels USING (doc_id))
+SELECT g.source, g.doc_id AS chosen, b.doc_id AS rejected FROM r g JOIN r b ON g.source = b.source AND CASE WHEN g.ng >= g.nb THEN g.k % g.nb = b.k ELSE b.k % g.ng = g.k END WHERE g.good AND NOT b.good""",
 )
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return datasets.preference_pairs(rows, "source", "doc_id", F.col("quality") == 1, most=1)
+    return datasets.preference_pairs(rows, "source", "doc_id", F.col("quality") == 1)
 
 
 @query("reward_score")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import assistant, lexicon, quality
 from .registry import query, read
 
+#: Accented letters of the languages of the documents.
+_ACCENTS = {"en": "", "de": "äöüß", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíñóúü"}
+
 _CONCEPTS = {"licence": ["licensed", "copyright"], "secret": ["password", "token"], "the": ["the"]}
 
 
@@ -24,31 +27,55 @@ def concept_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lexical_noise",
-    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}]{3,}')) AS w FROM documents),
+    r"""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[\p{L}]{3,}')) AS w FROM documents),
 lex AS (SELECT lower(w) AS word FROM w GROUP BY 1 HAVING count(*) >= 5),
 s AS (SELECT unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM documents),
 c AS (SELECT unnest(regexp_extract_all(sentence, '[\p{L}]{3,}')[2:]) AS w FROM s),
 p AS (SELECT lower(w) AS word FROM w GROUP BY 1 HAVING count(*) >= 3 UNION SELECT lower(w) FROM c WHERE regexp_matches(w, '^\p{Lu}')),
-bad AS (SELECT doc_id, count(*) AS n FROM w WHERE NOT regexp_matches(w, '^\p{Lu}') AND lower(w) NOT IN (SELECT word FROM lex) AND lower(w) NOT IN (SELECT word FROM p) GROUP BY doc_id),
+bad AS (SELECT doc_id, count(*) AS n FROM w WHERE NOT regexp_matches(w, '^\p{Lu}') AND (lower(w) NOT IN (SELECT word FROM lex) AND lower(w) NOT IN (SELECT word FROM p)
+ OR regexp_matches(CASE lang WHEN 'de' THEN translate(lower(w), 'äöüß', '') WHEN 'fr' THEN translate(lower(w), 'àâæçéèêëîïôœùûüÿ', '') WHEN 'es' THEN translate(lower(w), 'áéíñóúü', '') ELSE lower(w) END, '[^\x00-\x7F]')) GROUP BY doc_id),
 t AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}]{3,}'))::INT AS n_words FROM documents)
 SELECT doc_id, n_words, coalesce(n, 0) AS n_unknown, round_even(CASE WHEN n_words = 0 THEN 0 ELSE coalesce(n, 0) / n_words END, 3) AS oov_ratio FROM t LEFT JOIN bad USING (doc_id)""",
 )
 def lexical_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    unknown = lexicon.unknown_words(docs, "doc_id", lexicon.corpus_lexicon(docs), quality.protected_terms(docs))
+    unknown = lexicon.unknown_words(docs, "doc_id", lexicon.corpus_lexicon(docs), quality.protected_terms(docs), accents=_ACCENTS)
     return lexicon.lexical_noise(docs, "doc_id", unknown)
 
 
-@query("garbled_tokens")
+_PROTECTED = r"""w AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[\p{L}]{3,}')) AS w FROM documents),
+s AS (SELECT unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM documents),
+c AS (SELECT unnest(regexp_extract_all(sentence, '[\p{L}]{3,}')[2:]) AS w FROM s),
+p AS (SELECT lower(w) AS word FROM w GROUP BY 1 HAVING count(*) >= 3 UNION SELECT lower(w) FROM c WHERE regexp_matches(w, '^\p{Lu}'))"""
+
+
+@query(
+    "garbled_tokens",
+    rf"""WITH {_PROTECTED},
+j AS (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-z]+[\^{{}}\[\]|\\_~<>#]+[A-Za-z]+|[a-z]\([a-z]')) AS token FROM documents)
+SELECT DISTINCT lang, token FROM j
+UNION SELECT lang, w FROM w WHERE NOT regexp_matches(w, '^\p{{Lu}}') AND lower(w) NOT IN (SELECT word FROM p) AND regexp_matches(CASE lang WHEN 'de' THEN translate(lower(w), 'äöüß', '') WHEN 'fr' THEN translate(lower(w), 'àâæçéèêëîïôœùûüÿ', '') WHEN 'es' THEN translate(lower(w), 'áéíñóúü', '') ELSE lower(w) END, '[^\x00-\x7F]')""",
+)
 def garbled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return lexicon.garbled_tokens(docs, "lang", quality.protected_terms(docs))
+    return lexicon.garbled_tokens(docs, "lang", quality.protected_terms(docs), accents=_ACCENTS)
 
 
-@query("compound_words")
+@query(
+    "compound_words",
+    r"""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '[\p{L}]{3,}'))) AS word FROM documents),
+lex AS (SELECT word FROM w GROUP BY 1 HAVING count(*) >= 5), un AS (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT word FROM lex)),
+h AS (SELECT word, left(word, i::INT) AS l, substr(word, i::INT + 1) AS r FROM (SELECT word, unnest(generate_series(3, length(word) - 3)) AS i FROM un WHERE length(word) >= 6)),
+a AS (SELECT DISTINCT word, r FROM h WHERE l IN (SELECT word FROM lex) OR (suffix(l, 's') OR suffix(l, 'e')) AND left(l, length(l) - 1) IN (SELECT word FROM lex) OR suffix(l, 'en') AND left(l, length(l) - 2) IN (SELECT word FROM lex)),
+g AS (SELECT r AS word, left(r, i::INT) AS l, substr(r, i::INT + 1) AS r FROM (SELECT r, unnest(generate_series(3, length(r) - 3)) AS i FROM (SELECT DISTINCT r FROM a WHERE length(r) >= 6))),
+b AS (SELECT DISTINCT word FROM g WHERE r IN (SELECT word FROM lex) AND (l IN (SELECT word FROM lex) OR (suffix(l, 's') OR suffix(l, 'e')) AND left(l, length(l) - 1) IN (SELECT word FROM lex) OR suffix(l, 'en') AND left(l, length(l) - 2) IN (SELECT word FROM lex)))
+SELECT DISTINCT word FROM a WHERE r IN (SELECT word FROM lex) OR r IN (SELECT word FROM b)""",
+)
 def compound_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lexicon.corpus_lexicon(read(spark, sf_dir, "documents"), least=20)
-    return lexicon.compounds(words, words)
+    """Words outside the lexicon that are compounds of its words."""
+    docs = read(spark, sf_dir, "documents")
+    known = lexicon.corpus_lexicon(docs)
+    return lexicon.compounds(lexicon.corpus_lexicon(docs, least=1).join(known, "word", "left_anti"), known)
 
 
 @query(

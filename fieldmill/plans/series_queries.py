@@ -268,7 +268,7 @@ def early_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     onsets = entries.groupBy("category", "year").agg(F.min("day").alias("onset")).select("category", "onset", F.lit(1).alias("site"), F.dayofyear("onset").alias("doy"))
     rows = season.window_before(onsets, daily, "site", "onset", "day", 10)
     profile = season.onset_profile(season.window_summary(rows, ["category", "onset", "doy"], "temp_max_c", "precipitation_mm"), "category", "doy")
-    now = season.window_summary(daily.where("day BETWEEN DATE'2000-03-01' AND DATE'2000-03-10'"), ["site"], "temp_max_c", "precipitation_mm").drop("n_days", "site")
+    now = season.window_summary(daily.where("day BETWEEN DATE'2000-03-01' AND DATE'2000-03-10'"), ["site"], "temp_max_c", "precipitation_mm")
     recent = entries.where("day BETWEEN DATE'2000-03-01' AND DATE'2000-03-10'").select("category")
     return season.early_warnings(now, profile, recent, "category", 70)
 

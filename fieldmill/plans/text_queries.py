@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import quality
+from ..operators import lexicon, quality
 from .registry import query, read
 
 _STOP_EN = ", ".join(f"'{w}'" for w in T.STOPWORDS["en"])
@@ -32,14 +32,22 @@ def text_quality_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "words", "fragment_ratio", "tabular_score", "digit_ratio", "stopword_ratio", "duplicate_lines", "caps_ratio")
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality gate over documents: signals, the share of unknown words, verdict. The first line is the title."""
+    docs = read(spark, sf_dir, "documents").withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
+    unknown = lexicon.unknown_words(docs, "doc_id", lexicon.corpus_lexicon(docs), quality.protected_terms(docs))
+    noise = lexicon.lexical_noise(docs, "doc_id", unknown).select("doc_id", "oov_ratio")
+    return quality.verdict(quality.signals(docs).join(noise, "doc_id", "left"))
+
+
 @query("qc_verdict")
 def qc_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdict(quality.signals(read(spark, sf_dir, "documents"))).select("doc_id", "verdict", F.array_join("reasons", "; ").alias("reasons"))
+    return _judged(spark, sf_dir).select("doc_id", "sentence_ratio", "verdict", F.array_join("reasons", "; ").alias("reasons"), F.array_join("categories", ",").alias("categories"))
 
 
 @query("qc_verdict_counts")
 def qc_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdict_counts(quality.verdict(quality.signals(read(spark, sf_dir, "documents"))), "source")
+    return quality.verdict_counts(_judged(spark, sf_dir), "source")
 
 
 @query("qc_repair")

@@ -1,7 +1,9 @@
+import re
+
 from pyspark.sql import functions as F
 
 from fieldmill.functions import text as T
-from fieldmill.operators import datasets, evaluation, procedures, quality, registrations, retrieval, structure, usage
+from fieldmill.operators import datasets, evaluation, lexicon, procedures, quality, registrations, retrieval, structure, usage
 from fieldmill.sources import files, markup
 
 
@@ -46,6 +48,96 @@ def test_verdicts(spark):
     assert found == {1: "ok", 2: "fail", 3: "fail", 4: "fail"}
 
 
+def python_sentences(text):
+    """By loops: pieces after . ! or ?, glued where the full stop ends no sentence."""
+    out = []
+    for piece in [p for p in (x.strip(" ") for x in re.split(r"(?<=[.!?])\s+", text)) if p]:
+        before = out[-1] if out else ""
+        word = re.search(r"(?:^|\s)[(\[{\"'‘“]*([A-Za-z]+)\.$", before)
+        word = word.group(1) if word else ""
+        small = piece[0].islower()
+        opened = sum(before.count(c) for c in "([{") > sum(before.count(c) for c in ")]}")
+        rules = [
+            piece[0] in ";,)",
+            word.lower() in T.ABBREVIATIONS,
+            len(word) == 1 and word.isupper(),
+            0 < len(word) <= 3 and word.islower() and (small or piece[0].isdigit()),
+            small and (opened or before.endswith((").", "?", "!"))),
+            re.fullmatch(r"\d+(?:[\s,;]+[A-Za-z0-9]{1,2})*\)+\.?", piece) is not None,
+            re.fullmatch(r"\d+\.", before) is not None,
+        ]
+        if out and any(rules):
+            out[-1] = f"{before} {piece}"
+        else:
+            out.append(piece)
+    return out
+
+
+def test_whole_sentences_equal_loops(spark, sf_dir):
+    texts = [
+        "Smith et al. found M. laxa spp. here. It was 5 lb. per tree. it goes on.", "See (fig. 3). Then (table 1, A). more. ; and so", "1. First of all. 2. Second (an open. bracket) here! what? yes. Ja.", "", "no end", "A. B. C. done? Fine!",
+        "Wrapped\nlines. With breaks.\n\nAnd more etc. Then vs. others.",
+    ]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("text").collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", T.whole_sentences(F.col("text")).alias("s")).collect()
+    assert all(r["s"] == python_sentences(texts[r["id"]]) for r in rows)
+
+
+def test_every_rule_of_the_gate(spark):
+    good = "This is the first complete sentence of the text. And this is one more of the same kind. " * 3
+    base = {"title": "", "heading_path": [], "type": "", "oov_ratio": 0.0, "page_residue": False, "outliers": 0, "outlier_share": 0.0, "text": good}
+    cases = [
+        ({}, "ok", "", ""),
+        ({"title": "Literature cited"}, "references", "bibliography", "references"),
+        ({"heading_path": ["Verder lezen"]}, "references", "bibliography", "references"),
+        ({"title": "Nieuwsbrief juni"}, "fail", "part of the site", "chrome"),
+        ({"oov_ratio": 0.2}, "fail", "many unknown words", "ocr"),
+        ({"oov_ratio": 0.07}, "warn", "unknown words", "ocr"),
+        ({"outliers": 2, "outlier_share": 0.3}, "fail", "mixed columns", "columns"),
+        ({"outliers": 1}, "warn", "unlikely sentences", "columns"),
+        ({"page_residue": True}, "fail", "page residue", "page_break"),
+        ({"text": "Too short."}, "fail", "begins inside a sentence; ends inside a sentence; too little text", "page_break,incomplete"),
+        ({"text": "Water it well now.", "type": "probleem"}, "ok", "", ""),
+        ({"text": good + "A regen- kappen was left here. "}, "warn", "hyphens of line ends", "page_break"),
+        ({"text": "In the middle of it all. " .lower() + good}, "fail", "begins inside a sentence", "page_break"),
+        ({"text": good + "And no end"}, "fail", "ends inside a sentence", "page_break"),
+        ({"text": "alpha beta\n" * 30}, "fail", "no running sentences; language; begins inside a sentence", "table,language,page_break"),
+    ]
+    rows = [(i, *(base | case[0]).values()) for i, case in enumerate(cases)]
+    table = spark.createDataFrame(rows, "id int, title string, heading_path array<string>, type string, oov_ratio double, page_residue boolean, outliers int, outlier_share double, text string").withColumn("lang", F.lit("en"))
+    found = {r["id"]: r for r in quality.verdict(quality.signals(table)).collect()}
+    for i, (_, verdict, reasons, categories) in enumerate(cases):
+        r = found[i]
+        if i != len(cases) - 1:
+            assert (r["verdict"], "; ".join(r["reasons"]), ",".join(r["categories"])) == (verdict, reasons, categories), cases[i]
+        else:
+            assert r["verdict"] == "fail" and r["reasons"][:2] == ["no running sentences", "language"]
+
+
+def test_repair_drops_garbled_sentences(spark):
+    text = "A first good sentence here. Another with developn^ent inside it. One more good one here. And the last good one."
+    rows = spark.createDataFrame([(1, text, ["developn^ent"])], "id int, text string, bad array<string>")
+    assert quality.repair(rows, garbled="bad").first()["repairs"] == ["Another with developn^ent inside it."]
+
+
+def test_noise_compounds_and_garbled(spark):
+    docs = spark.createDataFrame([(1, "bladmonsters en kaliumgehaltenmeting zijn ñeshed en xqzzy bladmonsters", "nl"), (2, "bladmonsters ñeshed p.stils f(irtilized developn^ent", "en")], "id int, text string, lang string")
+    known = spark.createDataFrame([("blad",), ("monsters",), ("kalium",), ("gehalten",), ("meting",), ("zijn",)], "word string")
+    none = spark.createDataFrame([], "term string")
+    unknown = {(r["id"], r["word"]): r["n"] for r in lexicon.unknown_words(docs, "id", known, none).collect()}
+    assert unknown == {(1, "ñeshed"): 1, (1, "xqzzy"): 1, (2, "bladmonsters"): 1, (2, "ñeshed"): 1, (2, "stils"): 1, (2, "irtilized"): 1, (2, "developn"): 1, (2, "ent"): 1}
+    assert {r["token"] for r in lexicon.garbled_tokens(docs, "lang", none).where("lang = 'en'").collect()} == {"ñeshed", "f(i", "developn^ent"}
+    words = spark.createDataFrame([("bladmonsters",), ("kaliumgehaltenmeting",), ("bladxmonsters",), ("bladsmonsters",)], "word string")
+    assert {r["word"] for r in lexicon.compounds(words, known).collect()} == {"bladmonsters", "kaliumgehaltenmeting", "bladsmonsters"}
+    assert {r["word"] for r in lexicon.compounds(words, known, depth=1).collect()} == {"bladmonsters", "bladsmonsters"}
+
+
+def test_every_row_is_in_a_preference_pair(spark):
+    rows = spark.createDataFrame([("a", i, i < 9) for i in range(10)] + [("b", i, i == 20) for i in range(20, 24)] + [("c", 30, True)], "g string, k int, good boolean")
+    pairs = datasets.preference_pairs(rows, "g", "k", F.col("good")).collect()
+    assert sorted((r["chosen"], r["rejected"]) for r in pairs) == [(i, 9) for i in range(9)] + [(20, 21), (20, 22), (20, 23)]
+
+
 def test_repair_drops_only_and_repeats(spark):
     text = "A first good sentence here. broken start of a line. Another good sentence follows. One more good one here. And the last good one."
     once = quality.repair(spark.createDataFrame([(1, text)], "id int, text string"))
