@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,10 @@ def conversations_by_recency(turns: DataFrame, key: str, turn: str, role: str, t
     return found.select(key, title_of(F.col("q")).alias("title"), "n_turns", "last_turn").orderBy(F.desc("last_turn"), key)
 
 
+def _prefixed(prefix: str) -> Callable[[Column], Column]:
+    return lambda x: F.concat(F.lit(prefix), x.cast("string"))
+
+
 def search_log(entries: DataFrame, queries: DataFrame, most: int = 6) -> DataFrame:
     """The best entries of each query: those of the times it names (all if there are none), by dense and word score.
 
@@ -63,14 +69,22 @@ def search_log(entries: DataFrame, queries: DataFrame, most: int = 6) -> DataFra
     """
     terms = F.array_distinct(F.regexp_extract_all(T.fold(F.col("question")), F.lit(r"\b[a-z][a-z0-9]{3,}\b"), F.lit(0)))
     asked = queries.withColumn("hints", T.time_hints(F.col("question"))).withColumn("terms", terms)
-    pairs = entries.crossJoin(F.broadcast(asked))
-    fits = T.matches_time(F.col("day"), F.col("hints"))
-    pairs = pairs.withColumn("__fits", F.coalesce(fits, F.lit(False))).withColumn("__any", F.max(F.col("__fits").cast("int")).over(Window.partitionBy("query")))
-    rows = pairs.where(F.col("__fits") | (F.col("__any") == 0))
+    # a named time is a key of its own: dates, else years and months, years, or months
+    hints, text = F.col("hints"), lambda c: c.cast("string")
+    dates = F.transform(hints["dates"], lambda d: F.concat(F.lit("d"), text(d)))
+    both = F.flatten(F.transform(hints["years"], lambda y: F.transform(hints["months"], lambda m: F.concat(F.lit("b"), text(y), F.lit("-"), text(m)))))
+    years, months = (F.transform(hints[h], _prefixed(p)) for h, p in (("years", "y"), ("months", "m")))
+    keys = F.when(F.size(dates) > 0, dates).when(F.size(both) > 0, both).when(F.size(years) > 0, years).otherwise(months)
+    year, month = text(F.year("day")), text(F.month("day"))
+    own = F.array(F.concat(F.lit("d"), text(F.col("day"))), F.concat(F.lit("b"), year, F.lit("-"), month), F.concat(F.lit("y"), year), F.concat(F.lit("m"), month))
+    fitting = entries.withColumn("__t", F.explode(own)).join(asked.withColumn("__t", F.explode(F.array_distinct(keys))), "__t").drop("__t").withColumn("__any", F.lit(1))
+    # a question that names no time, or one without entries, is asked of all of them
+    untimed = asked.join(fitting.select("query").distinct(), "query", "left_anti")
+    rows = fitting.unionByName(entries.join(untimed).withColumn("__any", F.lit(0)))
     score = T.lexical_overlap(F.col("text"), F.col("terms")) + (F.col("dense") if "dense" in entries.columns else F.lit(0.0))
     limit = F.when((F.size("hints.dates") > 0) | (F.size("hints.months") > 0), F.lit(max(most, 8))).otherwise(F.lit(most))
     k = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("entry_id")))
-    return rows.withColumn("score", score).withColumn("rank", k).where(F.col("rank") <= limit).select("query", "entry_id", "score", "rank", (F.col("__any") == 1).alias("time_filtered"))
+    return rows.withColumn("score", score).withColumn("rank", k).where(F.col("rank") <= max(most, 8)).where(F.col("rank") <= limit).select("query", "entry_id", "score", "rank", (F.col("__any") == 1).alias("time_filtered"))
 
 
 def log_questions(entries: DataFrame) -> DataFrame:

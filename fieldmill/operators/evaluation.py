@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 from ..functions.stats import nearest_rank
 
 KS = (1, 3, 5, 6, 10)
@@ -56,11 +58,11 @@ def repeat_summary(runs: DataFrame, item: str, run: str, measures: list[str]) ->
 def robust_outliers(sentences: DataFrame, language: str, item: str, loss: str, text: str, limit: float = 4.0) -> DataFrame:
     """By item: sentences, outliers by median and median absolute deviation of the language, their share, the largest z and the worst sentence."""
     center = sentences.groupBy(language).agg(F.median(loss).alias("__m"))
-    rows = sentences.join(F.broadcast(center), language).withColumn("__d", F.abs(F.col(loss) - F.col("__m")))
+    rows = sentences.join(center, language).withColumn("__d", F.abs(F.col(loss) - F.col("__m")))
     spread = rows.groupBy(language).agg(F.greatest(F.median("__d") * 1.4826, F.lit(1e-6)).alias("__s"))
-    rows = rows.join(F.broadcast(spread), language).withColumn("z", (F.col(loss) - F.col("__m")) / F.col("__s"))
+    rows = rows.join(spread, language).withColumn("z", (F.col(loss) - F.col("__m")) / F.col("__s"))
     out = F.col("z") > limit
-    return rows.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.count_if(out).alias("outliers"), (F.count_if(out) / F.count(F.lit(1))).alias("outlier_share"), F.max("z").alias("max_z"), F.max_by(text, "z").alias("worst"))
+    return rows.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.count_if(out).alias("outliers"), (F.count_if(out) / F.count(F.lit(1))).alias("outlier_share"), F.max("z").alias("max_z"), F.max_by(text, F.struct("z", text)).alias("worst"))
 
 
 def validate_gold(items: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -71,4 +73,35 @@ def validate_gold(items: DataFrame, chunks: DataFrame) -> DataFrame:
     empty = items.where(F.trim(F.coalesce("question", F.lit(""))) == "").select("item", F.lit("no question").alias("problem"))
     none = items.where(F.coalesce(F.size("sources"), F.lit(0)) <= 0).select("item", F.lit("no sources").alias("problem"))
     unknown = sources.where("source IS NOT NULL").join(known, "doc_id", "left_anti").select("item", F.concat(F.lit("unknown source "), "source").alias("problem"))
-    return duplicate.union(empty).union(none).union(unknown)
+    found = duplicate.union(empty).union(none).union(unknown)
+    return found.union(_unsupported(items, sources, chunks)) if "key_facts" in items.columns and "text" in chunks.columns else found
+
+
+def _unsupported(items: DataFrame, sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Facts (any of whose alternatives would do) that no expected document holds. Only the texts of expected documents meet facts, and only of their own items."""
+    facts = items.select("item", F.posexplode("key_facts").alias("k", "fact")).withColumn("fact", F.transform("fact", lambda a: T.fold(a)))
+    texts = sources.where("source IS NOT NULL").select("item", "doc_id").distinct().join(chunks.select("doc_id", T.fold(F.col("text")).alias("text")), "doc_id").select("item", "text")
+    held = facts.join(texts, "item", "left").groupBy("item", "k").agg(F.max(F.coalesce(F.exists("fact", lambda a: F.contains(F.col("text"), a)), F.lit(False))).alias("held"), F.first("fact").alias("fact"))
+    return held.where("NOT held").select("item", F.concat(F.lit("unsupported fact "), F.coalesce(F.try_element_at("fact", F.lit(1)), F.lit(""))).alias("problem"))
+
+
+def answer_summary(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """By group: answers, failed ones (error), and over the others the mean coverage of those that have facts, the grounded share, answers that break a rule and mean seconds. An item that failed counts and doesn't stop the rest."""
+    fine = F.col("error").isNull()
+    return answers.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~fine).alias("n_failed"), F.avg(F.when(fine, F.col("coverage"))).alias("coverage"), F.avg(F.when(fine, F.col("grounded").cast("double"))).alias("grounded_share"),
+        F.count_if(fine & (F.col("n_forbidden") > 0)).alias("n_forbidden"), F.avg(F.when(fine, F.col("seconds"))).alias("seconds"),
+    )
+
+
+def recall_by_kind(expected: DataFrame, hits: DataFrame) -> DataFrame:
+    """By kind of question: items, the mean share of their expected entries (item, kind, entry_id) among the hits (item, entry_id), and items without any."""
+    found = expected.join(hits.distinct().withColumn("__hit", F.lit(1)), ["item", "entry_id"], "left")
+    by_item = found.groupBy("item", "kind").agg((F.count("__hit") / F.count(F.lit(1))).alias("share"))
+    return by_item.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("share").alias("recall"), F.count_if(F.col("share") == 0).alias("n_missed"))
+
+
+def sampling_summary(candidates: DataFrame) -> DataFrame:
+    """One row: prompts, candidates (prompt, reward, gate), those that a rule stops, the mean reward and the mean of each prompt's best."""
+    by_prompt = candidates.groupBy("prompt").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gate") <= 0).alias("g"), F.sum("reward").alias("s"), F.max("reward").alias("best"))
+    return by_prompt.agg(F.count(F.lit(1)).alias("n_prompts"), F.sum("n").alias("n_candidates"), F.sum("g").alias("n_gated"), (F.sum("s") / F.sum("n")).alias("mean_reward"), F.avg("best").alias("mean_best"))

@@ -36,7 +36,7 @@ def merge_drop_caps(lines: DataFrame, factor: float = 1.8) -> DataFrame:
 
 def classify_lines(lines: DataFrame, body: DataFrame, furniture: DataFrame | None = None) -> DataFrame:
     """``lines`` with kind and level. body has doc_id and body (see :func:`structure.body_size`), furniture doc_id and key."""
-    rows = lines.join(F.broadcast(body.select("doc_id", "body")), "doc_id", "left") if "body" not in lines.columns else lines
+    rows = lines.join(body.select("doc_id", "body"), "doc_id", "left") if "body" not in lines.columns else lines
     key = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
     rows = rows.withColumn("key", key)
     repeated: Column = F.lit(False)

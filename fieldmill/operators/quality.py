@@ -97,6 +97,17 @@ def indexable(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(F.col("verdict"), F.lit("ok")).isin("ok", "warn"))
 
 
+def failing(rows: DataFrame, document: str, index: str) -> DataFrame:
+    """Rows that need a look: fail, then references, then warn, each by document and index."""
+    rank = F.array_position(F.array(*[F.lit(v) for v in ("fail", "references", "warn")]), F.col("verdict"))
+    return rows.where(F.col("verdict").isin("fail", "references", "warn")).orderBy(rank, document, index)
+
+
+def issue_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How often each category of issue occurs."""
+    return rows.select(*keys, F.explode("categories").alias("category")).groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("n"))
+
+
 def verdict_counts(rows: DataFrame, group: str) -> DataFrame:
     """Verdicts by group, one column each."""
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("ok", "warn", "fail", "references")])

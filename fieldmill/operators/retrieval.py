@@ -25,6 +25,8 @@ def norm(a: Column) -> Column:
 
 def pair_scores(queries: DataFrame, rows: DataFrame, query_vector: str, vector: str) -> DataFrame:
     """All (query, row) pairs with their cosine. Columns of the two tables must differ."""
+    # norms once a row, not once a pair
+    queries, rows = queries.withColumn("__nq", norm(F.col(query_vector))), rows.withColumn("__nr", norm(F.col(vector)))
     n = queries.count()
     if n <= MOST_BROADCAST_QUERIES:
         pairs = rows.crossJoin(F.broadcast(queries))
@@ -32,7 +34,7 @@ def pair_scores(queries: DataFrame, rows: DataFrame, query_vector: str, vector:
         k = -(-n // MOST_BROADCAST_QUERIES)
         dealt = queries.withColumn("__b", F.pmod(F.xxhash64(query_vector), F.lit(k)))
         pairs = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>"))).join(dealt, "__b").drop("__b")
-    return pairs.withColumn("score", dot(F.col(query_vector), F.col(vector)) / (norm(F.col(query_vector)) * norm(F.col(vector))))
+    return pairs.withColumn("score", dot(F.col(query_vector), F.col(vector)) / (F.col("__nq") * F.col("__nr"))).drop("__nq", "__nr")
 
 
 def top_k(scores: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:

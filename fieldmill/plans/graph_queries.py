@@ -212,7 +212,12 @@ def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.repeating_furniture(edge, least=3, share=0.05)
 
 
-@query("robust_outliers")
+@query(
+    "robust_outliers",
+    """WITH m AS (SELECT *, median(value) OVER (PARTITION BY event_type) AS m FROM events), d AS (SELECT *, greatest(median(abs(value - m)) OVER (PARTITION BY event_type) * 1.4826, 1e-6) AS s FROM m),
+z AS (SELECT user_id, event_id::VARCHAR AS t, (value - m) / s AS z FROM d)
+SELECT user_id, count(*) AS n, count(*) FILTER (z > 1) AS outliers, round(count(*) FILTER (z > 1) / count(*), 6) AS outlier_share, round(max(z), 6) AS max_z, first(t ORDER BY z DESC, t DESC) AS worst FROM z GROUP BY user_id""",
+)
 def robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select("event_type", "user_id", "value", F.col("event_id").cast("string").alias("text"))
     return evaluation.robust_outliers(rows, "event_type", "user_id", "value", "text", 1.0).withColumns({c: F.round(c, 6) for c in ("outlier_share", "max_z")})

@@ -32,7 +32,21 @@ def season_to_date_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return season.baseline_scores(counts, "category", "year", "n", 2000).withColumns(_r(["mean", "deviation", "z"]))
 
 
-@query("season_spikes")
+@query(
+    "season_spikes",
+    _ENTRIES
+    + """, counts AS (SELECT category, year, count(*) AS n FROM entries WHERE doy <= 200 GROUP BY ALL),
+s AS (
+  SELECT category, coalesce(max(n) FILTER (year = 1998), 0)::DOUBLE AS current, avg(n) FILTER (year <> 1998) AS mean,
+         stddev_pop(n) FILTER (year <> 1998) AS deviation, count(*) FILTER (year <> 1998) AS n_baseline
+  FROM counts GROUP BY category
+), z AS (
+  SELECT *, CASE WHEN n_baseline < 2 THEN 0 WHEN deviation = 0 THEN CASE WHEN current = mean THEN 0 ELSE (current - mean) / greatest(abs(mean) * 0.1, 0.5) END
+            ELSE (current - mean) / deviation END AS z FROM s WHERE n_baseline >= 3
+)
+SELECT category, current, round(mean, 6) AS mean, round(deviation, 6) AS deviation, n_baseline, round(z, 6) AS z, CASE WHEN z >= 2.5 THEN 'high' ELSE 'moderate' END AS severity
+FROM z WHERE z >= 1.5""",
+)
 def season_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return season.season_spikes(_order_entries(spark, sf_dir), "category", "year", "doy", 1998, 200).withColumns(_r(["mean", "deviation", "z"]))
 

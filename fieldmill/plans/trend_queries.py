@@ -19,7 +19,7 @@ def _order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
     customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     nations = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("category"))
-    return orders.join(customers, "o_custkey").join(F.broadcast(nations), "n_nationkey").select("o_orderkey", "category", "day", F.year("day").alias("year"), F.dayofyear("day").alias("doy"))
+    return orders.join(customers, "o_custkey").join(nations, "n_nationkey").select("o_orderkey", "category", "day", F.year("day").alias("year"), F.dayofyear("day").alias("doy"))
 
 
 _ENTRIES = """
