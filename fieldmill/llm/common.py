@@ -58,12 +58,18 @@ def count_of(spans: str, field: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s[field] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def text_offsets(col: pa.Array) -> np.ndarray:
+    """Where each text begins in the data of an Arrow column, and the end of the last one; of either width."""
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    return np.frombuffer(col.buffers()[1], dtype=np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1]
+
+
 def blocks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes in ``column``; a row is never cut."""
     at = batch.schema.get_field_index(column)
     batch = batch.set_column(at, column, batch.column(at).fill_null(""))
     col = batch.column(at)
-    offsets = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1]
+    offsets = text_offsets(col)
     start = 0
     while start < len(col):
         stop = int(np.searchsorted(offsets, int(offsets[start]) + limit, side="right"))

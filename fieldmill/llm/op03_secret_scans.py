@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, count_of, table
+from .common import blocks, count_of, table, text_offsets
 
 #: Bytes of text in a block of the index.
 BLOCK_BYTES = 4 << 20
@@ -209,7 +209,7 @@ class TrigramIndex:
     def __init__(self, vocabulary: dict[bytes, int], lookup: np.ndarray, texts: pa.StringArray):
         self.vocabulary, self.rows = vocabulary, len(texts)
         self.postings = np.zeros((len(vocabulary) + 1, self.rows), dtype=bool)
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + self.rows + 1]
+        offsets = text_offsets(texts)
         if not vocabulary or offsets[-1] - offsets[0] < 3:
             return
         data = _FOLD[np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]]

@@ -455,21 +455,32 @@ def store_documents(docs: DataFrame, keep_media: bool = True) -> DataFrame:
 
 
 def media_features(media: DataFrame, column: str = "media") -> DataFrame:
-    """``media`` with width, height and thumbnail hash of a column of baseline JPEG images."""
+    """``media`` with width, height and thumbnail hash of a column of baseline JPEG images, and why there are none (media_error): a null value or an image that can't be read costs its own row only."""
+
+    def read(values: list[bytes | None]) -> list[tuple[str | None, str | None]]:
+        """(feature, error) of each value; together if all can be read, else one by one."""
+        try:
+            if None not in values:
+                return [(feature(t), None) for t in dc_thumbnails(values)]
+        except (ValueError, KeyError, IndexError) as e:
+            if len(values) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+        if len(values) == 1:
+            return [(None, "no media")]
+        return [read([v])[0] for v in values]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 64):
                 part = batch.slice(i, 64)
-                found = [feature(t) for t in dc_thumbnails(part.column(part.schema.get_field_index(column)).to_pylist())]
-                size = [f.split(":")[0].split("x") for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([int(w) for w, _ in size], pa.int32()), pa.array([int(h) for _, h in size], pa.int32()), pa.array([f.split(":")[1] for f in found])],
-                    [*part.schema.names, "thumb_width", "thumb_height", "thumb_hash"],
-                )
+                found = read(part.column(part.schema.get_field_index(column)).to_pylist())
+                size = [f.split(":")[0].split("x") if f else (None, None) for f, _ in found]
+                width, height = (pa.array([int(x[k]) if x[k] else None for x in size], pa.int32()) for k in (0, 1))
+                hashes, errors = pa.array([f and f.split(":")[1] for f, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, width, height, hashes, errors], [*part.schema.names, "thumb_width", "thumb_height", "thumb_hash", "media_error"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in media.dtypes)
-    return media.mapInArrow(run, f"{schema}, thumb_width int, thumb_height int, thumb_hash string")
+    return media.mapInArrow(run, f"{schema}, thumb_width int, thumb_height int, thumb_hash string, media_error string")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:

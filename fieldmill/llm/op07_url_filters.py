@@ -146,13 +146,12 @@ def judge_urls_indexed(pages: DataFrame, rules: list[Rule], patterns: list[Patte
     kind = f"{OWN}token string, rank int, regex string, name string, verdict string"
     ranked = _ranked(list(rules), list(patterns))
     index = spark.createDataFrame([r for r in ranked if r[0]], kind)
-    always = spark.createDataFrame([r for r in ranked if not r[0]], kind)
     found = _prepared(pages)
     urls = found.select("host", "path", f"{OWN}subject", f"{OWN}tokens").dropDuplicates(["host", "path"])
     by_token = urls.withColumn(f"{OWN}token", F.explode(f"{OWN}tokens")).join(index, f"{OWN}token")
     candidates = by_token.select("host", "path", f"{OWN}subject", "rank", "regex", "name", "verdict")
     if any(not r[0] for r in ranked):
-        everywhere = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(x).alias("regex"), F.lit(n).cast("string").alias("name"), F.lit(v).alias("verdict")) for _, k, x, n, v in always.collect()]))
+        everywhere = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(x).alias("regex"), F.lit(n).cast("string").alias("name"), F.lit(v).alias("verdict")) for t, k, x, n, v in ranked if not t]))
         candidates = candidates.unionByName(urls.select("host", "path", f"{OWN}subject", everywhere.alias("r")).select("host", "path", f"{OWN}subject", "r.*"))
     best = candidates.groupBy("host", "path").agg(
         F.max(F.when(F.regexp(f"{OWN}subject", "regex"), F.struct("rank", "regex", "name", "verdict"))).alias(f"{OWN}best"), F.count(F.lit(1)).cast("int").alias(f"{OWN}n")

@@ -109,3 +109,15 @@ def test_media_column(odd_docs):
     stored = media.store_documents(odd_docs).select("doc_id", "media", "feature")
     for r in media.media_features(stored).collect():
         assert r["feature"] == f"{r['thumb_width']}x{r['thumb_height']}:{r['thumb_hash']}"
+
+
+def test_null_and_damaged_media_cost_their_own_row(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(3)
+    good = [bytes(r["media"]) for r in media.store_documents(docs).select("media").collect()]
+    rows = [(0, good[0]), (1, None), (2, b""), (3, b"no image"), (4, good[1][:-40]), (5, good[1].replace(b"\xff\xc4", b"\xff\xfe")), (6, good[2])]
+    found = {r["id"]: r for r in media.media_features(spark.createDataFrame(rows, "id int, media binary")).collect()}
+    assert len(found) == len(rows)
+    for i in (0, 6):
+        assert found[i]["thumb_hash"] and found[i]["media_error"] is None
+    for i in (1, 3, 4, 5):
+        assert found[i]["thumb_hash"] is None and found[i]["thumb_width"] is None and found[i]["media_error"]

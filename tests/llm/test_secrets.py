@@ -69,3 +69,15 @@ def test_whole_table(spark, sf_dir):
     for r in scan.op3_secret_scans(spark, sf_dir).collect():
         found = brute(docs[r["doc_id"]])
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in found) for i in range(3)]
+
+
+def test_wide_arrow_offsets():
+    import pyarrow as pa
+
+    from fieldmill.llm.common import blocks
+
+    texts = ["one", None, "token = abcdef123", "é" * 10, ""] * 20
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, kind)], ["doc_id", "text"]).slice(3)
+        cut = [t for b in blocks(batch, "text", 40) for t in b.column(1).to_pylist()]
+        assert cut == [t or "" for t in texts[3:]]

@@ -47,3 +47,20 @@ def test_path_token_may_go_on(spark):
 def test_empty_table(spark):
     assert urls.judge_urls(table(spark).where("false")).count() == 0
     assert urls.judge_urls_indexed(table(spark).where("false"), urls.CONTRACT_RULES).count() == 0
+
+
+def test_thousands_of_rules_equal_brute_force(spark):
+    """More rules than fit a literal, very long urls, and columns whose names clash with outputs."""
+    import random
+
+    rng = random.Random(9)
+    hosts = [f"{a}{i}.example.{b}" for i in range(40) for a in ("www", "cdn", "img") for b in ("com", "org")]
+    rules = list({r.name: r for r in (urls.Rule(rng.choice(hosts)[rng.choice((0, 3)) :].lstrip("."), rng.choice(("/", "/a/", "/a/b", "/x-y/", "/q")), rng.choice(("allow", "block"))) for _ in range(4000))}.values())
+    made = [f"http://{rng.choice(('', 'sub.'))}{rng.choice(hosts)}{rng.choice(('/a/b/c', '/x-y/1', '/', '/quick', ''))}" for _ in range(300)]
+    made += ["http://www1.example.com/a/" + "b" * 200_000, "http://" + "a." * 50_000 + "example.com/"]
+    pages = spark.createDataFrame([(i, u, "rule", "verdict", 1) for i, u in enumerate(made)], "page_id long, url string, rule string, verdict string, n_candidates int")
+    judged = urls.judge_urls_indexed(pages, rules).collect()
+    assert len(judged) == len(made) and len(rules) > 500
+    for r in judged:
+        host, path, rule, verdict = brute(made[r["page_id"]], rules)
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict or "allow")
