@@ -80,10 +80,25 @@ def season_weather_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return season.season_summary(rows, ["season"]).withColumns(_r(["avg_tmax"]))
 
 
-@query("weather_anomalies")
+@query(
+    "weather_anomalies",
+    "WITH "
+    + _DAILY
+    + """, w AS (
+  SELECT year(day) AS season, avg(temp_max_c) AS temperature, sum(precipitation_mm) - sum(et0_mm) AS water_balance FROM daily
+  WHERE temp_max_c IS NOT NULL AND day - make_date(year(day), 3, 1) BETWEEN 0 AND DATE '2000-07-29' - DATE '2000-03-01' AND year(day) BETWEEN 1994 AND 2000 GROUP BY 1
+), x AS (SELECT season, 'temperature' AS signal, temperature AS v FROM w UNION ALL SELECT season, 'water_balance', water_balance FROM w),
+s AS (
+  SELECT signal, coalesce(max(v) FILTER (season = 2000), 0) AS current, avg(v) FILTER (season <> 2000) AS mean, stddev_pop(v) FILTER (season <> 2000) AS deviation, count(v) FILTER (season <> 2000) AS n_baseline
+  FROM x WHERE v IS NOT NULL GROUP BY signal
+), z AS (
+  SELECT *, CASE WHEN deviation = 0 THEN CASE WHEN current = mean THEN 0 ELSE (current - mean) / greatest(abs(mean) * 0.1, 0.5) END ELSE (current - mean) / deviation END AS z FROM s WHERE n_baseline >= 3
+)
+SELECT signal, round(current, 6) AS current, round(mean, 6) AS mean, round(z, 6) AS z, CASE WHEN abs(z) >= 2.5 THEN 'high' ELSE 'moderate' END AS severity, n_baseline FROM z WHERE abs(z) >= 1.5""",
+)
 def weather_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = season.same_window(_daily(spark, sf_dir), "day", 2000, 3, 1, F.lit("2000-07-29").cast("date"), 6)
-    return season.weather_anomalies(season.season_summary(rows, ["season"]), 2000)
+    return season.weather_anomalies(season.season_summary(rows, ["season"]), 2000).withColumns(_r(["current", "mean", "z"]))
 
 
 def _site_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +187,12 @@ def soil_period_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return water.period_summary(rows, ["site", "year"]).drop("delta").withColumns(_r(["inflow", "etc", "drainage"], 3))
 
 
-@query("water_outlook")
+@query(
+    "water_outlook",
+    _BUCKET
+    + """SELECT site, round(sum(inflow), 4) AS inflow, round(sum(etc), 4) AS etc, round(max_by(depletion, day), 4) AS last_depletion, min(day) FILTER (status IN ('dry', 'dry soon')) AS first_dry_day
+FROM r WHERE day > DATE '2000-12-31' GROUP BY site""",
+)
 def water_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed days to the end of 2000 and the days after as a forecast."""
     days = _site_days(spark, sf_dir)
