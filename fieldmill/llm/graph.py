@@ -21,6 +21,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+#: Edges up to which a round is one task without any exchange.
+SMALL_EDGES = 100_000
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """node and root, its component's smallest node, for all nodes of an edge (u, v; long) but the roots.
 
@@ -28,6 +32,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     the larger and then at the smaller neighbours, until nothing changes; the
     number of rounds grows with the logarithm of the diameter. Nodes with many
     neighbours are met by partial aggregation and by joins that adaptive execution splits.
+    The edges never become more; once they are few, which is checked, they are one partition.
     """
     found = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
@@ -35,7 +40,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        found = checkpoint(_small_star(_large_star(found)))
+        few = found.coalesce(1) if before[0] <= SMALL_EDGES else found
+        found = checkpoint(_small_star(_large_star(few)))
         now = mark(found)
         if now == before:
             break

@@ -174,12 +174,12 @@ def cross_links(sets: list[np.ndarray], parts: np.ndarray, right: np.ndarray, le
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, node and part of the buckets whose nodes are in several components, once for each set of nodes."""
-    rows = members.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    """key, node and part of the buckets whose nodes are in several components, once for each set of nodes. labels is a checkpointed table."""
+    rows = members.join(_small(labels), "node", "left").withColumn("part", F.coalesce("part", "node"))
     number = F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))
     open_keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.sum(number).alias("mark"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("other")).where("low < high")
-    single = open_keys.groupBy("n", "mark", "other").agg(F.min("key").alias("key")).select("key", "n")
-    return rows.join(single, "key").select("key", "n", "node", "part")
+    single = checkpoint(open_keys.groupBy("n", "mark", "other").agg(F.min("key").alias("key")).select("key", "n"))
+    return rows.join(_small(single), "key").select("key", "n", "node", "part")
 
 
 def _remaining_links(apart: DataFrame, sets: DataFrame, least: float, chunk: int) -> DataFrame:
@@ -224,10 +224,12 @@ def _found(docs: DataFrame, least: float, chunk: int) -> DataFrame:
     for k in range(STARS + 1):
         labels = connected_components(links).select("node", F.col("root").alias("part"))
         apart = checkpoint(_apart(members, labels))
+        if not apart.head(1):
+            break
         if k < STARS:
             number = F.xxhash64("node", F.lit(k))
             least_of = apart.groupBy("key").agg(F.min(F.struct(number.alias("h"), "node", "part")).alias("m"))
-            pairs = apart.join(least_of, "key").where("part <> m.part").select(F.col("node").alias("u"), F.col("m.node").alias("v")).distinct()
+            pairs = apart.join(_small(checkpoint(least_of)), "key").where("part <> m.part").select(F.col("node").alias("u"), F.col("m.node").alias("v")).distinct()
             found = _verified(checkpoint(pairs), sets, least)
         else:
             found = _remaining_links(apart, sets, least, chunk)
