@@ -101,6 +101,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, tie long, fp long, print long, keys array<long>")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, a checkpointed table of numbers, as one partition if it has few rows, so that what follows needs no exchange."""
+    return df.coalesce(1) if df.count() <= MOST_BROADCAST else df
+
+
 def _small(df: DataFrame) -> DataFrame:
     """``df``, a checkpointed table, to be broadcast if it has few rows."""
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
@@ -142,7 +147,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     counts = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     total = pairs.count()
     hot = F.broadcast(checkpoint(counts.where(F.col("n") > total / HOT_SHARE).select("v").join(sets.withColumnRenamed("node", "v"), "v")))
-    rows = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
+    # few pairs go to the sets, which then stay where they are
+    rows = _small(pairs).join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
     cold = rows.join(hot.select("v"), "v", "left_anti").join(sets.select(F.col("node").alias("v"), "set"), "v")
     both = rows.join(hot, "v").select("u", "v", "a", "set").unionByName(cold.select("u", "v", "a", "set"))
     return both.mapInArrow(run, "u long, v long")
@@ -216,24 +222,24 @@ def _found(docs: DataFrame, least: float, chunk: int) -> DataFrame:
     rows = distinct.select(F.col("fp").alias("node"), F.explode("keys").alias("key"))
     # a frequent key is one row a task before it is shuffled
     shared = checkpoint(rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"))
-    members = checkpoint(rows.join(_small(shared), "key"))
-    candidates = checkpoint(_print_pairs(distinct))
+    members = _few(checkpoint(rows.join(_small(shared), "key")))
+    candidates = _few(checkpoint(_print_pairs(distinct)))
     wanted = members.select("node").union(candidates.select("u")).union(candidates.select("v")).distinct()
     sets = checkpoint(_sets(docs, wanted.join(distinct.select(F.col("fp").alias("node"), "first"), "node")))
-    links = checkpoint(_verified(candidates, sets, least))
+    links = _few(checkpoint(_verified(candidates, sets, least)))
     for k in range(STARS + 1):
         labels = connected_components(links).select("node", F.col("root").alias("part"))
-        apart = checkpoint(_apart(members, labels))
+        apart = _few(checkpoint(_apart(members, labels)))
         if not apart.head(1):
             break
         if k < STARS:
             number = F.xxhash64("node", F.lit(k))
             least_of = apart.groupBy("key").agg(F.min(F.struct(number.alias("h"), "node", "part")).alias("m"))
             pairs = apart.join(_small(checkpoint(least_of)), "key").where("part <> m.part").select(F.col("node").alias("u"), F.col("m.node").alias("v")).distinct()
-            found = _verified(checkpoint(pairs), sets, least)
+            found = _verified(_few(checkpoint(pairs)), sets, least)
         else:
             found = _remaining_links(apart, sets, least, chunk)
-        links = checkpoint(links.unionByName(found))
+        links = _few(checkpoint(links.unionByName(found)))
     return labelled(prints.select("doc_id", "tie", "fp"), distinct.select("fp", "first", "n"), connected_components(links))
 
 
