@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpoint, text_or_empty
+from .common import blocks, checkpoint, released, text_or_empty
 from .graph import connected_components
 from .op05_simhash import BITS, BLOCK_BYTES, HASH_SEED, HOT_SHARE, MOST_BROADCAST, PIVOTS, labelled, representatives
 from .op05_simhash import links as near_prints
@@ -98,7 +98,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 )
 
     plain = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("tie"), "text")
-    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, tie long, fp long, print long, keys array<long>")
+    return plain.mapInArrow(released(run), f"doc_id {dict(plain.dtypes)['doc_id']}, tie long, fp long, print long, keys array<long>")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     one = _small(checkpoint(wanted.select("node", F.col("first.doc_id").alias("id"), F.col("first.tie").alias("own"))))
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("tie"), "text")
     texts = rows.join(one, (F.col("tie") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text").dropDuplicates(["node"])
-    return texts.mapInArrow(run, "node long, set binary")
+    return texts.mapInArrow(released(run), "node long, set binary")
 
 
 def _print_pairs(distinct: DataFrame) -> DataFrame:
@@ -140,8 +140,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = ([np.frombuffer(x, dtype=np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            near = pa.array([jaccard(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
+            # one pair's sets at a time: a batch holds two of each row
+            near = pa.array([jaccard(*(np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in pair)) >= least for pair in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["u", "v"])
 
     counts = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
@@ -151,7 +151,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     rows = _small(pairs).join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
     cold = rows.join(hot.select("v"), "v", "left_anti").join(sets.select(F.col("node").alias("v"), "set"), "v")
     both = rows.join(hot, "v").select("u", "v", "a", "set").unionByName(cold.select("u", "v", "a", "set"))
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(released(run), "u long, v long")
 
 
 def cross_links(sets: list[np.ndarray], parts: np.ndarray, right: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
@@ -213,7 +213,7 @@ def _remaining_links(apart: DataFrame, sets: DataFrame, least: float, chunk: int
         yield solve()
 
     grouped = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return grouped.mapInArrow(run, "u long, v long")
+    return grouped.mapInArrow(released(run), "u long, v long")
 
 
 def _found(docs: DataFrame, least: float, chunk: int) -> DataFrame:

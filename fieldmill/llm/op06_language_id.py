@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, blocks, table
+from .common import OWN, blocks, released, table
 
 UNKNOWN = "und"
 DIMENSIONS = 512
@@ -137,7 +137,7 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(vector)], ["lang", "at", "value"])
 
     # the parts are whole numbers, so that their sum doesn't depend on the order
-    sums = labelled.select("text", "lang").mapInArrow(run, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
+    sums = labelled.select("text", "lang").mapInArrow(released(run), "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
     vectors: dict[str, np.ndarray] = {}
     found = sums.limit(MOST_LANGUAGES * DIMENSIONS + 1).collect()
     if len(found) > MOST_LANGUAGES * DIMENSIONS:
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, languages: dict[str, np.ndarray], lang_column: str,
         _vectors.cache_clear()
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, `{lang_column}` string, `{score_column}` double")
+    return docs.mapInArrow(released(run), f"{schema}, `{lang_column}` string, `{score_column}` double")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

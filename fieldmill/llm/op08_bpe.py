@@ -45,7 +45,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, release_memory, released, table
 
 #: Fixed: how byte-level BPE pre-splits a text.
 WORDS = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,10 +57,11 @@ KEPT_ARCS = 100_000
 KEPT_JUMPS = 100_000
 #: Slots of the table of arcs for words that are read side by side; a power of two.
 ARC_SLOTS = 1 << 18
-#: Words up to this length are read side by side, so many at once.
+#: Words up to this length are read side by side, so many at once, and so many times the length of the longest.
 SHORT_WORD = 64
 WORDS_AT_ONCE = 30_000
-BLOCK_BYTES = 4 << 20
+CELLS_AT_ONCE = 500_000
+BLOCK_BYTES = 1 << 20
 
 
 def default_vocabulary() -> str:
@@ -271,10 +272,12 @@ class Automaton:
             if len(word) > SHORT_WORD:
                 out[i] = np.array(self.encode(word), dtype="<u4").tobytes()
         short.sort(key=lambda i: -len(words[i]))
-        for k in range(0, len(short), WORDS_AT_ONCE):
-            some = short[k : k + WORDS_AT_ONCE]
+        k = 0
+        while k < len(short):
+            some = short[k : k + min(WORDS_AT_ONCE, CELLS_AT_ONCE // len(words[short[k]]))]
             for i, ids in zip(some, self._side_by_side([words[i] for i in some]), strict=True):
                 out[i] = ids
+            k += len(some)
         return out
 
     def _side_by_side(self, words: list[bytes]) -> list[bytes]:
@@ -350,9 +353,14 @@ class Encoder:
                 split.append([text])
             else:
                 split.append(self.special.split(text))
-        found = [[[part] if i % 2 else self.find(part) for i, part in enumerate(parts)] for parts in split]
-        known = dict.fromkeys(word for parts in found for words in parts[::2] for word in words)
-        known = dict(zip(known, self.automaton.encode_all([w.encode() for w in known]), strict=True))
+        own: dict[str, str] = {}  # a word is one string, however often it occurs
+
+        def words_of(part: str) -> list[str]:
+            words = self.find(part)
+            return list(map(own.setdefault, words, words))
+
+        found = [[[part] if i % 2 else words_of(part) for i, part in enumerate(parts)] for parts in split]
+        known = dict(zip(own, self.automaton.encode_all([w.encode() for w in own]), strict=True))
         special = {s: i.to_bytes(4, "little") for s, i in self.automaton.special.items()}
         return [b"".join(b"".join(map((special if i % 2 else known).__getitem__, words)) for i, words in enumerate(parts)) for parts in found]
 
@@ -372,6 +380,7 @@ def encoder(content: bytes) -> Encoder:
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(compile_vocabulary(content))
+        release_memory()
     return _ENCODERS[key]
 
 
@@ -390,7 +399,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
         _ENCODERS.clear()  # workers live on after their task: its tables are not left to what comes next
 
     plain = docs.select("doc_id", "text")
-    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, ids binary, decoded string")
+    return plain.mapInArrow(released(run), f"doc_id {dict(plain.dtypes)['doc_id']}, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
