@@ -16,6 +16,8 @@ from .op07_url_filters import ORACLE_OP7, op7_url_filters
 from .op08_bpe import op8_bpe
 from .op09_mixing import op9_mixing
 from .op10_sharding import op10_sharding
+from .op11_period_runs import op11_period_runs
+from .op13_filter_audit import ORACLE_OP13, op13_filter_audit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_period_runs": op11_period_runs,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op7_url_filters": ORACLE_OP7}
+ORACLES: dict[str, str] = {"op7_url_filters": ORACLE_OP7, "op13_filter_audit": ORACLE_OP13}
