@@ -17,6 +17,7 @@ from .op08_bpe import op8_bpe
 from .op09_mixing import op9_mixing
 from .op10_sharding import op10_sharding
 from .op11_period_runs import op11_period_runs
+from .op12_passage_quality import op12_passage_quality
 from .op13_filter_audit import ORACLE_OP13, op13_filter_audit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
     "op11_period_runs": op11_period_runs,
+    "op12_passage_quality": op12_passage_quality,
     "op13_filter_audit": op13_filter_audit,
 }
 
