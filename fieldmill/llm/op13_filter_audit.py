@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import OWN, released, table, text_or_empty
@@ -122,11 +122,11 @@ def audit(rows: DataFrame, filters: list[str], labels: list[str], part: str) ->
     orders = [("".join(filters[f] for f in order), step + 1, sum(1 << f for f in order[:step]), order[step]) for order in itertools.permutations(range(n)) for step in range(n)]
     before = F.bit_count("mask").cast("int")
     weights = F.array(*[F.lit(math.factorial(s) * math.factorial(n - 1 - s)) for s in range(n)])
-    counts = count_subsets(rows, filters, labels, part)
-    shapley = counts.groupBy("part", "filter").agg(F.sum(F.col("removed") * F.get(weights, before)).cast("long").alias("shapley"))
+    shapley = F.sum(F.col("removed") * F.get(weights, before)).over(Window.partitionBy("part", "filter")).cast("long")
+    counts = count_subsets(rows, filters, labels, part).withColumn("shapley", shapley)
     listed = rows.sparkSession.createDataFrame(orders, "filter_order string, step int, mask int, filter int")
     # as many rows as there are orders and steps, whatever the input
-    return counts.join(shapley, ["part", "filter"]).join(F.broadcast(listed), ["mask", "filter"]).drop("mask", "filter")
+    return counts.join(F.broadcast(listed), ["mask", "filter"]).drop("mask", "filter")
 
 
 def seen_before(docs: DataFrame, digest: str, flag: str) -> DataFrame:
