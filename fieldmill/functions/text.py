@@ -342,9 +342,10 @@ def page_number(text: Column) -> Column:
 
 
 def ocr_junk(text: Column) -> Column:
-    """Eight tokens or fewer, of which three fifths have two characters or fewer."""
+    """Eight tokens or fewer, of which three fifths have two characters or fewer without the marks around them; never a text that ends a sentence."""
     t = tokens(text)
-    return F.size(t).between(1, 8) & (F.size(F.filter(t, lambda x: F.length(x) <= 2)) >= 0.6 * F.size(t))
+    bare = lambda x: F.regexp_replace(x, r"^[\^*'\".,;:]+|[\^*'\".,;:]+$", "")  # noqa: E731  fixed: the marks
+    return F.size(t).between(1, 8) & (F.size(F.filter(t, lambda x: F.length(bare(x)) <= 2)) >= 0.6 * F.size(t)) & ~ends_sentence(text)
 
 
 def format_pages(pages: Column) -> Column:

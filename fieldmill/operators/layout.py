@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 _PAGE = ("doc_id", "page")
+#: Fixed: what begins the caption of a table, and a footnote.
+TABLE_CAPTION = r"(?i)^(?:[A-Z]{1,3}-?\d{2,6}\s+)?(?:table|tabel)\s*[\dIVX]+\s*[.:\u2014\u2013-]"
+FOOTNOTE = r"^[\^*\u2020\u2021]\s?[A-Z][a-z]"
+#: Fixed: how far the left edge of a caption's next piece may be off, how far above or below the last piece it may begin, and its most words.
+CAPTION_INDENT, CAPTION_GAP, CAPTION_WORDS = 14, (-14, 12), 45
+#: Fixed: most words of a label at the start of a line.
+LABEL_WORDS = 8
 
 
 def visual_lines(spans: DataFrame, tolerance: float = 3.0) -> DataFrame:
@@ -85,3 +92,79 @@ def interleave(text_blocks: DataFrame, visuals: DataFrame) -> DataFrame:
 def is_scan(spread: Column, least: float = 2.0) -> Column:
     """A recognised scan has sizes all over the place; typeset text has few."""
     return spread >= least
+
+
+def _until_broken(rows: DataFrame, group: tuple[str, ...], order: str, opens: Column, fits: Column) -> DataFrame:
+    """``rows`` with __chain: the place of the opening row for it and for every row after it up to the first that doesn't fit; null for others.
+
+    A row belongs to the last opening row before it. The first row that breaks its chain ends it for good, whatever fits after it.
+    """
+    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__opens", F.coalesce(opens, F.lit(False))).withColumn("__fits", F.coalesce(fits, F.lit(False)))
+    rows = rows.withColumn("__chain", F.last(F.when(F.col("__opens"), F.col(order)), ignorenulls=True).over(upto))
+    end = F.min(F.when(~F.col("__opens") & ~F.col("__fits"), F.col(order))).over(Window.partitionBy(*group, "__chain"))
+    return rows.withColumn("__end", end).withColumn("__chain", F.when(F.col("__end").isNull() | (F.col(order) < F.col("__end")), F.col("__chain"))).drop("__end")
+
+
+def table_zones(blocks: DataFrame, group: tuple[str, ...] = _PAGE, order: str = "pos") -> DataFrame:
+    """``group``, ``order``, kind, text and the number of pieces of blocks, where what follows the caption of a table is one block.
+
+    A zone opens at a caption that names a table and closes before the first block that reads as running prose or is neither
+    table, paragraph nor figure. In it the caption's second line goes to the caption, tables, footnotes and short fragments become
+    the lines of one table, and figures are left out. Nulls in kind count as no kind, null texts as empty.
+    """
+    at = Window.partitionBy(*group).orderBy(order)
+    text, n = F.col("text"), T.word_count(F.col("text"))
+    rows = blocks.select(*group, order, F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    opens = (F.col("kind") == "caption") & F.regexp(text, F.lit(TABLE_CAPTION))
+    rows = rows.withColumn("__caption", F.lag(F.when(opens, text)).over(at))
+    paragraph = F.col("kind") == "paragraph"
+    second = paragraph & F.col("__caption").isNotNull() & ~F.regexp("__caption", F.lit(r"[.?]\s*$")) & (F.regexp(text, F.lit(r"^\p{Ll}")) | (n < 40))
+    row = (F.col("kind") == "table") | (paragraph & ((F.regexp(text, F.lit(FOOTNOTE)) & (n <= 70)) | ((n < 12) & ~T.ends_sentence(text))))
+    rows = rows.withColumn("__second", F.coalesce(second, F.lit(False))).withColumn("__row", row & ~F.col("__second"))
+    rows = _until_broken(rows, group, order, opens, F.col("__second") | F.col("__row") | (F.col("kind") == "figure"))
+    inner = F.col("__chain").isNotNull() & ~F.col("__opens")
+    more = F.lead(F.when(F.col("__second"), text)).over(at)
+    rows = rows.withColumn("text", F.when(F.col("__opens") & more.isNotNull(), F.concat_ws(" ", text, more)).otherwise(text))
+    rows = rows.where(~inner | F.col("__row")).withColumn("__block", F.when(inner, F.col("__chain")).otherwise(F.col(order))).withColumn("__inner", inner)
+    found = rows.groupBy(*group, "__block", "__inner").agg(F.min(order).alias(order), F.when(F.first("__inner"), "table").otherwise(F.first("kind")).alias("kind"), F.array_sort(F.collect_list(F.struct(order, "text"))).alias("__lines"))
+    return found.select(*group, order, "kind", F.array_join(F.transform("__lines", lambda x: x["text"]), "\n").alias("text"), F.size("__lines").alias("pieces"))
+
+
+def fold_captions(blocks: DataFrame, group: tuple[str, ...] = _PAGE, order: str = "pos") -> DataFrame:
+    """``group``, ``order``, kind, text, x, y, y1 and the number of pieces of blocks, with the later pieces of a caption taken into it.
+
+    A piece is a paragraph of few words at the caption's left edge, right below (or a little above) the end of the piece before,
+    where the caption hasn't ended a sentence yet or the piece doesn't begin with a capital. The anchor moves down with each
+    piece; x, y and y1 are the left edge, the top and the bottom. A null x can neither open nor continue a caption.
+    """
+    at = Window.partitionBy(*group).orderBy(order)
+    rows = blocks.select(*group, order, F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "x", "y", "y1")
+    opens = (F.col("kind") == "caption") & F.col("x").isNotNull()
+    edge = F.last(F.when(opens, F.col("x")), ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, -1))
+    # within a chain the row before is the piece before
+    gap, unfinished = F.col("y") - F.lag("y1").over(at), ~T.ends_sentence(F.lag("text").over(at)) | ~F.regexp("text", F.lit(r"^\p{Lu}"))
+    fits = (F.col("kind") == "paragraph") & (F.abs(F.col("x") - edge) <= CAPTION_INDENT) & gap.between(*CAPTION_GAP) & (T.word_count(F.col("text")) <= CAPTION_WORDS) & unfinished
+    rows = _until_broken(rows, group, order, opens, fits)
+    rows = rows.withColumn("__block", F.coalesce("__chain", order))
+    first = lambda c: F.min_by(c, order).alias(c)
+    found = rows.groupBy(*group, "__block").agg(F.min(order).alias(order), first("kind"), F.array_sort(F.collect_list(F.struct(order, "text"))).alias("__lines"), first("x"), first("y"), F.max_by("y1", order).alias("y1"))
+    return found.select(*group, order, "kind", F.array_join(F.transform("__lines", lambda x: x["text"]), " ").alias("text"), "x", "y", "y1", F.size("__lines").alias("pieces"))
+
+
+def run_in_headings(spans: DataFrame, line: tuple[str, ...] = ("doc_id", "page", "line")) -> DataFrame:
+    """The lines of ``spans`` (x0, bold, text) as text, and where a line begins with a short bold label before regular text that begins with a capital, the label apart.
+
+    Returns ``line``, part (0 for a label or a whole line, 1 for what follows a label), kind (heading, or null for what is to be
+    classified) and text. Spans without a visible character don't end a label. A line without text gives no row.
+    """
+    rows = spans.withColumn("__plain", F.when(~F.coalesce("bold", F.lit(False)) & (T.normalize_text(F.col("text")) != ""), F.col("x0")))
+    rows = rows.withColumn("__from", F.min("__plain").over(Window.partitionBy(*line)))
+    rows = rows.withColumn("__rest", F.coalesce(F.col("x0") >= F.col("__from"), F.lit(False)))
+    pieces = rows.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("x0", "text", "__rest"))).alias("p"))
+    joined = lambda keep: T.normalize_text(F.array_join(F.transform(F.filter("p", keep), lambda s: F.coalesce(s["text"], F.lit(""))), ""))
+    pieces = pieces.withColumns({"__label": joined(lambda s: ~s["__rest"]), "__body": joined(lambda s: s["__rest"]), "__all": joined(lambda s: F.lit(True))})
+    apart = (F.col("__label") != "") & (T.word_count(F.col("__label")) <= LABEL_WORDS) & F.regexp("__body", F.lit(r"^\p{Lu}"))
+    part = lambda n, kind, text: F.struct(F.lit(n).alias("part"), F.lit(kind).cast("string").alias("kind"), F.col(text).alias("text"))
+    parts = F.when(apart, F.array(part(0, "heading", "__label"), part(1, None, "__body"))).otherwise(F.array(part(0, None, "__all")))
+    return pieces.select(*line, F.explode(parts).alias("q")).select(*line, "q.*").where("text <> ''")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAME_STEP = 0.893
+from .linking import components, settled
+
+#: Fixed: the cosine from which two steps are one, and how many of the nearest clusters are looked at.
+SAME_STEP, NEAREST = 0.893, 5
 MAX_ATTRIBUTES, MAX_SOURCES = 3, 5
 
 
@@ -20,37 +24,145 @@ def collect_steps(traces: DataFrame) -> DataFrame:
     return traces.withColumn("steps", kept).where(F.size("steps") >= 2)
 
 
-def canonical_steps(steps: DataFrame, threshold: float = SAME_STEP) -> DataFrame:
-    """(pos, node, label): each step joins the first of the five nearest clusters that is near enough and has its guard, else starts one.
+#: Random projections for the vectors that may be near: bands, and the share of bands in which two vectors at the threshold meet.
+BANDS, MEET = 120, 0.08
+#: Vectors that are compared at once, and that a group holds or so.
+TILE, PACKED = 1024, 8192
+
+
+def _projection_keys(vectors: DataFrame, threshold: float) -> DataFrame:
+    """``vectors`` (with ``vector``) once for each band, with the signs of a few random projections as ``key``.
+
+    Vectors at the threshold agree in a projection's sign with probability 1 - acos(threshold) / pi, so they meet in no band with
+    probability (1 - MEET)**BANDS or so, 5 in 100,000; nearer ones less.
+    """
+    agree = 1 - math.acos(threshold) / math.pi
+    bits = max(1, int(math.log(MEET) / math.log(agree)))
+    weights = (1 << np.arange(bits)).astype(np.int64)
+
+    @F.pandas_udf("array<long>")
+    def keys(vector: pd.Series) -> pd.Series:
+        x = np.stack(vector.to_numpy()).astype(np.float64)
+        planes = np.random.Generator(np.random.PCG64(77)).standard_normal((x.shape[1], BANDS * bits))
+        return pd.Series(list(((x @ planes > 0).reshape(len(x), BANDS, bits) * weights).sum(axis=2)))
+
+    return vectors.select("*", F.posexplode(keys("vector")).alias("band", "key"))
+
 
-    ``steps`` has family, pos, action, guard (text) and embedding of unit length. The
-    greedy clustering runs per family and guard, which never merge with others, so
-    a group is one guard's steps.
+def _near_links(vectors: DataFrame, threshold: float, across: bool) -> DataFrame:
+    """(a, b) that connect all of ``vectors`` (id, root, vector, begins, ends) that are near each other, as few as connect them.
+
+    With ``across``, a pair counts if its roots differ and one's id lies in the other's span (begins, ends], and the roots are
+    linked. A key's vectors are dealt into tiles by a hash, and each pair of tiles is a cell; cells are packed by a hash into groups of some
+    thousand vectors, so that memory is bounded. Work grows with the square of the vectors that share a key.
     """
+    keyed = _projection_keys(vectors, threshold)
+    tiles = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("n > 1 AND r <> s").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    packs = max(1, vectors.count() * BANDS // PACKED)
+    dealt = keyed.join(tiles.select("band", "key", "tiles"), ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    pair = lambda k: F.struct(F.least("tile", k).alias("i"), F.greatest("tile", k).alias("j"))
+    dealt = dealt.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), pair))).withColumn("cell", F.xxhash64("band", "key", "p"))
+    dealt = dealt.select(F.pmod("cell", F.lit(packs)).alias("pack"), "cell", (F.col("p.i") != F.col("p.j")).alias("mixed"), "tile", "id", "root", F.transform("vector", lambda x: x.cast("float")).alias("vector"), "begins", "ends")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        centres = np.zeros((0, len(group["embedding"].iloc[0])))
-        members: list[list[int]] = []
-        home = []
-        for i, e in enumerate(group["embedding"]):
-            e = np.asarray(e, dtype=float)
-            near = int(np.argmax(centres @ e)) if len(members) else -1
-            if near >= 0 and centres[near] @ e >= threshold:
-                members[near].append(i)
-                centres[near] += (e - centres[near]) / len(members[near])
-                centres[near] /= np.linalg.norm(centres[near])
-            else:
-                near = len(members)
-                members.append([i])
-                centres = np.vstack((centres, e))
-            home.append(near)
-        actions = group["action"].tolist()
-        labels = [Counter(actions[i] for i in m).most_common(1)[0][0] for m in members]
-        first = [int(group["pos"].iloc[m[0]]) for m in members]
-        return pd.DataFrame({"pos": group["pos"], "node": [first[h] for h in home], "label": [labels[h] for h in home]})
-
-    return steps.select("guard", "pos", "action", "embedding").groupBy("guard").applyInPandas(run, "pos long, node long, label string")
+        group = group.sort_values("cell", kind="stable")
+        vector = np.stack(group["vector"].to_numpy())
+        ids, root, tile, mixed, begins, ends = (group[c].to_numpy() for c in ("id", "root", "tile", "mixed", "begins", "ends"))
+        found: set[tuple[int, int]] = set()
+        cuts = np.flatnonzero(np.diff(group["cell"].to_numpy())) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
+            x, r = vector[a:b], root[a:b]
+            near = np.triu(x @ x.T >= threshold - 1e-5, 1) & (r[:, None] != r)  # a link too many does no harm
+            if mixed[a]:
+                near &= tile[a:b, None] != tile[a:b]
+            if across and near.any():
+                alive = (ids[a:b] > begins[a:b, None]) & (ids[a:b] <= ends[a:b, None])
+                near &= alive | alive.T
+            found.update((min(p, q), max(p, q)) for p, q in zip(*(r[side].tolist() for side in np.nonzero(near)), strict=True))
+        parent: dict[int, int] = {}
+
+        def top(k: int) -> int:
+            while parent.setdefault(k, k) != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        kept = []
+        for a, b in sorted(found):
+            p, q = top(a), top(b)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                kept.append((a, b))
+        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("pack").applyInPandas(run, "a long, b long").distinct()
+
+
+def _one_by_one(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The greedy pass over a canopy: each step's node, label and the span for which the centre that it left behind stood."""
+    group = group.sort_values("pos")
+    e = np.stack(group["embedding"].to_numpy()).astype(np.float64)
+    guards, positions = group["guard"].tolist(), group["pos"].tolist()
+    centres, members, home, after = np.empty_like(e), [], [], np.empty_like(e)
+    for i in range(len(e)):
+        near = centres[: len(members)] @ e[i]
+        at = -1
+        for j in np.argsort(-near, kind="stable")[:NEAREST]:
+            if near[j] < threshold:
+                break
+            if guards[members[j][0]] == guards[i]:
+                at = int(j)
+                break
+        if at < 0:
+            at = len(members)
+            centres[at] = e[i]
+            members.append([i])
+        else:
+            members[at].append(i)
+            centres[at] += (e[i] - centres[at]) / len(members[at])
+            centres[at] /= np.linalg.norm(centres[at])
+        home.append(at)
+        after[i] = centres[at]
+    actions = group["action"].tolist()
+    labels = [Counter(actions[i] for i in m).most_common(1)[0][0] for m in members]
+    until = np.full(len(e), np.iinfo(np.int64).max)
+    for m in members:
+        until[m[:-1]] = [positions[i] for i in m[1:]]
+    return pd.DataFrame({"root": group["root"].to_numpy(), "pos": positions, "node": [positions[members[h][0]] for h in home], "label": [labels[h] for h in home], "vector": list(after), "begins": positions, "ends": until})
+
+
+def canonical_steps(steps: DataFrame, threshold: float = SAME_STEP) -> DataFrame:
+    """(pos, node, label, canopy): steps in the order of pos, each in the first of the five nearest clusters that is near enough and has its guard, else in a new one.
+
+    ``steps`` has pos (unique), action, guard and embedding of unit length; a node is named by its first step's pos. The result is
+    that of one pass over all steps, but steps that can't touch each other never share a task: near steps, found by signed random
+    projections, are linked, the connected ones are a canopy, and the pass runs within each. A cluster's centre moves, so afterwards every step is held
+    against the centres that other canopies had at its time; canopies that would have touched become one and run again.
+    ``canopy`` is the group's smallest pos, so that the largest group can be read off.
+    """
+    rows = settled(steps.select("pos", "guard", "action", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")))
+    # of equal vectors one stands for all
+    same = rows.groupBy("embedding").agg(F.min("pos").alias("id"), F.collect_list("pos").alias("all"))
+    own = same.select("id", F.col("id").alias("root"), F.col("embedding").alias("vector"), F.lit(0).cast("long").alias("begins"), F.lit(0).cast("long").alias("ends"))
+    copies = rows.join(same.select("embedding", "id"), "embedding").select(F.col("pos").alias("a"), F.col("id").alias("b")).where("a <> b")
+    links = settled(_near_links(own, threshold, across=False).union(copies))
+    plain = rows.select(F.col("pos").alias("id"), F.col("embedding").alias("vector"))
+
+    def one_by_one(group: pd.DataFrame) -> pd.DataFrame:
+        return _one_by_one(group, threshold)
+
+    schema = "root long, pos long, node long, label string, vector array<double>, begins long, ends long"
+    while True:
+        roots = components(links)
+        placed = rows.join(roots.select(F.col("node").alias("pos"), "root"), "pos", "left").withColumn("root", F.coalesce("root", "pos"))
+        found = settled(placed.groupBy("root").applyInPandas(one_by_one, schema))
+        # centres of one step are that step, which was compared already
+        centres = found.where("node <> pos").select((-F.col("pos") - 1).alias("id"), "root", "vector", "begins", "ends")
+        singles = plain.join(found.select(F.col("pos").alias("id"), "root"), "id").select("id", "root", "vector", F.lit(0).cast("long").alias("begins"), F.lit(0).cast("long").alias("ends"))
+        touching = settled(_near_links(singles.union(centres), threshold, across=True))
+        if not touching.limit(1).count():
+            return found.select("pos", "node", "label", F.col("root").alias("canopy"))
+        links = settled(links.union(touching))
 
 
 def next_pairs(steps: DataFrame, trace: str, order: str, node: str) -> DataFrame:
@@ -76,15 +188,22 @@ def strongest_next(edge_rows: DataFrame, most: int = 3) -> DataFrame:
     return edge_rows.withColumn("rank", k).where(F.col("rank") <= most)
 
 
-def greedy_walk(edge_rows: DataFrame, start, length: int = 8) -> list:
-    """From a start along the strongest edge to a node not yet seen. One small lookup for each step."""
-    path = [start]
-    while len(path) < length:
-        best = edge_rows.where((F.col("u") == F.lit(path[-1])) & ~F.col("v").isin(path)).orderBy(F.desc("support"), "v").head()
-        if best is None:
-            break
-        path.append(best["v"])
-    return path
+def greedy_walks(edge_rows: DataFrame, starts: DataFrame | None = None, length: int = 8) -> DataFrame:
+    """(start, path) of every start node: along the strongest edge to a node not yet seen, ties by node, up to ``length`` nodes.
+
+    All walks go on together, a join for each step, in one plan. A node's ``length`` strongest neighbours are enough: fewer
+    nodes have been seen, so one of these is free if any is. ``starts`` has u; without it every node with an edge starts.
+    """
+    k = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("support"), "v"))
+    best = edge_rows.where("u <> v").withColumn("k", k).where(F.col("k") <= length)
+    after = best.groupBy("u").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("__after"))
+    walks = (starts if starts is not None else edge_rows).select(F.col("u").alias("start")).distinct().withColumn("path", F.array("start"))
+    for _ in range(length - 1):
+        stepped = walks.withColumn("u", F.element_at("path", -1)).join(after, "u", "left")
+        free = F.get(F.filter(F.coalesce("__after", F.array().cast(dict(after.dtypes)["__after"])), lambda v: ~F.array_contains("path", v)), F.lit(0))
+        # a walk that has ended stays where it is, as its last node offers nothing new
+        walks = stepped.withColumn("__free", free).select("start", F.when(F.col("__free").isNotNull(), F.concat("path", F.array("__free"))).otherwise(F.col("path")).alias("path"))
+    return walks
 
 
 def nearest_node(nodes: DataFrame, queries: DataFrame, least: float = 0.6) -> DataFrame:

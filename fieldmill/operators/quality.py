@@ -139,16 +139,6 @@ def page_residue(units: DataFrame, document: str, chunk: str, text: str, size: i
     return found.join(words, [document, "h"]).drop("h")
 
 
-def page_residue(units: DataFrame, document: str, chunk: str, text: str, size: int = 6, least: int = 4) -> DataFrame:
-    """Runs of six words that occur in four chunks of a document or more, at least half of them at the start of a unit."""
-    w = F.col("__w")
-    grams = F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.struct(F.lower(F.array_join(F.slice(w, i + 1, F.lit(size)), " ")).alias("gram"), (i == 0).alias("start"))))
-    rows = units.select(document, chunk, T.tokens(F.col(text)).alias("__w")).select(document, chunk, F.explode(grams).alias("g")).select(document, chunk, "g.*")
-    by_chunk = rows.groupBy(document, "gram", chunk).agg(F.count(F.lit(1)).alias("n"), F.count_if("start").alias("s"))
-    found = by_chunk.groupBy(document, "gram").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n"), F.sum("s").alias("n_start"))
-    return found.where((F.col("n_chunks") >= least) & (F.col("n_start") >= 0.5 * F.col("n")))
-
-
 def repair(rows: DataFrame, text: str = "text", most: float = 0.3, garbled: str | None = None) -> DataFrame:
     """Texts without their incomplete sentences and those that hold a token of the array column ``garbled``, if these are three tenths or fewer; the raw text and what was dropped are kept. Always made from text_raw, so that repairing twice changes nothing."""
     raw = F.col("text_raw") if "text_raw" in rows.columns else F.col(text)

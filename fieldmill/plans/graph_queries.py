@@ -132,8 +132,30 @@ def edge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("canonical_steps")
 def canonical_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("guard"), F.col("vec_id").alias("pos"), F.concat(F.lit("step "), F.col("vec_id") % 5).alias("action"), "embedding")
-    return procedures.canonical_steps(rows, 0.5)
+    """Each vector leans three to one on the first of its ten, so that some of these are one step."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    first = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("first"), F.col("embedding").alias("onto"))
+    rows = vectors.withColumn("first", F.col("vec_id") - F.col("vec_id") % 10).join(first, "first")
+    rows = rows.withColumn("embedding", F.zip_with("embedding", "onto", lambda x, y: x.cast("double") + 3 * y))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    steps = rows.select(F.col("vec_id").alias("pos"), (F.col("vec_id") % 2).cast("string").alias("guard"), F.concat(F.lit("step "), F.col("vec_id") % 5).alias("action"), F.transform("embedding", lambda x: x / length).alias("embedding"))
+    return procedures.canonical_steps(steps)
+
+
+@query(
+    "greedy_walks",
+    """WITH RECURSIVE p AS (SELECT l_partkey AS u, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS v FROM lineitem),
+e AS (SELECT u, v, count(*) AS support FROM p WHERE v IS NOT NULL AND u <> v GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY support DESC, v) AS k FROM e),
+a AS (SELECT u, list(v ORDER BY k) AS onward FROM k GROUP BY u),
+w(start, path) AS (SELECT u, [u] FROM a UNION ALL SELECT start, list_append(path, list_filter(onward, lambda v: NOT list_contains(path, v))[1]) FROM w JOIN a ON a.u = path[-1] WHERE len(path) < 8 AND len(list_filter(onward, lambda v: NOT list_contains(path, v))) > 0)
+SELECT start, arg_max(array_to_string(path, '>'), len(path)) AS path, max(len(path))::INT AS n FROM w GROUP BY start""",
+)
+def greedy_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes, each followed by the next one of its order; walks from all of them."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("at"), "l_partkey")
+    found = procedures.greedy_walks(procedures.edges(procedures.next_pairs(lines, "l_orderkey", "at", "l_partkey")))
+    return found.select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.size("path").alias("n"))
 
 
 @query("hash_split_stable", "SELECT doc_id, CASE WHEN (('0x' || md5(doc_id::VARCHAR))::UHUGEINT % 1000) < 100 THEN 'validation' ELSE 'train' END AS split FROM documents")
@@ -206,7 +228,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("furniture_lines")
 def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last lines that repeat over the documents of a source, as if these were its pages."""
-    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page"), F.split("text", "\n").alias("l"))
+    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.split("text", "\n").alias("l"))
     edges = F.array_distinct(F.array(F.struct(F.lit(0).alias("pos"), F.col("l")[0].alias("text")), F.struct(F.lit(1).alias("pos"), F.element_at("l", -1).alias("text"))))
     edge = rows.select("doc_id", "page", F.explode(edges).alias("e")).select("doc_id", "page", "e.*").where(F.length("text").between(6, 90))
     return structure.repeating_furniture(edge, least=3, share=0.05)

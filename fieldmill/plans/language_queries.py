@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assistant, lexicon, quality
 from .registry import query, read
-
-#: Accented letters of the languages of the documents.
-_ACCENTS = {"en": "", "de": "äöüß", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíñóúü"}
+from .text_queries import ACCENTS
 
 _CONCEPTS = {"licence": ["licensed", "copyright"], "secret": ["password", "token"], "the": ["the"]}
 
@@ -39,7 +37,7 @@ SELECT doc_id, n_words, coalesce(n, 0) AS n_unknown, round_even(CASE WHEN n_word
 )
 def lexical_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    unknown = lexicon.unknown_words(docs, "doc_id", lexicon.corpus_lexicon(docs), quality.protected_terms(docs), accents=_ACCENTS)
+    unknown = lexicon.unknown_words(docs, "doc_id", lexicon.corpus_lexicon(docs), quality.protected_terms(docs), accents=ACCENTS)
     return lexicon.lexical_noise(docs, "doc_id", unknown)
 
 
@@ -58,7 +56,7 @@ UNION SELECT lang, w FROM w WHERE NOT regexp_matches(w, '^\p{{Lu}}') AND lower(w
 )
 def garbled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return lexicon.garbled_tokens(docs, "lang", quality.protected_terms(docs), accents=_ACCENTS)
+    return lexicon.garbled_tokens(docs, "lang", quality.protected_terms(docs), accents=ACCENTS)
 
 
 @query(

@@ -9,6 +9,9 @@ from ..functions import text as T
 from ..operators import lexicon, quality
 from .registry import query, read
 
+#: Accented letters of the languages of the documents.
+ACCENTS = {"en": "", "de": "äöüß", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíñóúü"}
+
 _STOP_EN = ", ".join(f"'{w}'" for w in T.STOPWORDS["en"])
 _LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 _TOKENS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
@@ -35,7 +38,7 @@ def text_quality_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality gate over documents: signals, the share of unknown words, verdict. The first line is the title."""
     docs = read(spark, sf_dir, "documents").withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
-    unknown = lexicon.unknown_words(docs, "doc_id", lexicon.corpus_lexicon(docs), quality.protected_terms(docs))
+    unknown = lexicon.unknown_words(docs, "doc_id", lexicon.corpus_lexicon(docs), quality.protected_terms(docs), accents=ACCENTS)
     noise = lexicon.lexical_noise(docs, "doc_id", unknown).select("doc_id", "oov_ratio")
     return quality.verdict(quality.signals(docs).join(noise, "doc_id", "left"))
 
