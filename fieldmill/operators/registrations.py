@@ -1,89 +1,147 @@
-"""Product registrations: nested records to uses, and uses to rows.
+"""Product registrations: nested records (JSON) to products and uses.
 
-The tree of crops has no fixed depth, so a record is read in Python, a batch at a
-time; everything after that is expressions on the flat columns.
+Everything is expressions: the fields of a record are read with a schema, and the trees of crops and organisms, which have
+no fixed depth, are walked by recursive SQL over variants, all trees of a table at once, a level a step.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-USES = "product_id string, product string, expires date, use_no int, use_name string, crops array<string>, organisms array<string>, dose double, dose_unit string, per_season double, least_gap int, month_from int, month_to int"
-
-
-def crop_names(nodes: list | None) -> list[str]:
-    """Selected leaves, groups marked complete, and everything below these."""
-    found: set[str] = set()
-    todo = [(n, False) for n in nodes or []]
-    while todo:
-        node, whole = todo.pop()
-        name = node.get("crop") or node.get("group")
-        below = node.get("items")
-        if below is None:
-            chosen = whole or bool(node.get("selected"))
-        else:
-            chosen = bool(node.get("complete"))
-            todo += [(n, whole or chosen) for n in below]
-        if chosen and name:
-            found.add(name)
-    return sorted(found)
-
-
-def organism_labels(nodes: list | None) -> list[str]:
-    """Labels of selected organisms and groups in the order of the tree, each once."""
-    found: dict[str, None] = {}
-    todo = list(reversed(nodes or []))
-    while todo:
-        node = todo.pop()
-        if node.get("selected"):
-            if "organismScientific" in node:
-                name, common = node.get("organism") or node["organismScientific"], ", ".join(node.get("diseases") or [])
-                found.setdefault(f"{common} ({name})" if common else name)
-            elif label := node.get("group") or node.get("groupScientific"):
-                found.setdefault(label)
-        todo += reversed(node.get("items") or [])
-    return list(found)
-
-
-def _day(text: str | None) -> pd.Timestamp | None:
-    """A UTC stamp from 22:00 on is the next day."""
-    at = pd.to_datetime(text, errors="coerce", utc=True) if text else None
-    return None if at is None or pd.isna(at) else (at + pd.Timedelta(hours=2 if at.hour >= 22 else 0)).date()
+from ..functions import dates as D
+from ..functions import text as T
+
+_DOSE = "STRUCT<ratio: DOUBLE, measure: STRUCT<unit: STRING>>"
+_NAMED = "ARRAY<STRUCT<description: STRING>>"
+#: Fixed: the fields of a use and of a record.
+USE = (
+    f"STRUCT<nameOfUse: STRUCT<name: STRING, usesSummary: STRING>, targetCrops: VARIANT, targetOrganisms: VARIANT, targetLocations: {_NAMED}, applicationMethods: {_NAMED}, maximumProductDose: {_DOSE}, maximumProductDosePerCropSeason: {_DOSE}, "
+    "amountOfApplications: STRUCT<perCropSeason: DOUBLE, perUse: DOUBLE>, minimumIntervalBetweenApplications: INT, phiDays: INT, applicationTiming: STRUCT<fromMonth: INT, toMonth: INT>, growthStage: STRUCT<from: STRING, to: STRING>, "
+    "watervolumeScale: STRUCT<min: DOUBLE, max: DOUBLE>, minorUse: STRUCT<type: STRING>, remarks: STRING, restrictions: ARRAY<VARIANT>>"
+)
+RECORD = (
+    "STRUCT<id: STRING, name: STRING, authorisation: STRUCT<registrationNumber: STRUCT<nl: STRING>, actual: ARRAY<STRUCT<wCodings: ARRAY<STRUCT<expirationDate: STRING, instructionOfUse: STRUCT<document: STRUCT<link: STRING>>>>>>>, "
+    "authorisationHolder: STRUCT<companyName: STRING>, categoryType: STRUCT<description: STRING>, compositions: STRUCT<substances: ARRAY<STRUCT<function: STRUCT<isActiveSubstance: BOOLEAN>, concentrationUnit: STRUCT<description: STRING, unit: STRING>, substance: STRUCT<name: STRING>, concentration: STRING>>, "
+    f"formulationType: STRUCT<description: STRING>>, components: ARRAY<STRUCT<labelling: ARRAY<STRUCT<signalWord: STRUCT<description: STRING>>>>>, decisions: ARRAY<STRUCT<document: STRUCT<link: STRING>>>, uses: ARRAY<{USE}>>"
+)
+#: Fixed: summaries that stand for fruit growing.
+FRUIT_GROUP = "vruchtbom|steenvrucht|fruitgewas"
+
+_WALK = """
+WITH RECURSIVE walk AS (
+    SELECT t.k, t.tree, array(v.pos) AS path, v.value AS node, false AS whole
+    FROM {trees} t, LATERAL variant_explode(t.nodes) AS v
+    UNION ALL
+    SELECT w.k, w.tree, concat(w.path, array(v.pos)), v.value, w.whole OR coalesce(try_variant_get(w.node, '$.complete', 'boolean'), false)
+    FROM walk w, LATERAL variant_explode(variant_get(w.node, '$.items', 'variant')) AS v
+)
+SELECT k, tree, path, node, whole FROM walk
+"""
+
+
+def tree_nodes(trees: DataFrame) -> DataFrame:
+    """All nodes of ``trees`` (k, tree, nodes: a variant array of nodes with ``items`` below): k, tree, path (places from the root), node and whether a node above is complete.
+
+    A node without an array of ``items`` has nothing below. The number of rows of the recursion isn't limited: the session's limit is lifted, as it
+    is meant for recursions that don't end, and these end with the records. Trees deeper than ``spark.sql.cteRecursionLevelLimit`` are an error.
+    """
+    spark = trees.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(_WALK, trees=trees)
+
+
+def _field(name: str, kind: str = "string") -> Column:
+    return F.try_variant_get("node", f"$.{name}", kind)
+
+
+def _filled(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def crop_names(nodes: DataFrame) -> DataFrame:
+    """(k, crops): by name the selected leaves, groups marked complete, and everything below these."""
+    name = F.coalesce(_filled(_field("crop")), _filled(_field("group")))
+    group = F.variant_get("node", "$.items", "variant").isNotNull()
+    own = F.coalesce(_field("complete", "boolean"), F.lit(False))
+    chosen = F.when(group, own).otherwise(F.col("whole") | F.coalesce(_field("selected", "boolean"), F.lit(False)))
+    return nodes.where(chosen & name.isNotNull()).groupBy("k").agg(F.array_sort(F.collect_set(name)).alias("crops"))
+
+
+def organism_labels(nodes: DataFrame) -> DataFrame:
+    """(k, organisms): labels of selected organisms and groups in the order of the tree, each once."""
+    scientific = F.coalesce(_filled(_field("organism")), _field("organismScientific"))
+    diseases = F.array_join(F.try_variant_get("node", "$.diseases", "array<string>"), ", ")
+    organism = F.when(F.coalesce(diseases, F.lit("")) != "", F.concat(diseases, F.lit(" ("), scientific, F.lit(")"))).otherwise(scientific)
+    is_organism = F.variant_get("node", "$.organismScientific", "variant").isNotNull()
+    label = F.when(is_organism, organism).otherwise(F.coalesce(_filled(_field("group")), _filled(_field("groupScientific"))))
+    found = nodes.where(F.coalesce(_field("selected", "boolean"), F.lit(False)) & label.isNotNull())
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", label.alias("label")))), lambda x: x["label"])
+    return found.groupBy("k").agg(F.array_distinct(ordered).alias("organisms"))
+
+
+def _records(records: DataFrame, payload: str) -> DataFrame:
+    """``d`` for each record that can be read, and ``record``, a digest of its payload."""
+    read = lambda schema: F.from_json(F.col(payload), schema)
+    text = F.trim(F.coalesce(F.col(payload), F.lit("")))
+    good = records.where(F.startswith(text, F.lit("{")) & F.try_parse_json(F.col(payload)).isNotNull())
+    return good.select(F.coalesce(read(f"STRUCT<data: {RECORD}>")["data"], read(RECORD)).alias("d"), F.md5(payload).alias("record"))
+
+
+def _restriction(r: Column) -> Column:
+    """A restriction as text: itself, or the first filled of its fields, or its JSON."""
+    get = lambda n: _filled(F.trim(F.try_variant_get(r, f"$.{n}", "string")))
+    return F.coalesce(*[get(n) for n in ("description", "text", "name", "value")], F.trim(F.try_variant_get(r, "$", "string")))
+
+
+def _codings(d: Column) -> Column:
+    return F.get(d["authorisation"]["actual"], F.lit(0))["wCodings"]
+
+
+def _expiration(d: Column) -> Column:
+    return F.array_max(F.transform(_codings(d), lambda c: D.utc_evening_date(c["expirationDate"])))
+
+
+def products(records: DataFrame, payload: str = "payload") -> DataFrame:
+    """A row for each record that can be read: id, name, registration_number, holder, expires, category, active_substances, formulation, signal_word, manual_url, decision_url and n_uses."""
+    d = F.col("d")
+    unit = lambda s: F.coalesce(_filled(s["concentrationUnit"]["description"]), s["concentrationUnit"]["unit"], F.lit(""))
+    amount = lambda s: F.coalesce(F.replace(F.replace(s["concentration"], F.lit(","), F.lit(".")).try_cast("double").cast("string"), F.lit("."), F.lit(",")), F.lit("-"))
+    active = F.filter(d["compositions"]["substances"], lambda s: F.coalesce(s["function"]["isActiveSubstance"], F.lit(False)))
+    names = F.transform(active, lambda s: F.trim(F.concat_ws(" ", F.coalesce(s["substance"]["name"], F.lit("?")), amount(s), unit(s))))
+    link = lambda xs: F.get(F.filter(xs, lambda u: F.coalesce(u, F.lit("")) != ""), F.lit(0))
+    return _records(records, payload).select(
+        F.coalesce(d["id"], F.lit("")).alias("product_id"), F.coalesce(_filled(d["name"]), F.lit("?")).alias("product"), F.coalesce(d["authorisation"]["registrationNumber"]["nl"], F.lit("")).alias("registration_number"),
+        F.coalesce(d["authorisationHolder"]["companyName"], F.lit("")).alias("holder"), _expiration(d).alias("expires"), F.coalesce(d["categoryType"]["description"], F.lit("")).alias("category"),
+        F.coalesce(names, F.array().cast("array<string>")).alias("active_substances"), F.coalesce(d["compositions"]["formulationType"]["description"], F.lit("")).alias("formulation"),
+        F.coalesce(F.get(F.get(d["components"], F.lit(0))["labelling"], F.lit(0))["signalWord"]["description"], F.lit("")).alias("signal_word"),
+        link(F.transform(_codings(d), lambda c: c["instructionOfUse"]["document"]["link"])).alias("manual_url"),
+        link(F.transform(d["decisions"], lambda x: x["document"]["link"])).alias("decision_url"), F.coalesce(F.size(d["uses"]), F.lit(0)).alias("n_uses"),
+    )
 
 
 def product_uses(records: DataFrame, payload: str = "payload") -> DataFrame:
     """A row for each use of each record (JSON), and one with a null use for a record without any; what can't be read is left out."""
-
-    def rows_of(text: str | None) -> Iterator[tuple]:
-        try:
-            record = json.loads(text or "")
-        except ValueError:
-            return
-        d = record.get("data", record)
-        actual = ((d.get("authorisation") or {}).get("actual") or [{}])[0]
-        days = [x for x in (_day(c.get("expirationDate")) for c in actual.get("wCodings") or []) if x]
-        head = (str(d.get("id", "")), d.get("name") or "?", max(days, default=None))
-        uses = d.get("uses") or []
-        if not uses:
-            yield (*head, None, None, [], [], None, None, None, None, None, None)
-        for i, u in enumerate(uses):
-            dose, timing = u.get("maximumProductDose") or {}, u.get("applicationTiming") or {}
-            yield (
-                *head, i, (u.get("nameOfUse") or {}).get("name", "").strip().lstrip("#").strip(), crop_names(u.get("targetCrops")), organism_labels(u.get("targetOrganisms")), dose.get("ratio"), (dose.get("measure") or {}).get("unit"),
-                (u.get("amountOfApplications") or {}).get("perCropSeason"), u.get("minimumIntervalBetweenApplications"), timing.get("fromMonth"), timing.get("toMonth"),
-            )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in USES.split(", ")]
-        for batch in batches:
-            yield pd.DataFrame([r for text in batch[payload] for r in rows_of(text)], columns=names)
-
-    return records.select(payload).mapInPandas(run, USES)
+    d = F.col("d")
+    rows = _records(records, payload).select("record", F.coalesce(d["id"], F.lit("")).alias("product_id"), F.coalesce(_filled(d["name"]), F.lit("?")).alias("product"), _expiration(d).alias("expires"), F.posexplode_outer(d["uses"]).alias("use_no", "u"))
+    u = F.col("u")
+    trees = rows.where(u.isNotNull()).select(F.struct("record", "use_no").alias("k"), F.explode(F.array(F.struct(F.lit("crops").alias("tree"), u["targetCrops"].alias("nodes")), F.struct(F.lit("organisms").alias("tree"), u["targetOrganisms"].alias("nodes")))).alias("t"))
+    # records may repeat, and of equal ones one tree is walked
+    nodes = tree_nodes(trees.select("k", "t.tree", "t.nodes").dropDuplicates(["k", "tree"]))
+    crops, organisms = crop_names(nodes.where("tree = 'crops'")), organism_labels(nodes.where("tree = 'organisms'"))
+    none = F.array().cast("array<string>")
+    described = lambda xs: F.coalesce(F.transform(xs, lambda x: F.coalesce(x["description"], F.lit(""))), none)
+    found = rows.withColumn("k", F.struct("record", "use_no")).join(crops, "k", "left").join(organisms, "k", "left")
+    name = F.trim(F.regexp_replace(F.trim(F.coalesce(u["nameOfUse"]["name"], F.lit(""))), "^#+", ""))
+    return found.select(
+        "product_id", "product", "expires", "use_no", F.when(u.isNotNull(), name).alias("use_name"), F.when(u.isNotNull(), F.coalesce(u["nameOfUse"]["usesSummary"], F.lit(""))).alias("summary"),
+        F.coalesce("crops", none).alias("crops"), F.coalesce("organisms", none).alias("organisms"), described(u["targetLocations"]).alias("locations"), described(u["applicationMethods"]).alias("methods"),
+        u["maximumProductDose"]["ratio"].alias("dose"), u["maximumProductDose"]["measure"]["unit"].alias("dose_unit"), u["maximumProductDosePerCropSeason"]["ratio"].alias("season_dose"), u["maximumProductDosePerCropSeason"]["measure"]["unit"].alias("season_dose_unit"),
+        u["amountOfApplications"]["perCropSeason"].alias("per_season"), u["amountOfApplications"]["perUse"].alias("per_use"), u["minimumIntervalBetweenApplications"].alias("least_gap"), u["phiDays"].alias("wait_days"),
+        u["applicationTiming"]["fromMonth"].alias("month_from"), u["applicationTiming"]["toMonth"].alias("month_to"), u["growthStage"]["from"].alias("stage_from"), u["growthStage"]["to"].alias("stage_to"),
+        u["watervolumeScale"]["min"].alias("water_min"), u["watervolumeScale"]["max"].alias("water_max"), F.coalesce(u["minorUse"]["type"] == "Ja", F.lit(False)).alias("minor_use"),
+        F.trim(F.coalesce(u["remarks"], F.lit(""))).alias("remarks"), F.coalesce(F.transform(u["restrictions"], _restriction), none).alias("restrictions"),
+    )
 
 
 def for_crop(uses: DataFrame, names: list[str]) -> DataFrame:
@@ -91,9 +149,19 @@ def for_crop(uses: DataFrame, names: list[str]) -> DataFrame:
     return uses.where(F.arrays_overlap(F.transform("crops", lambda c: F.lower(c)), F.array(*[F.lit(n.lower()) for n in names])))
 
 
+def named_for(uses: DataFrame, names: list[str], own: str, group: str = FRUIT_GROUP) -> DataFrame:
+    """``uses`` with explicit (the summary names the crop itself) and applies: the crop is among a use's crops and the summary names it or a group of fruits.
+
+    A broad group, as of tree nurseries, lists a crop that it isn't grown for.
+    """
+    summary = T.fold(F.coalesce("summary", F.lit("")))
+    listed = F.exists("crops", lambda c: T.fold(c).isin([n.lower() for n in names]))
+    return uses.withColumn("explicit", F.regexp(summary, F.lit(rf"\b{own}\b"))).withColumn("applies", listed & (F.col("explicit") | F.regexp(summary, F.lit(group))))
+
+
 def model_facts(uses: DataFrame) -> DataFrame:
     """What a model may see of a use: never a dose."""
-    return uses.drop("dose", "dose_unit")
+    return uses.drop("dose", "dose_unit", "season_dose", "season_dose_unit")
 
 
 def status(uses: DataFrame, as_of: str) -> DataFrame:
