@@ -135,18 +135,91 @@ def card_examples(cards: DataFrame, held_out: DataFrame, hits: DataFrame) -> Dat
     return rows.select("card_no", F.col("observation").alias("question"), skip.alias("skipped"), F.explode(F.when(skip.isNull(), kinds).otherwise(F.array(F.struct(F.lit("skipped").alias("kind"), F.lit(None).cast("string").alias("chosen"), F.lit(None).cast("string").alias("rejected"))))).alias("e")).select("card_no", "question", "skipped", "e.*")
 
 
-def log_examples(entries: DataFrame, distractors: int = 3, seed: int = 1) -> DataFrame:
-    """A question for each day of the log with the day's entries and, in hash order, entries of other days; the answer is the day's own.
+#: Entries in a part of the ring that is sorted at once, or so.
+RING_PART = 1024
+#: Fixed: how many distractors a question has, the entries of a month that is asked about, the days that questions without an answer are about, and where a remark names its target.
+DISTRACTORS, MONTH_LEAST, MONTH_MOST = 3, 2, 8
+ABSTAIN_MONTHS, ABSTAIN_DAYS = (4, 9), 28
+TARGET = r"\b[Tt]egen ([A-Za-z][A-Za-z\- ]{2,30}?)(?:[.,;]|$)"
 
-    Distractors are those that follow the day on a ring of all entries in hash order, by position, so that nothing is compared with everything.
+
+def _number(text: Column) -> Column:
+    """32 bits of the md5 of a text, as a number."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def ring(entries: DataFrame, seed: int) -> DataFrame:
+    """``entries`` (entry_id, year) with ``place`` from 0 to ``n`` - 1 of each year, in the order of a hash.
+
+    A year is sorted in parts of about a thousand entries, cut by the hash, and the parts' sizes are added up.
     """
-    days = entries.groupBy("day").agg(F.array_sort(F.collect_list("text")).alias("own"))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "day"), F.lit(1024))
-    ring = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 1), "day"), "day")
-    rows = days.withColumn("bucket", bucket)
-    others = F.array_compact(F.array(*[F.lead(F.col("own")[0], i).over(ring) for i in range(1, distractors + 1)]))
-    rows = rows.withColumn("others", others)
-    return rows.select("day", F.concat(F.lit("Wat is er gedaan op "), F.date_format("day", "yyyy-MM-dd"), F.lit("?")).alias("question"), F.concat("own", "others").alias("context"), F.array_join("own", "; ").alias("answer"))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("entry_id").cast("string"))
+    rows = entries.join(entries.groupBy("year").agg(F.count(F.lit(1)).alias("n")), "year").withColumn("__h", F.md5(text))
+    rows = rows.withColumn("__part", F.floor(_number(text) * F.ceil(F.col("n") / RING_PART) / F.lit(float(1 << 32))))
+    sizes = rows.groupBy("year", "__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy("year").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
+    inside = F.row_number().over(Window.partitionBy("year", "__part").orderBy("__h", "entry_id")) - 1
+    return rows.join(sizes.withColumn("__before", before).drop("__size"), ["year", "__part"]).withColumn("place", F.col("__before") + inside).drop("__h", "__part", "__before")
+
+
+def log_question_set(entries: DataFrame, distractors: int = DISTRACTORS, month_most: int = MONTH_MOST, abstain: int = 40, seed: int = 13) -> DataFrame:
+    """(kind, question, period, entry_id, role) of questions about a log (entry_id, day, remarks): a row for each entry that a question shows.
+
+    Four kinds: what was done on a day (all its entries), against the target that a remark names (the entry), in a month of 2 to
+    ``month_most`` entries (all of them), and on a day in summer without an entry (role near: the three nearest of its year; ``abstain`` such
+    days at most, the first by hash). The first two kinds also show distractors, entries of the same year outside the question's own period:
+    those that follow the question's place on the year's ring, where its own are skipped, so that there are as many as asked for wherever
+    the year has them (see :func:`shortfalls`). No list of a period is gathered in one place.
+    """
+    rows = entries.where("day IS NOT NULL").select("entry_id", "day", F.coalesce("remarks", F.lit("")).alias("remarks"), F.year("day").alias("year"))
+    iso = F.date_format("day", "yyyy-MM-dd")
+    day = rows.select(F.lit("recall_day").alias("kind"), F.concat(F.lit("Wat is er gedaan op "), iso, F.lit("?")).alias("question"), iso.alias("period"), "year", "entry_id")
+    target = F.trim(F.regexp_extract("remarks", TARGET, 1))
+    aimed = rows.where(target != "").select(F.lit("recall_target").alias("kind"), F.concat(F.lit("Wat is er in "), "year", F.lit(" gebruikt tegen "), target, F.lit("?")).alias("question"), F.col("entry_id").cast("string").alias("period"), "year", "entry_id")
+    own = day.unionByName(aimed)
+    on_ring = ring(rows.select("entry_id", "year", iso.alias("day_text")), seed)
+    asked = own.groupBy("kind", "question", "period", "year").agg(F.count(F.lit(1)).alias("m"))
+    asked = asked.join(on_ring.groupBy("year").agg(F.first("n").alias("n")), "year")
+    start = F.pmod(_number(F.concat_ws("|", F.lit(str(seed + 1)), "kind", "period")), F.col("n"))
+    steps = F.sequence(F.lit(0).cast("bigint"), F.least(F.col("n"), F.col("m") + distractors) - 1)
+    spots = asked.select("kind", "question", "period", "year", F.posexplode(F.transform(steps, lambda k: F.pmod(start + k, F.col("n")))).alias("turn", "place"))
+    met = spots.join(on_ring.select("year", "place", "entry_id", "day_text"), ["year", "place"])
+    met = met.where(F.when(F.col("kind") == "recall_day", F.col("day_text") != F.col("period")).otherwise(F.col("entry_id").cast("string") != F.col("period")))
+    k = F.row_number().over(Window.partitionBy("kind", "period").orderBy("turn"))
+    others = met.withColumn("k", k).where(F.col("k") <= distractors).select("kind", "question", "period", "entry_id", F.lit("distractor").alias("role"))
+    month = F.date_format("day", "yyyy-MM")
+    full = rows.groupBy(month.alias("period")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m").between(MONTH_LEAST, month_most)).select("period")
+    by_month = rows.select("entry_id", month.alias("period")).join(full, "period").select(F.lit("recall_month").alias("kind"), F.concat(F.lit("Welke middelen zijn in "), "period", F.lit(" gebruikt?")).alias("question"), "period", "entry_id", F.lit("own").alias("role"))
+    first, last = ABSTAIN_MONTHS
+    days = F.flatten(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda m: F.transform(F.sequence(F.lit(1), F.lit(ABSTAIN_DAYS)), lambda d: F.make_date(F.col("year"), m, d))))
+    empty = rows.select("year").distinct().select("year", F.explode(days).alias("day")).join(rows.select("day").distinct(), "day", "left_anti")
+    empty = empty.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed + 2)), iso)), "day").limit(abstain).select("year", F.col("day").alias("asked"))
+    # ``abstain`` rows at most
+    gap = F.abs(F.date_diff("day", "asked"))
+    near = rows.join(F.broadcast(empty), "year").withColumn("k", F.row_number().over(Window.partitionBy("asked").orderBy(gap, "day", "entry_id"))).where("k <= 3")
+    asked_day = F.date_format("asked", "yyyy-MM-dd")
+    without = near.select(F.lit("abstain_day").alias("kind"), F.concat(F.lit("Wat is er gedaan op "), asked_day, F.lit("?")).alias("question"), asked_day.alias("period"), "entry_id", F.lit("near").alias("role"))
+    return own.select("kind", "question", "period", "entry_id", F.lit("own").alias("role")).unionByName(others).unionByName(by_month).unionByName(without)
+
+
+def shortfalls(questions: DataFrame, distractors: int = DISTRACTORS) -> DataFrame:
+    """(kind, period, short) of the questions of :func:`log_question_set` with fewer distractors than they should have."""
+    counts = questions.where(F.col("kind").isin("recall_day", "recall_target")).groupBy("kind", "period").agg(F.count_if(F.col("role") == "distractor").alias("n"))
+    return counts.where(F.col("n") < distractors).select("kind", "period", (distractors - F.col("n")).alias("short"))
+
+
+def mixed_examples(cards: DataFrame, extras: DataFrame, key: str, seed: int = 13) -> DataFrame:
+    """Cards and extra examples of the same columns in one table with ``place``, a number in the order of a seeded hash; an example that is in both counts once, as a card.
+
+    The order doesn't depend on the partitioning; ``place`` is the hash itself, to sort or to cut by where the table is written.
+    """
+    rows = cards.withColumn("origin", F.lit("card")).unionByName(extras.join(cards.select(key), key, "left_anti").withColumn("origin", F.lit("extra")))
+    return rows.withColumn("place", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))))
+
+
+def example_report(examples: DataFrame) -> DataFrame:
+    """(kind, skipped, n): how many examples of each kind there are, and for what reasons cards were skipped."""
+    return examples.groupBy("kind", "skipped").agg(F.count(F.lit(1)).alias("n"))
 
 
 def templated_examples(templates: DataFrame, targets: DataFrame, n: int, seed: int = 1) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linking import components, settled
@@ -183,6 +183,35 @@ def top_attributes(pairs: DataFrame, attribute: str, most: int = MAX_ATTRIBUTES)
     return best.groupBy("u", "v").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", attribute))), lambda x: x[attribute]).alias(attribute))
 
 
+def counted_map(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``keys`` with a map of how often each ``value`` occurs; nulls are no value. The pairs are counted before they are gathered, so a map holds one entry a value."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(value, "__n")))).alias(name))
+
+
+def merged_counts(a: Column, b: Column) -> Column:
+    """The sum of two maps of counts."""
+    zero = F.lit(0).cast("bigint")
+    return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, zero) + F.coalesce(y, zero))
+
+
+def graph_nodes(steps: DataFrame, trace: str, order: str, node: str, family: str) -> DataFrame:
+    """Each node with n_occurrences, n_starts and n_ends (of traces that begin and end there) and a map of its families' counts."""
+    ends = steps.groupBy(trace).agg(F.min_by(node, order).alias("first"), F.max_by(node, order).alias("last"))
+    at = ends.select(F.explode(F.array(F.struct(F.col("first").alias(node), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct(F.col("last").alias(node), F.lit(0).alias("s"), F.lit(1).alias("e")))).alias("x")).select("x.*")
+    counts = steps.groupBy(node).agg(F.count(F.lit(1)).alias("n_occurrences"))
+    edge = at.groupBy(node).agg(F.sum("s").alias("n_starts"), F.sum("e").alias("n_ends"))
+    zero = F.lit(0).cast("bigint")
+    found = counts.join(edge, node, "left").join(counted_map(steps, [node], family, "families"), node, "left")
+    return found.select(node, "n_occurrences", F.coalesce("n_starts", zero).alias("n_starts"), F.coalesce("n_ends", zero).alias("n_ends"), F.coalesce("families", F.create_map().cast("map<string,bigint>")).alias("families"))
+
+
+def start_of(nodes: DataFrame, node: str, families: str = "families") -> DataFrame:
+    """(family, u): the node where a family's walk starts, that with the most starts times occurrences in the family; ties by node."""
+    rows = nodes.where("n_starts > 0").select(node, "n_starts", F.explode(families).alias("family", "n"))
+    return rows.groupBy("family").agg(F.max_by(node, F.struct((F.col("n_starts") * F.col("n")).alias("w"), (-F.col(node)).alias("o"))).alias("u"))
+
+
 def strongest_next(edge_rows: DataFrame, most: int = 3) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("support"), "v"))
     return edge_rows.withColumn("rank", k).where(F.col("rank") <= most)

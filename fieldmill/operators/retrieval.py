@@ -97,16 +97,43 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> bool:
     return not x.exceptAll(y).head(1) and not y.exceptAll(x).head(1)
 
 
-def semantic_boundaries(rows: DataFrame, group: str, position: str, vector: str, cutoff: float = 85.0, least_depth: float = 0.05) -> DataFrame:
+def semantic_boundaries(rows: DataFrame, group: str, position: str, vector: str, cutoff: float = 85.0, least_depth: float = 0.05, least_units: int = 0) -> DataFrame:
     """Similarity to the row before, its depth score and whether a segment begins here.
 
     The depth of a dip is how far the highest similarities on both sides rise above it; a segment begins where it reaches the group's percentile and the least depth.
+    A group of fewer than ``least_units`` rows (fixed: 6 sentences, 4 paragraphs) is one segment.
     """
     order = Window.partitionBy(group).orderBy(position)
     v, last = F.col(vector), F.lag(vector).over(order)
     rows = rows.withColumn("__last", last).withColumn("similarity", F.when(F.col("__last").isNotNull(), dot(v, F.col("__last")) / (norm(v) * norm(F.col("__last"))))).drop("__last")
     before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     rows = rows.withColumn("depth", F.max("similarity").over(before) + F.max("similarity").over(after) - 2 * F.col("similarity"))
-    limits = rows.groupBy(group).agg(F.percentile("depth", F.lit(cutoff / 100.0)).alias("__limit"))
+    limits = rows.groupBy(group).agg(F.percentile("depth", F.lit(cutoff / 100.0)).alias("__limit"), F.count(F.lit(1)).alias("__units"))
     rows = rows.join(limits, group)
-    return rows.withColumn("boundary", F.coalesce(F.col("depth") >= F.greatest("__limit", F.lit(least_depth)), F.lit(False))).drop("__limit")
+    deep = (F.col("depth") >= F.greatest("__limit", F.lit(least_depth))) & (F.col("__units") >= least_units)
+    return rows.withColumn("boundary", F.coalesce(deep, F.lit(False))).drop("__limit", "__units")
+
+
+#: Fixed: a chunk of more words is cut by topic, at the percentile and least number of units for paragraphs; smaller pieces are folded.
+LONG_CHUNK, TOPIC_CUTOFF, TOPIC_UNITS, SMALL_PIECE = 600, 75.0, 4, 30
+
+
+def topic_pieces(units: DataFrame, chunk: str, position: str, words: str, vector: str) -> DataFrame:
+    """``units`` of chunks (their paragraphs in order, with their words and unit vectors) with ``piece`` from 1 on and ``pieces``.
+
+    A chunk of more than 600 words is cut where its topic shifts (:func:`semantic_boundaries`); a piece under 30 words joins the one before, and
+    what is before the first piece of that size joins it if it is smaller itself. Other chunks are one piece.
+    """
+    total = F.sum(words).over(Window.partitionBy(chunk))
+    rows = semantic_boundaries(units.withColumn("__long", total > LONG_CHUNK), chunk, position, vector, TOPIC_CUTOFF, least_units=TOPIC_UNITS)
+    upto = Window.partitionBy(chunk).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__part", F.sum((F.col("boundary") & F.col("__long")).cast("int")).over(upto))
+    parts = rows.groupBy(chunk, "__part").agg(F.sum(words).alias("__words"))
+    order = Window.partitionBy(chunk).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    begins = (F.col("__part") == 0) | (F.col("__words") >= SMALL_PIECE)
+    parts = parts.withColumn("__group", F.sum(begins.cast("int")).over(order))
+    head = F.sum(F.when(F.col("__group") == 1, F.col("__words"))).over(Window.partitionBy(chunk))
+    # a small head is one with the group after it
+    parts = parts.withColumn("piece", F.when(head < SMALL_PIECE, F.greatest(F.lit(1), F.col("__group") - 1)).otherwise(F.col("__group")))
+    parts = parts.withColumn("pieces", F.max("piece").over(Window.partitionBy(chunk)))
+    return rows.join(parts.select(chunk, "__part", F.col("piece").cast("int").alias("piece"), F.col("pieces").cast("int").alias("pieces")), [chunk, "__part"]).drop("__part", "__long", "boundary")

@@ -81,6 +81,27 @@ def semantic_valleys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", "vec_id", F.round("similarity", 6).alias("similarity"), F.round("depth", 6).alias("depth"), "boundary")
 
 
+@query(
+    "chunk_topics",
+    """WITH u AS (SELECT vec_id // 40 AS chunk, vec_id, CASE WHEN vec_id // 40 % 5 = 0 THEN vec_id % 10 ELSE 3 + vec_id * 7 % 60 END AS words, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT *, list_dot_product(e, p) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(p, p))) AS similarity FROM (SELECT *, lag(e) OVER (PARTITION BY chunk ORDER BY vec_id) AS p FROM u)),
+d AS (SELECT *, max(similarity) OVER (PARTITION BY chunk ORDER BY vec_id) + max(similarity) OVER (PARTITION BY chunk ORDER BY vec_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 2 * similarity AS depth, sum(words) OVER (PARTITION BY chunk) > 600 AS long FROM s),
+l AS (SELECT chunk, quantile_cont(depth, 0.75) AS l, count(*) AS n FROM d GROUP BY chunk),
+b AS (SELECT d.*, sum(coalesce(long AND n >= 4 AND depth >= greatest(l, 0.05), false)::INT) OVER (PARTITION BY d.chunk ORDER BY vec_id) AS part FROM d JOIN l ON l.chunk = d.chunk),
+w AS (SELECT chunk, part, sum(words) AS words FROM b GROUP BY ALL),
+g AS (SELECT *, sum((part = 0 OR words >= 30)::INT) OVER (PARTITION BY chunk ORDER BY part) AS grp FROM w),
+h AS (SELECT *, sum(words) FILTER (grp = 1) OVER (PARTITION BY chunk) AS head FROM g),
+q AS (SELECT chunk, part, CASE WHEN head < 30 THEN greatest(1, grp - 1) ELSE grp END AS piece FROM h)
+SELECT b.chunk, vec_id, piece::INT AS piece, (max(piece) OVER (PARTITION BY b.chunk))::INT AS pieces FROM b JOIN q ON q.chunk = b.chunk AND q.part = b.part""",
+)
+def chunk_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty vectors as the paragraphs of a chunk; every fifth chunk is short."""
+    chunk = F.floor(F.col("vec_id") / 40)
+    words = F.when(chunk % 5 == 0, F.col("vec_id") % 10).otherwise(3 + F.col("vec_id") * 7 % 60)
+    units = read(spark, sf_dir, "embeddings").select(chunk.alias("chunk"), "vec_id", words.alias("words"), "embedding")
+    return retrieval.topic_pieces(units, "chunk", "vec_id", "words", "embedding").select("chunk", "vec_id", "piece", "pieces")
+
+
 @query("cooccurrence", "WITH t AS (SELECT DISTINCT l_orderkey AS k, p_brand AS c FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT x.c AS a, y.c AS b, count(*) AS w FROM t x JOIN t y ON x.k = y.k AND x.c < y.c GROUP BY ALL HAVING count(*) >= 2")
 def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands that are ordered together."""
@@ -118,6 +139,39 @@ def next_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return procedures.strongest_next(procedures.edges(procedures.next_pairs(steps, "user_id", "at", "event_type")))
 
 
+@query(
+    "graph_nodes",
+    """WITH s AS (SELECT l_orderkey AS t, l_partkey AS node, l_returnflag AS family, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+f AS (SELECT node, string_agg(family || ':' || c, ',' ORDER BY family) AS families FROM (SELECT node, family, count(*) AS c FROM s GROUP BY ALL) GROUP BY node)
+SELECT node, count(*) AS n_occurrences, count(*) FILTER (k = 1) AS n_starts, count(*) FILTER (k = n) AS n_ends, any_value(families) AS families FROM s JOIN f USING (node) GROUP BY node""",
+)
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes, orders as traces, return flags as families."""
+    steps = read(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("at"), F.col("l_partkey").alias("node"), F.col("l_returnflag").alias("family"))
+    found = procedures.graph_nodes(steps, "l_orderkey", "at", "node", "family")
+    entries = F.transform(F.array_sort(F.map_entries("families")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return found.withColumn("families", F.array_join(entries, ","))
+
+
+@query(
+    "family_walks",
+    """WITH RECURSIVE s AS (SELECT l_orderkey AS t, l_partkey AS node, l_returnflag AS family, row_number() OVER w AS k, lead(l_partkey) OVER w AS after, lead(l_returnflag) OVER w AS after_family FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)),
+starts AS (SELECT node, count(*) FILTER (k = 1) AS n_starts FROM s GROUP BY node HAVING count(*) FILTER (k = 1) > 0),
+c AS (SELECT family, node, n_starts * count(*) AS w FROM s JOIN starts USING (node) GROUP BY family, node, n_starts),
+u AS (SELECT family, node FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY w DESC, node) AS r FROM c) WHERE r = 1),
+e AS (SELECT node AS a, after AS b, count(*) AS support FROM s WHERE after IS NOT NULL AND after <> node GROUP BY ALL),
+a AS (SELECT a, list(b ORDER BY support DESC, b) AS onward FROM e GROUP BY a),
+walk(family, path) AS (SELECT family, [node] FROM u UNION ALL SELECT family, list_append(path, list_filter(onward, lambda v: NOT list_contains(path, v))[1]) FROM walk JOIN a ON a.a = path[-1] WHERE len(path) < 8 AND len(list_filter(onward, lambda v: NOT list_contains(path, v))) > 0)
+SELECT family, arg_max(array_to_string(path, '>'), len(path)) AS path FROM walk GROUP BY family""",
+)
+def family_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks from each family's start."""
+    steps = read(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("at"), F.col("l_partkey").alias("node"), F.col("l_returnflag").alias("family"))
+    starts = procedures.start_of(procedures.graph_nodes(steps, "l_orderkey", "at", "node", "family"), "node")
+    found = procedures.greedy_walks(procedures.edges(procedures.next_pairs(steps, "l_orderkey", "at", "node")), starts)
+    return starts.join(found, starts["u"] == found["start"]).select("family", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
 @query(
     "edge_attributes",
     """WITH p AS (SELECT event_type AS u, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v, (event_id % 7)::VARCHAR AS source FROM events),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assistant, lexicon, quality
+from ..operators import assistant, hyphens, lexicon, quality
 from .registry import query, read
 from .text_queries import ACCENTS
 
@@ -102,3 +102,21 @@ def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = read(spark, sf_dir, "events").select(F.col("event_id").alias("entry_id"), F.to_date("ts").alias("day"), F.concat_ws(" ", "event_type", "props").alias("text"))
     queries = spark.createDataFrame([(1, "error in januari 2024"), (2, "purchase op 5 januari 2024"), (3, "click 2019")], "query int, question string")
     return assistant.search_log(entries, queries)
+
+
+@query(
+    "joined_hyphens",
+    r"""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '[\p{L}]{3,}'))) AS word FROM documents), lex AS (SELECT word FROM w GROUP BY 1 HAVING count(*) >= 5),
+d AS (SELECT doc_id, lang, regexp_replace(regexp_replace(text, '([a-z]{4})([a-z]{4}) ', '\1-' || chr(10) || '\2 ', 'g'), '([a-z]{3}) ([aeiou][a-z]{2,})', '\1-' || chr(10) || '\2', 'g') AS text FROM documents),
+l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
+x AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS following FROM l),
+b AS (SELECT *, coalesce(regexp_matches(line, '\p{L}\p{L}-$') AND regexp_matches(following, '^[a-z]{2}'), false) AS broken, lower(regexp_extract(line, '(\p{L}+)-$', 1)) AS a, regexp_extract(following, '^([a-z]+)', 1) AS z FROM x),
+k AS (SELECT *, coalesce(broken AND lang = 'en' AND a || z NOT IN (SELECT word FROM lex) AND a IN (SELECT word FROM lex) AND z IN (SELECT word FROM lex), false) AS keep FROM b)
+SELECT doc_id, md5(string_agg(CASE WHEN following IS NULL THEN line WHEN broken AND keep THEN line WHEN broken THEN left(line, length(line) - 1) ELSE line || chr(10) END, '' ORDER BY n)) AS text_md5, count(*) FILTER (keep) AS kept_hyphens FROM k GROUP BY doc_id""",
+)
+def joined_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose long words and some pairs of words were broken at line ends, put together again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    broken = F.regexp_replace(F.regexp_replace("text", "([a-z]{4})([a-z]{4}) ", "$1-\n$2 "), "([a-z]{3}) ([aeiou][a-z]{2,})", "$1-\n$2")
+    found = hyphens.join_line_breaks(docs.withColumn("text", broken), "doc_id", lexicon.corpus_lexicon(docs))
+    return found.select("doc_id", F.md5("text").alias("text_md5"), F.col("kept_hyphens").cast("long").alias("kept_hyphens"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, logbook, quality
+from ..operators import datasets, evaluation, logbook, quality
 from .registry import query, read
 
 _LOG = """WITH e AS (SELECT o_orderkey AS entry_id, o_custkey AS page_id, o_orderdate::DATE AS day, o_orderstatus <> 'P' AS certain, o_orderpriority LIKE '1%' AS verified, o_orderpriority AS remarks FROM orders),
@@ -127,3 +127,26 @@ def failing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
     rows = read(spark, sf_dir, "documents").withColumn("verdict", F.when(n < 300, "fail").when(n < 900, "references").when(n < 1500, "warn").otherwise("ok"))
     return quality.failing(rows, "doc_id", "n_chars").select("doc_id", "verdict")
+
+
+@query(
+    "log_question_set",
+    """WITH r AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, year(o_orderdate) AS y, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%Y-%m') AS ym, CASE WHEN o_orderstatus = 'F' THEN lower(o_orderpriority[3:]) END AS target FROM orders),
+ring AS (SELECT id, y, d, row_number() OVER (PARTITION BY y ORDER BY md5('13|' || id), id) - 1 AS place, count(*) OVER (PARTITION BY y) AS n FROM r),
+own AS (SELECT 'recall_day' AS kind, 'Wat is er gedaan op ' || d || '?' AS question, d AS period, y, id FROM r
+  UNION ALL SELECT 'recall_target', 'Wat is er in ' || y || ' gebruikt tegen ' || target || '?', id::VARCHAR, y, id FROM r WHERE target IS NOT NULL),
+asked AS (SELECT o.*, n, ('0x' || left(md5('14|' || kind || '|' || period), 8))::BIGINT % n AS start FROM (SELECT kind, question, period, y, count(*) AS m FROM own GROUP BY ALL) o JOIN (SELECT y, any_value(n) AS n FROM ring GROUP BY y) g ON g.y = o.y),
+spots AS (SELECT kind, question, period, y, n, start, unnest(range(0, least(n, m + 3))) AS turn FROM asked),
+met AS (SELECT s.*, ring.id, row_number() OVER (PARTITION BY kind, period ORDER BY turn) AS k FROM spots s JOIN ring ON ring.y = s.y AND ring.place = (s.start + s.turn) % s.n WHERE CASE WHEN kind = 'recall_day' THEN ring.d <> period ELSE ring.id::VARCHAR <> period END),
+empty AS (SELECT asked, y FROM (SELECT DISTINCT y, make_date(y, mm, dd) AS asked FROM r, range(4, 10) a(mm), range(1, 29) b(dd)) WHERE asked NOT IN (SELECT day FROM r) ORDER BY md5('15|' || strftime(asked, '%Y-%m-%d')), asked LIMIT 40),
+near AS (SELECT asked, id, row_number() OVER (PARTITION BY asked ORDER BY abs(day - asked), day, id) AS k FROM empty e JOIN r ON r.y = e.y)
+SELECT kind, question, period, id AS entry_id, 'own' AS role FROM own
+UNION ALL SELECT kind, question, period, id, 'distractor' FROM met WHERE k <= 3
+UNION ALL SELECT 'recall_month', 'Welke middelen zijn in ' || ym || ' gebruikt?', ym, id, 'own' FROM r WHERE ym IN (SELECT ym FROM r GROUP BY ym HAVING count(*) BETWEEN 2 AND 200)
+UNION ALL SELECT 'abstain_day', 'Wat is er gedaan op ' || strftime(asked, '%Y-%m-%d') || '?', strftime(asked, '%Y-%m-%d'), id, 'near' FROM near WHERE k <= 3""",
+)
+def log_question_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entries; fulfilled ones have a remark that names a target."""
+    aimed = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("tegen "), F.lower(F.substring("o_orderpriority", 3, 100)), F.lit(".")))
+    entries = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_id"), F.to_date("o_orderdate").alias("day"), aimed.alias("remarks"))
+    return datasets.log_question_set(entries, month_most=200)
