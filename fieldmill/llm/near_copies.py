@@ -44,6 +44,8 @@ BANDS, ROWS = 32, 5
 STARS = 2
 #: Nodes of a bucket that a group holds; two of these chunks meet at a time.
 CHUNK = 128
+#: Bytes of sets that are broadcast.
+MOST_SET_BYTES = 32 << 20
 _AT_ONCE = 1 << 12
 _FACTORS = np.random.Generator(np.random.PCG64(HASH_SEED)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -136,7 +138,7 @@ def _print_pairs(distinct: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) that link. A v of more than one in HOT_SHARE pairs is broadcast, as there are fewer than HOT_SHARE of these."""
+    """The pairs (u, v) that link. A v of more than one in HOT_SHARE pairs is broadcast with its set, as there are fewer than HOT_SHARE of these, but only if their sets are small together; else adaptive execution splits its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +148,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     counts = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     total = pairs.count()
-    hot = F.broadcast(checkpoint(counts.where(F.col("n") > total / HOT_SHARE).select("v").join(sets.withColumnRenamed("node", "v"), "v")))
+    hot = checkpoint(counts.where(F.col("n") > total / HOT_SHARE).select("v").join(sets.withColumnRenamed("node", "v"), "v"))
+    if (hot.agg(F.sum(F.octet_length("set"))).first()[0] or 0) <= MOST_SET_BYTES:
+        hot = F.broadcast(hot)
     # few pairs go to the sets, which then stay where they are
     rows = _small(pairs).join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
     cold = rows.join(hot.select("v"), "v", "left_anti").join(sets.select(F.col("node").alias("v"), "set"), "v")

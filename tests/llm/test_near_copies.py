@@ -60,3 +60,15 @@ def test_remaining_pairs_link_like_brute_force():
     found = near.cross_links(sets, np.arange(len(sets)), np.zeros(len(sets), dtype=bool))
     assert all(near.jaccard(sets[i], sets[j]) >= 0.8 for i, j in found)
     assert len(sets) - len(found) == len(set(components(texts).values()))
+
+
+def test_large_sets_are_not_broadcast(spark, monkeypatch):
+    texts = corpus(7)
+    hub = " ".join(f"hub{i}" for i in range(200))
+    for k in range(40):  # near copies of one text, which is in most pairs
+        texts[len(texts)] = f"{hub} end{k}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    wanted = components(texts)
+    for most in (near.MOST_SET_BYTES, 0):
+        monkeypatch.setattr(near, "MOST_SET_BYTES", most)
+        assert {r["doc_id"]: r["component_id"] for r in near.near_copies(docs).collect()} == wanted
