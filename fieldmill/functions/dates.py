@@ -67,3 +67,36 @@ def crop_coefficient(day: Column, cover: str = "grass") -> Column:
         .when(day < a4, line(a3, a4, middle, end))
         .otherwise(line(a4, a5, end, start))
     )
+
+
+#: Fixed: names of the months.
+MONTHS_NL = ["januari", "februari", "maart", "april", "mei", "juni", "juli", "augustus", "september", "oktober", "november", "december"]
+#: Fixed: days around a day and around the middle of a month.
+DAY_WINDOW, MONTH_WINDOW = 14, 15
+
+
+def dutch_date(day: Column) -> Column:
+    """3 mei 2021; a hyphen for null."""
+    name = F.element_at(F.array(*[F.lit(m) for m in MONTHS_NL]), F.month(day))
+    return F.when(day.isNull(), "-").otherwise(F.concat_ws(" ", F.dayofmonth(day).cast("string"), name, F.year(day).cast("string")))
+
+
+def calendar_argument(text: Column, as_of: Column) -> Column:
+    """struct(day, window) that an argument names: an ISO date, the middle of a month by name (its first three letters as a word, where the name is longer), else ``as_of``."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    iso = F.try_to_date(F.nullif(F.regexp_extract(t, r"\d{4}-\d{2}-\d{2}", 0), F.lit("")))
+    month = F.lit(None).cast("int")
+    for n, name in reversed(list(enumerate(MONTHS_NL, 1))):
+        short = F.array_contains(F.split(t, r"\s+"), name[:3]) if len(name) > 3 else F.lit(False)
+        month = F.when(F.contains(t, F.lit(name)) | short, n).otherwise(month)
+    middle = F.make_date(F.year(as_of), month, F.lit(15))
+    named = F.when(iso.isNotNull(), iso).when(month.isNotNull(), middle).otherwise(as_of)
+    return F.struct(named.alias("day"), F.when(iso.isNull() & month.isNotNull(), MONTH_WINDOW).otherwise(DAY_WINDOW).alias("window"))
+
+
+def chill_window(as_of: Column) -> Column:
+    """struct(start, end) of the dormant season: from 1 November, of this year from July on if it has come, else of the year before, to 28 February or ``as_of``."""
+    november = F.make_date(F.year(as_of), F.lit(11), F.lit(1))
+    before = F.make_date(F.year(as_of) - 1, F.lit(11), F.lit(1))
+    start = F.when(as_of >= november, november).otherwise(before)
+    return F.struct(start.alias("start"), F.least(as_of, F.make_date(F.year(start) + 1, F.lit(2), F.lit(28))).alias("end"))

@@ -348,6 +348,31 @@ def ocr_junk(text: Column) -> Column:
     return F.size(t).between(1, 8) & (F.size(F.filter(t, lambda x: F.length(bare(x)) <= 2)) >= 0.6 * F.size(t)) & ~ends_sentence(text)
 
 
+#: Fixed: what legal and site boilerplate says.
+BOILERPLATE = (
+    r"(?i)subsidieovereenkomst|dit project is gefinancierd|research executive agency|project has received funding|grant agreement n|alle rechten voorbehouden|accepteer (alle )?cookies|cookie-?(instellingen|beleid|voorkeuren)|"
+    r"html public|<!doctype|^\s*\{\w+\}|\u00b7 @\w+|^\s*\d{1,2}/\d{1,2}/\d{4}\s*$|please click here if you are not redirected|google tag manager|vrijblijvende offerte|commentaarfunctie|disqus|zich registreren bij de|abonneer u|schrijf je in voor de nieuwsbrief"
+)
+
+
+def boilerplate(text: Column) -> Column:
+    """Whether a paragraph is a notice of funding, rights or cookies, or a part of the site."""
+    return F.coalesce(F.regexp(text, F.lit(BOILERPLATE)), F.lit(False))
+
+
+def web_fragment(kind: Column, text: Column) -> Column:
+    """Whether a block of a web page is a label and not text: a paragraph under four words or a list item under three that ends no sentence."""
+    least = F.when(kind == "paragraph", 4).when(kind == "list_item", 3).otherwise(0)
+    return F.coalesce((word_count(text) < least) & ~ends_sentence(text), F.lit(False))
+
+
+def clean_quotes(text: Column) -> Column:
+    """Quotes around a name that recognition misread (*Corum' and the like), and catalogue numbers of photographs taken out."""
+    t = F.regexp_replace(text, r"(?<![\w'])[\^*\u25a0](?=[A-Z][A-Za-z\-]{2,}['\\\u2019\"])", "'")
+    t = F.regexp_replace(t, r"(?<=[A-Za-z])\\(?=[\s,.;)]|$)", "'")
+    return F.regexp_replace(t, r"\b[A-Z]{1,3}-\d{3,5}\b\s*", "")
+
+
 def format_pages(pages: Column) -> Column:
     """p.2-4 for a run of pages, p.2, 5 for others; empty without pages."""
     p = F.array_sort(F.array_distinct(pages))

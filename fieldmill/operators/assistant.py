@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Fixed: keywords of the routes of a question, in the order in which they are tried; a question without one goes to the model.
+ROUTES = {
+    "registration": ["middel", "dosering", "toegelaten", "ctgb", "spuiten met"], "frost": ["vorst", "nachtvorst", "koud vannacht"], "rain": ["regen", "neerslag", "bui"],
+    "chill": ["koude-uren", "chill", "rust-uren"], "fly": ["suzuki", "kersenvlieg", "fruitvlieg", "drosophila"], "cracking": ["barst", "oogst", "vruchtrot"],
+}
+
+
 def route(question: Column, routes: dict[str, list[str]]) -> Column:
     """The first route of which a keyword is in the question; null without one."""
     low, found = F.lower(question), F.lit(None).cast("string")
@@ -62,29 +69,73 @@ def _prefixed(prefix: str) -> Callable[[Column], Column]:
     return lambda x: F.concat(F.lit(prefix), x.cast("string"))
 
 
-def search_log(entries: DataFrame, queries: DataFrame, most: int = 6) -> DataFrame:
-    """The best entries of each query: those of the times it names (all if there are none), by dense and word score.
+#: Fixed: hits of a question, and of one that names a date or a month.
+MOST_HITS, MOST_TIMED_HITS = 6, 8
+#: Letters by which terms and words meet; a term has as many at least.
+GRAM = 4
 
-    entries: entry_id, day, text; queries: query, question, and a score table may be joined before as ``dense``.
-    """
-    terms = F.array_distinct(F.regexp_extract_all(T.fold(F.col("question")), F.lit(r"\b[a-z][a-z0-9]{3,}\b"), F.lit(0)))
-    asked = queries.withColumn("hints", T.time_hints(F.col("question"))).withColumn("terms", terms)
-    # a named time is a key of its own: dates, else years and months, years, or months
-    hints, text = F.col("hints"), lambda c: c.cast("string")
+
+def _time_keys(hints: Column) -> Column:
+    """A named time as keys: dates, else years with months, years, or months."""
+    text = lambda c: c.cast("string")
     dates = F.transform(hints["dates"], lambda d: F.concat(F.lit("d"), text(d)))
     both = F.flatten(F.transform(hints["years"], lambda y: F.transform(hints["months"], lambda m: F.concat(F.lit("b"), text(y), F.lit("-"), text(m)))))
     years, months = (F.transform(hints[h], _prefixed(p)) for h, p in (("years", "y"), ("months", "m")))
-    keys = F.when(F.size(dates) > 0, dates).when(F.size(both) > 0, both).when(F.size(years) > 0, years).otherwise(months)
-    year, month = text(F.year("day")), text(F.month("day"))
-    own = F.array(F.concat(F.lit("d"), text(F.col("day"))), F.concat(F.lit("b"), year, F.lit("-"), month), F.concat(F.lit("y"), year), F.concat(F.lit("m"), month))
-    fitting = entries.withColumn("__t", F.explode(own)).join(asked.withColumn("__t", F.explode(F.array_distinct(keys))), "__t").drop("__t").withColumn("__any", F.lit(1))
-    # a question that names no time, or one without entries, is asked of all of them
-    untimed = asked.join(fitting.select("query").distinct(), "query", "left_anti")
-    rows = fitting.unionByName(entries.join(untimed).withColumn("__any", F.lit(0)))
-    score = T.lexical_overlap(F.col("text"), F.col("terms")) + (F.col("dense") if "dense" in entries.columns else F.lit(0.0))
-    limit = F.when((F.size("hints.dates") > 0) | (F.size("hints.months") > 0), F.lit(max(most, 8))).otherwise(F.lit(most))
-    k = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("entry_id")))
-    return rows.withColumn("score", score).withColumn("rank", k).where(F.col("rank") <= max(most, 8)).where(F.col("rank") <= limit).select("query", "entry_id", "score", "rank", (F.col("__any") == 1).alias("time_filtered"))
+    return F.array_distinct(F.when(F.size(dates) > 0, dates).when(F.size(both) > 0, both).when(F.size(years) > 0, years).otherwise(months))
+
+
+def _day_keys(day: Column) -> Column:
+    year, month = F.year(day).cast("string"), F.month(day).cast("string")
+    return F.array(F.lit(""), F.concat(F.lit("d"), day.cast("string")), F.concat(F.lit("b"), year, F.lit("-"), month), F.concat(F.lit("y"), year), F.concat(F.lit("m"), month))
+
+
+def term_hits(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """(term, word) where the word holds the term, or begins with its first five letters. Both are tables of distinct values that meet by four letters in a row."""
+    first = terms.select("term", F.explode(F.array_distinct(F.array(F.substring("term", 1, GRAM)))).alias("g"))
+    at = F.sequence(F.lit(1), F.length("word") - GRAM + 1)
+    grams = words.where(F.length("word") >= GRAM).select("word", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("word"), i, F.lit(GRAM))))).alias("g"))
+    holds = F.contains("word", F.col("term")) | ((F.length("term") >= 5) & F.startswith("word", F.substring("term", 1, 5)))
+    return first.join(grams, "g").where(holds).select("term", "word").distinct()
+
+
+def search_log(entries: DataFrame, queries: DataFrame, most: int = MOST_HITS, dense: DataFrame | None = None) -> DataFrame:
+    """(query, entry_id, score, rank, time_filtered): the best entries of each question, those of the times it names (all if there are none), by word and dense score.
+
+    entries: entry_id, day, text; queries: query, question; ``dense`` has query, entry_id and the dense score of each question's nearest entries. The
+    word score is the share of the question's terms that an entry holds. Entries are found by postings: distinct words of entries
+    meet distinct terms, and only entries with a term (or a dense score) are scored; where these are too few, the latest entries of the named time
+    follow with a score of 0, so no table of all questions and entries is made. Questions of the same terms and times are answered once. Ties go to the greater entry_id.
+    """
+    deep = max(most, MOST_TIMED_HITS)
+    terms = F.array_sort(F.array_distinct(F.regexp_extract_all(T.fold(F.col("question")), F.lit(r"\b[a-z][a-z0-9]{3,}\b"), F.lit(0))))
+    asked = queries.select("query", T.time_hints(F.col("question")).alias("hints"), terms.alias("terms")).withColumn("keys", _time_keys(F.col("hints")))
+    narrow = (F.size("hints.dates") > 0) | (F.size("hints.months") > 0)
+    asked = asked.withColumn("limit", F.when(narrow, deep).otherwise(most)).withColumn("own", F.col("query") if dense is not None else F.lit(0))
+    asked = asked.withColumn("q", F.xxhash64("own", F.array_join("terms", " "), F.array_join("keys", " "), "limit"))
+    once = asked.dropDuplicates(["q"]).select("q", "own", "terms", "keys", "limit")
+    dated = entries.select("entry_id", F.explode(F.array_compact(_day_keys(F.col("day")))).alias("key"))
+    # the named times that the log has; a question without one is asked of all entries
+    wanted = once.select("q", F.explode("keys").alias("key"))
+    there = wanted.join(dated.select("key").distinct(), "key", "left_semi")
+    open_ = once.select("q").join(there.select("q").distinct(), "q", "left_anti").select("q", F.lit("").alias("key"))
+    keys = there.select("q", "key").unionByName(open_)
+    latest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("entry_id")))
+    spare = dated.withColumn("k", latest).where(F.col("k") <= 2 * deep).join(keys, "key").select("q", "entry_id", F.lit(0).alias("hits"), F.lit(0.0).alias("d")).distinct()
+    held = entries.select("entry_id", F.explode(F.array_distinct(F.split(T.fold(F.col("text")), " "))).alias("word"))
+    posted = once.select("q", F.explode("terms").alias("term"))
+    met = term_hits(posted.select("term").distinct(), held.select("word").distinct())
+    postings = held.join(met, "word").select("entry_id", "term").distinct()
+    found = posted.join(postings, "term").groupBy("q", "entry_id").agg(F.count(F.lit(1)).cast("int").alias("hits")).withColumn("d", F.lit(0.0))
+    if dense is not None:
+        found = found.unionByName(dense.join(once.select("q", "own"), F.col("query") == F.col("own")).select("q", "entry_id", F.lit(0).alias("hits"), F.col("score").cast("double").alias("d")))
+    # a question's entry is in its time if they share a key
+    fitting = found.join(dated, "entry_id").join(keys, ["q", "key"], "left_semi").drop("key").unionByName(spare)
+    scored = fitting.groupBy("q", "entry_id").agg(F.max("hits").alias("hits"), F.max("d").alias("d")).join(once.select("q", "terms", "limit"), "q")
+    scored = scored.withColumn("score", F.coalesce(F.col("hits") / F.nullif(F.size("terms"), F.lit(0)), F.lit(0.0)) + F.col("d"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("entry_id")))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= deep).where(F.col("rank") <= F.col("limit")).select("q", "entry_id", "score", "rank")
+    timed = there.select("q").distinct().withColumn("time_filtered", F.lit(True))
+    return asked.select("query", "q").join(best, "q").join(timed, "q", "left").select("query", "entry_id", "score", "rank", F.coalesce("time_filtered", F.lit(False)).alias("time_filtered"))
 
 
 def log_questions(entries: DataFrame) -> DataFrame:

@@ -51,6 +51,74 @@ def product_history(uses: DataFrame, product: str, day: str) -> DataFrame:
     return total.join(between, product, "left")
 
 
+#: Fixed: days around the anniversary that count as near it, and the share of the years in which a product was used by then to be usual.
+NEAR_DAYS, USUAL_SHARE = 15, 0.5
+
+
+def _by_distinct_years(uses: DataFrame, product: str, day: str, remarks: str, most: int) -> DataFrame:
+    """(product, purposes): the ``most`` purposes that remarks name in the most distinct years, as structs of purpose and years; ties by name."""
+    named = uses.select(product, F.year(day).alias("__y"), F.explode(purposes(F.coalesce(F.col(remarks), F.lit("")))).alias("purpose")).distinct()
+    years = named.groupBy(product, "purpose").agg(F.count(F.lit(1)).alias("years"))
+    k = F.row_number().over(Window.partitionBy(product).orderBy(F.desc("years"), "purpose"))
+    best = years.withColumn("__k", k).where(F.col("__k") <= most)
+    return best.groupBy(product).agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "purpose", "years"))), lambda x: F.struct(x["purpose"].alias("purpose"), x["years"].alias("years"))).alias("purposes"))
+
+
+def own_use(uses: DataFrame, entries: DataFrame, product: str, day: str, remarks: str, reference: Column) -> DataFrame:
+    """By product the whole history: n, first and last day, uses by year and by month (maps), median gap, purposes (three), history years, and in how many of these it was used near the reference's anniversary.
+
+    ``uses`` has a row for each use, ``entries`` one for each dated entry of the log, from which the history years follow.
+    """
+    years = history_years(entries, day, 9999).select("year", F.lit(True).alias("__history"))
+    dated = uses.where(F.col(day).isNotNull())
+    counted = lambda of, name: dated.groupBy(product, of(day).alias("__v")).agg(F.count(F.lit(1)).alias("__n")).groupBy(product).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__v", "__n")))).alias(name))
+    covered = years.where(F.col("year") < F.year(reference))
+    close = around_anniversary(dated, day, reference, NEAR_DAYS).select(product, F.year(day).alias("year")).distinct().join(covered, "year", "left_semi").groupBy(product).agg(F.count(F.lit(1)).alias("near_years"))
+    found = product_history(dated, product, day).join(counted(F.year, "by_year"), product).join(counted(F.month, "by_month"), product)
+    found = found.join(_by_distinct_years(dated, product, day, remarks, 3), product, "left").join(close, product, "left")
+    total = covered.agg(F.count(F.lit(1)).alias("history_years"))
+    # one row
+    return found.crossJoin(F.broadcast(total)).withColumn("near_years", F.coalesce("near_years", F.lit(0).cast("bigint"))).withColumn("purposes", F.coalesce("purposes", F.array().cast("array<struct<purpose:string,years:bigint>>")))
+
+
+def usual_now(uses: DataFrame, entries: DataFrame, product: str, day: str, remarks: str, reference: Column, window: int = 14) -> DataFrame:
+    """By product, in the history years around the reference's anniversary: n_years, years_back (those with a use up to the anniversary), n, median_gap, purposes (two), this_year, and ``missing``.
+
+    This year counts up to the reference. A product is missing this year if the year has entries enough to compare, it was used by now in half of the
+    history years or more (one at least), and not yet this year. Rows come in no order; that of the calendar is n_years and n falling, then product.
+    """
+    dated = uses.where(F.col(day).isNotNull())
+    this = F.year(day) == F.year(reference)
+    years = entries.groupBy(F.year(day).alias("year")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= MIN_ROWS_OF_A_YEAR)
+    history = years.where(F.col("year") < F.year(reference)).select("year")
+    near = around_anniversary(dated, day, reference, window).withColumn("year", F.year(day))
+    past = near.join(history, "year", "left_semi")
+    table = past.groupBy(product).agg(F.count_distinct("year").alias("n_years"), F.count_distinct(F.when(F.col("offset") <= 0, F.col("year"))).alias("years_back"), F.count(F.lit(1)).alias("n"))
+    between = gaps(past, product, day).groupBy(product).agg(F.bround(F.median("gap")).cast("int").alias("median_gap"))
+    now = near.where(this & (F.col("offset") <= 0)).groupBy(product).agg(F.count(F.lit(1)).alias("this_year"))
+    whole = years.agg(F.count_if(F.col("year") < F.year(reference)).alias("__history"), F.coalesce(F.max(F.col("year") == F.year(reference)), F.lit(False)).alias("__comparable"))
+    found = table.join(between, product, "left").join(now, product, "left").join(_by_distinct_years(past, product, day, remarks, 2), product, "left").crossJoin(F.broadcast(whole))
+    this_year = F.coalesce("this_year", F.lit(0).cast("bigint"))
+    usual = F.col("years_back") >= F.greatest(F.lit(1.0), USUAL_SHARE * F.col("__history"))
+    return found.withColumn("this_year", this_year).withColumn("missing", F.col("__comparable") & usual & (F.col("this_year") == 0)).withColumn("purposes", F.coalesce("purposes", F.array().cast("array<struct<purpose:string,years:bigint>>"))).drop("__history", "__comparable")
+
+
+def advice(queries: DataFrame, products: DataFrame, own: DataFrame, breaches: DataFrame) -> DataFrame:
+    """(query, product, registered, valid, n, flags, note) of each query's products, registered or in the own log.
+
+    ``queries`` has query and text, ``products`` product and valid (for the crop), ``own`` product and n (see :func:`own_use`), ``breaches`` product and flag. Names meet
+    a query by equality or a common beginning of three characters or more. The note says why own use was not compared.
+    """
+    registered = prefix_matches(products, "product", queries, "text").groupBy("query", "product").agg(F.max("valid").alias("valid"))
+    used = prefix_matches(own.select("product", "n"), "product", queries, "text").groupBy("query", "product").agg(F.max("n").alias("n"))
+    flags = breaches.groupBy("product").agg(F.array_sort(F.collect_set("flag")).alias("flags"))
+    rows = registered.join(used, ["query", "product"], "full").join(flags, "product", "left")
+    is_registered, valid = F.col("valid").isNotNull(), F.coalesce("valid", F.lit(False))
+    shown = F.when(F.col("n").isNotNull() & valid, F.coalesce("flags", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    note = F.when(F.col("n").isNull(), "no own use").when(~is_registered, "not registered").when(~valid, "no valid use for the crop").when(F.size("flags") > 0, "differs").otherwise("no difference found")
+    return rows.select("query", "product", is_registered.alias("registered"), valid.alias("valid"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), shown.alias("flags"), note.alias("note"))
+
+
 def prefix_matches(names: DataFrame, name: str, queries: DataFrame, text: str) -> DataFrame:
     """Names that equal a query, begin with it or are its beginning, from three characters on.
 

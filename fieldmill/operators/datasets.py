@@ -230,3 +230,35 @@ def templated_examples(templates: DataFrame, targets: DataFrame, n: int, seed: i
     rows = pairs.select(question.alias("question"), "target", (-F.log(u) / F.col("weight")).alias("key"))
     rows = rows.groupBy("question", "target").agg(F.min("key").alias("key"))
     return rows.orderBy("key", "question").limit(n).drop("key")
+
+
+def gold_card_numbers(items: DataFrame, document: str) -> DataFrame:
+    """(card_no) of the cards of a document that gold items name as doc#n in their ``sources``."""
+    source = items.select(F.explode("sources").alias("s"))
+    number = F.regexp_extract("s", r"^[^#]*#(\d+)$", 1)
+    return source.where((F.split_part("s", F.lit("#"), F.lit(1)) == document) & (number != "")).select(number.cast("int").alias("card_no")).distinct()
+
+
+#: Fixed: states of a card's sources that count as verified, and a feedback's preferences.
+VERIFIED_STATUSES, PREFERENCES = ("bevestigd",), ("chosen", "rejected")
+
+
+def compliance_extras(targets: DataFrame, hits: DataFrame, cards: DataFrame) -> DataFrame:
+    """(target, action): of the hits (target, chunk_id, rank) of each target, the action of the first whose card is verified, names no dose and is about the target, by its first six letters.
+
+    ``cards`` has chunk_id, title, observation, action and sources_status.
+    """
+    letters = lambda c, keep: F.regexp_replace(F.lower(c), f"[^{keep}]", "")
+    stem = F.substring(letters(F.col("target"), "a-z"), 1, 6)
+    about = F.contains(F.replace(letters(F.concat_ws(" ", "title", "observation"), "a-z "), F.lit(" "), F.lit("")), stem)
+    dose = F.regexp(F.concat_ws(" ", "observation", "action"), F.lit(r"(?i)\d+(?:[.,]\d+)?\s*(?:ml|l|liter|kg|g|gram)\b"))
+    rows = targets.join(hits, "target").join(cards, "chunk_id").where(F.col("sources_status").isin(*VERIFIED_STATUSES) & ~dose & (stem != "") & about)
+    return rows.groupBy("target").agg(F.min_by("action", "rank").alias("action"))
+
+
+def feedback_records(rows: DataFrame, as_of: Column) -> DataFrame:
+    """``rows`` as feedback, with ``timestamp`` filled from ``as_of``; a preference that is neither chosen nor rejected is an error when the rows are read."""
+    bad = F.raise_error(F.concat(F.lit("preference must be chosen or rejected, not "), F.coalesce("preference", F.lit("null"))))
+    checked = F.when(F.coalesce(F.col("preference").isin(*PREFERENCES), F.lit(False)), F.col("preference")).otherwise(bad.cast("string"))
+    stamp = F.coalesce(F.col("timestamp"), as_of) if "timestamp" in rows.columns else as_of
+    return rows.withColumn("preference", checked).withColumn("timestamp", stamp)

@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
 from ..functions.stats import nearest_rank
 
 KS = (1, 3, 5, 6, 10)
 
 
+#: Parts into which a group's values are cut to find ranks.
+RANK_PARTS = 256
+
+
 def latency_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, median, nearest-rank 95th percentile and maximum. The percentile is found by counting ranks, not by gathering a group's values."""
-    from pyspark.sql import Window
-
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    ranked = rows.where(F.col(value).isNotNull()).select(*keys, value, n.alias("__n"), k.alias("__k"))
-    at = F.greatest(F.lit(1), F.least(F.col("__n"), F.bround(F.col("__n") * 0.95).cast("long")))
-    return ranked.groupBy(*keys).agg(F.max("__n").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("p50"), F.max(F.when(F.col("__k") == at, F.col(value))).alias("p95"), F.max(value).alias("max"))
+    """n, mean, median, nearest-rank 95th percentile and maximum of each group; null values and null keys' groups count as such.
+
+    Equal values are counted first. A group's distinct values are cut into parts at approximate quantiles, the parts' sizes are added up, and
+    ranks are counted within a part, so that no task sorts a whole group.
+    """
+    some = rows.where(F.col(value).isNotNull())
+    shares = F.array(*[F.lit(i / RANK_PARTS) for i in range(1, RANK_PARTS)])
+    whole = some.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.percentile_approx(value, shares, 1000).alias("__cuts"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    counts = some.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")).join(whole, on)
+    cut = F.size(F.filter(F.array_distinct("__cuts"), lambda x: x < F.col(value)))
+    counts = counts.select(*keys, value, "__c", "n", "mean", "max", cut.alias("__part"))
+    sizes = counts.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], "__part").agg(F.sum("__c").alias("__size")).withColumnRenamed("__part", "__at")
+    below = F.sum("__size").over(Window.partitionBy(*[f"__{k}" for k in keys]).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
+    placed = counts.join(sizes.withColumn("__below", below), on & (F.col("__part") == F.col("__at")))
+    upto = F.col("__below") + F.sum("__c").over(Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("__upto", upto)
+    at = lambda k: F.max(F.when((k <= F.col("__upto")) & (k > F.col("__upto") - F.col("__c")), F.col(value)))
+    rank = F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.col("n") * 0.95).cast("long")))
+    first = lambda c: F.first(c).alias(c)
+    middle = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor((F.col("n") + 2) / 2))) / 2
+    return placed.groupBy(*keys).agg(first("n"), first("mean"), middle.alias("p50"), at(rank).alias("p95"), first("max"))
 
 
 def small_latency_stats(values: Column) -> Column:

@@ -98,3 +98,9 @@ def concept_tags(docs: DataFrame, key: str, aliases: dict[str, list[str]], text:
 
     counts = [F.struct(F.lit(c).alias("concept"), F.regexp_count(folded, F.lit("|".join(pattern(a) for a in names))).alias("n")) for c, names in aliases.items()]
     return docs.select(key, F.explode(F.filter(F.array(*counts), lambda x: x["n"] > 0)).alias("t")).select(key, "t.concept", "t.n")
+
+
+def alias_table(concepts: DataFrame) -> DataFrame:
+    """(alias, concepts): each alias of ``concepts`` (concept, aliases: array), folded, with the concepts that it stands for, in order."""
+    rows = concepts.select("concept", F.explode("aliases").alias("a")).select("concept", T.fold(F.col("a")).alias("alias")).distinct()
+    return rows.groupBy("alias").agg(F.array_sort(F.collect_list("concept")).alias("concepts"))

@@ -9,7 +9,7 @@ from ..functions import text as T
 
 SIGNALS = (
     "words", "sentence_ratio", "fragment_ratio", "tabular_score", "digit_ratio", "reference_score", "stopword_ratio", "duplicate_lines", "caps_ratio",
-    "n_sentences", "incomplete_sentences", "first_incomplete", "last_incomplete", "hyphens",
+    "n_sentences", "incomplete_sentences", "first_incomplete", "last_incomplete", "hyphens", "incomplete_examples",
 )
 #: Fixed: titles of lists of references and of what belongs to a site and not to its text.
 REFERENCE_TITLE = r"(?i)literature cited|literatuur|references|referenties|bibliograph|bronnen en|verder lezen|further readings?|about the authors"
@@ -34,6 +34,7 @@ def signals(docs: DataFrame, text: str = "text", language: str = "lang") -> Data
             "reference_score": three(T.reference_score(t)), "stopword_ratio": three(T.stopword_ratio(t, F.col(language))), "duplicate_lines": T.duplicate_lines(t), "caps_ratio": three(T.caps_ratio(t)),
             "n_sentences": F.size(flags), "incomplete_sentences": F.size(F.filter(flags, lambda f: ~f)), "first_incomplete": ~F.coalesce(F.try_element_at(flags, F.lit(1)), F.lit(True)), "last_incomplete": ~F.coalesce(F.try_element_at(flags, F.lit(-1)), F.lit(True)),
             "hyphens": T.hyphen_artifacts(t),
+            "incomplete_examples": F.slice(F.transform(F.filter(F.zip_with(sentences, flags, lambda s, f: F.struct(s.alias("s"), f.alias("f"))), lambda x: ~x["f"]), lambda x: F.substring(x["s"], 1, 80)), 1, 3),
         }
     ).drop("__flags", "__sentences")
 

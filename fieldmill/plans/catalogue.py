@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, language_queries, layout_queries, logbook_queries, record_queries, series_queries, text_queries, trend_queries  # noqa: F401  registers its queries
+from . import gate_queries, graph_queries, language_queries, layout_queries, logbook_queries, practice_queries, record_queries, series_queries, text_queries, trend_queries  # noqa: F401  registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -29,28 +29,39 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "capped_topk",
     f"""WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) AS rank FROM scores),
-c AS (SELECT *, count(*) OVER (PARTITION BY query, label ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM r WHERE rank <= 60)
-SELECT query, vec_id, label, rank FROM (SELECT query, vec_id, label, row_number() OVER (PARTITION BY query ORDER BY rank) AS rank FROM c WHERE used <= 3) WHERE rank <= 6""",
+c AS (SELECT *, sum(CASE WHEN vec_id % 10 = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY query, label ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM r WHERE rank <= 60)
+SELECT query, vec_id, label, rank FROM (SELECT query, vec_id, label, row_number() OVER (PARTITION BY query ORDER BY rank) AS rank FROM c WHERE used <= 1 OR vec_id % 10 = 0) WHERE rank <= 6""",
 )
 def capped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hit of a label at most; every tenth vector is a card, which is exempt."""
     pool = retrieval.top_k(_scores(spark, sf_dir), "query", "vec_id", 60)
-    return retrieval.cap_per_group(pool, "query", "label", "rank", 3).where("rank <= 6").select("query", "vec_id", "label", "rank")
+    return retrieval.cap_per_group(pool, "query", "label", "rank", 1, exempt=F.col("vec_id") % 10 == 0).where("rank <= 6").select("query", "vec_id", "label", "rank")
 
 
 @query(
     "hybrid_topk",
-    f"""WITH {_SCORES}, f AS (SELECT label, greatest(0, ln((SELECT count(*) FROM embeddings) / count(*)) / ln((SELECT count(*) FROM embeddings))) AS idf FROM embeddings GROUP BY label),
-b AS (SELECT query, vec_id, score + CASE WHEN s.label = query_label THEN 0.1 * idf * CASE WHEN vec_id % 4 = 0 THEN 1.5 ELSE 1.0 END ELSE 0 END AS score FROM scores s JOIN f ON f.label = s.query_label)
-SELECT query, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) AS rank FROM b) WHERE rank <= 6""",
+    f"""WITH {_SCORES},
+t AS (SELECT vec_id AS chunk, label::VARCHAR AS concept, vec_id % 4 = 0 AS in_title FROM embeddings UNION ALL SELECT vec_id, 'm' || vec_id % 7, false FROM embeddings),
+f AS (SELECT concept, greatest(0, ln((SELECT count(*) FROM embeddings) / count(DISTINCT chunk)) / ln((SELECT count(*) FROM embeddings))) AS idf FROM t GROUP BY concept),
+p AS (SELECT x.concept AS concept, y.concept AS other, count(*) AS w FROM t x JOIN t y ON x.chunk = y.chunk AND x.concept <> y.concept GROUP BY ALL HAVING count(*) >= 2),
+n AS (SELECT concept, other FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY w DESC, other) AS k FROM p) WHERE k <= 5),
+qc AS (SELECT chunk AS query, concept FROM t WHERE chunk % 50 = 0),
+o AS (SELECT DISTINCT query, other AS concept FROM qc JOIN n USING (concept) WHERE NOT EXISTS (SELECT 1 FROM qc z WHERE z.query = qc.query AND z.concept = n.other)),
+b AS (SELECT query, chunk, sum(boost) AS boost FROM (
+  SELECT query, chunk, 0.1 * idf * CASE WHEN in_title THEN 1.5 ELSE 1.0 END AS boost FROM qc JOIN t USING (concept) JOIN f USING (concept)
+  UNION ALL SELECT query, chunk, 0.03 * idf FROM o JOIN t USING (concept) JOIN f USING (concept)) GROUP BY ALL),
+h AS (SELECT s.query, s.vec_id, s.score + coalesce(boost, 0) AS score FROM scores s LEFT JOIN b ON b.query = s.query AND b.chunk = s.vec_id)
+SELECT query, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) AS rank FROM h) WHERE rank <= 6""",
 )
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as the concepts of vectors; every fourth vector has its concept in the title."""
+    """A vector's concepts are its label, in the title of every fourth, and its place in seven; neighbours are concepts that occur together."""
     rows = read(spark, sf_dir, "embeddings")
-    tags = rows.select(F.col("vec_id").alias("chunk"), F.col("label").cast("string").alias("concept"), (F.col("vec_id") % 4 == 0).alias("in_title"))
-    scores = _scores(spark, sf_dir)
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("label").cast("string").alias("concept"))
-    near = spark.createDataFrame([], "concept string, other string, w long")
-    found = retrieval.hybrid_scores(scores.select("query", F.col("vec_id").alias("chunk"), "score"), asked, tags, retrieval.concept_frequencies(tags, rows.count()), near)
+    by_label = rows.select(F.col("vec_id").alias("chunk"), F.col("label").cast("string").alias("concept"), (F.col("vec_id") % 4 == 0).alias("in_title"))
+    tags = by_label.union(rows.select("vec_id", F.concat(F.lit("m"), F.col("vec_id") % 7), F.lit(False)))
+    near = retrieval.neighbours(retrieval.cooccurrence(tags, "chunk", "concept"))
+    scores = _scores(spark, sf_dir).select("query", F.col("vec_id").alias("chunk"), "score")
+    asked = tags.where("chunk % 50 = 0").select(F.col("chunk").alias("query"), "concept")
+    found = retrieval.hybrid_scores(scores, asked, tags, retrieval.concept_frequencies(tags, rows.count()), near)
     return retrieval.top_k(found, "query", "chunk", 6).select("query", F.col("chunk").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -234,7 +245,25 @@ def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.preference_pairs(rows, "source", "doc_id", F.col("quality") == 1)
 
 
-@query("reward_score")
+_FOLDED = r"trim(regexp_replace(lower(strip_accents({})), '\s+', ' ', 'g'))"
+_STEMS = "list_distinct(list_transform(list_filter(regexp_extract_all(" + _FOLDED + ", '[a-z]{{6,}}'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in datasets.FORMAT_WORDS) + ")), lambda w: left(w, 6)))"
+_NUMBERS = r"list_transform(regexp_extract_all(regexp_replace({}, '(?im)(fragment|kaart|p\.|pagina|blz\.?|stap)\s*\d+(?:\s*[-–,]\s*\d+)*|^\s*\d+[.)]\s', ' ', 'g'), '(^|[^\w.])(\d+(?:[.,]\d+)?)', 2), lambda n: replace(n, ',', '.'))"
+_SHARE = "CASE WHEN len({0}) = 0 THEN 1.0 ELSE len(list_filter({0}, lambda v: list_contains({1}, v))) / len({0}) END"
+
+
+@query(
+    "reward_score",
+    rf"""WITH t AS (SELECT a.conv_id, a.turn, a.text AS answer, q.text AS question, regexp_extract_all(q.text, '[a-z]{{5,}}')[1:2] AS facts, trim(a.text) AS trimmed, len(regexp_extract_all(a.text, '\S+')) AS words, {_FOLDED.format("a.text")} AS f
+  FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn + 1 = a.turn WHERE a.role = 'assistant' AND q.role = 'user'),
+p AS (SELECT *, {_STEMS.format("answer")} AS own, {_STEMS.format("question")} AS allowed, {_NUMBERS.format("answer")} AS said, {_NUMBERS.format("question || ' ' || question")} AS given FROM t),
+m AS (SELECT *, CASE WHEN len(facts) > 0 THEN len(list_filter(facts, lambda x: contains(f, x))) / len(facts) ELSE 1.0 END AS coverage, CASE WHEN conv_id % 2 = 0 THEN {_SHARE.format("own", "allowed")} END AS focus,
+  regexp_matches(answer, '(?im)^\W*bronnen?\s*:')::INT::DOUBLE AS grounding, {_SHARE.format("said", "given")} AS numeric,
+  (trimmed <> '' AND NOT (contains(trimmed, '<think>') AND NOT contains(trimmed, '</think>')) AND CASE WHEN regexp_matches(trimmed, '(?im)^\W*bronnen?\s*:') THEN NOT regexp_matches(trimmed, '(?:,|-|\(| en| of)\s*$') ELSE regexp_matches(trimmed, '(?:[.!?)\]]|\*\*)$') END)::INT::DOUBLE AS complete,
+  CASE WHEN words <= 250 THEN 1.0 ELSE greatest(0.0, 1.0 - (words - 250) / 350) END AS concise,
+  (NOT (regexp_matches(f, '{T.DOSE_PER_AREA}') OR regexp_matches(f, '{T.DOSE_PER_VOLUME}') OR len(list_filter(regexp_split_to_array(f, '[.;:?!\n]'), lambda c: regexp_matches(c, '{T.AUTHORISATION_CLAIM}') AND NOT regexp_matches(c, '{T.HEDGE}'))) > 0))::INT::DOUBLE AS gate FROM p)
+SELECT conv_id, turn, round(coverage, 6) AS coverage, round(focus, 6) AS focus, grounding, round(numeric, 6) AS numeric, complete, round(concise, 6) AS concise, gate,
+  round(gate * (0.35 * coverage + 0.2 * coalesce(focus, 0) + 0.1 * grounding + 0.15 * numeric + 0.1 * complete + 0.1 * concise) / CASE WHEN focus IS NULL THEN 0.8 ELSE 1.0 END, 6) AS reward FROM m""",
+)
 def reward_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns scored against the turn before, whose first two long words are the facts."""
     turns = read(spark, sf_dir, "conversations")

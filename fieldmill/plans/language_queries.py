@@ -85,23 +85,39 @@ def conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assistant.conversations_by_recency(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
 
-@query("question_routes", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'the ') THEN 'english' WHEN contains(lower(text), 'und ') OR contains(lower(text), 'der ') THEN 'german' END AS route FROM conversations WHERE role = 'user'")
-def question_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = {"english": ["the "], "german": ["und ", "der "]}
-    return read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", assistant.route(F.col("text"), routes).alias("route"))
-
-
 @query("log_questions", "SELECT 'day' AS kind, 'What was done on ' || strftime(ts, '%Y-%m-%d') || '?' AS question, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'month', 'What was done in ' || strftime(ts, '%Y-%m') || '?', count(*) FROM events GROUP BY ALL")
 def log_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("event_id").alias("entry_id"))
     return assistant.log_questions(entries).select("kind", "question", F.size("entry_ids").cast("long").alias("n"))
 
 
-@query("log_search")
+_MONTH_NAMES = ["januari", "februari", "maart", "april", "mei", "juni", "juli", "augustus", "september", "oktober", "november", "december"]
+
+
+@query(
+    "log_search",
+    f"""WITH e AS (SELECT event_id AS entry_id, ts::DATE AS day, string_split(lower(event_type || ' entry' || event_id % 100), ' ') AS words FROM events),
+m AS (SELECT [{", ".join(f"'{m}'" for m in _MONTH_NAMES)}] AS names),
+q AS (SELECT event_id AS query, [event_type] || CASE WHEN event_id % 3 = 0 THEN ['entry' || event_id % 100] ELSE ['entries'] END AS terms, CASE event_id // 50 % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'month' WHEN 2 THEN 'year' END AS kind, ts::DATE AS day,
+  CASE event_id // 50 % 4 WHEN 0 THEN names[month(ts)] WHEN 1 THEN names[month(ts)] END AS month_term, CASE WHEN event_id // 50 % 4 = 1 THEN 2019 ELSE year(ts) END AS y FROM events, m WHERE event_id % 50 = 0),
+t AS (SELECT query, kind, day, y, list_filter(list_distinct(terms || CASE WHEN kind IN ('date', 'month') THEN ['wanneer', 'waren', month_term] ELSE ['wanneer', 'waren'] END), lambda x: length(x) >= 4) AS terms FROM q),
+c AS (SELECT query, entry_id, kind, CASE kind WHEN 'date' THEN e.day = t.day WHEN 'month' THEN year(e.day) = y AND month(e.day) = month(t.day) WHEN 'year' THEN year(e.day) = y END AS fits, len(list_filter(terms, lambda x: len(list_filter(words, lambda w: contains(w, x) OR length(x) >= 5 AND starts_with(w, left(x, 5)))) > 0)) / len(terms) AS score FROM t, e),
+a AS (SELECT query, coalesce(bool_or(fits), false) AS any_fits FROM c GROUP BY query),
+r AS (SELECT c.query, entry_id, score, kind, any_fits, row_number() OVER (PARTITION BY c.query ORDER BY score DESC, entry_id DESC) AS rank FROM c JOIN a ON a.query = c.query WHERE NOT any_fits OR fits)
+SELECT query, entry_id, round(score, 6) AS score, rank, any_fits AS time_filtered FROM r WHERE rank <= CASE WHEN kind IN ('date', 'month') THEN 8 ELSE 6 END""",
+)
 def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = read(spark, sf_dir, "events").select(F.col("event_id").alias("entry_id"), F.to_date("ts").alias("day"), F.concat_ws(" ", "event_type", "props").alias("text"))
-    queries = spark.createDataFrame([(1, "error in januari 2024"), (2, "purchase op 5 januari 2024"), (3, "click 2019")], "query int, question string")
-    return assistant.search_log(entries, queries)
+    """Every fiftieth event as a question about its kind, on its date, in its month of a year that the log lacks, in its year, or at any time."""
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("entry_id"), F.to_date("ts").alias("day"), "event_type")
+    number = F.concat(F.lit("entry"), (F.col("entry_id") % 100).cast("string"))
+    entries = rows.select("entry_id", "day", F.concat_ws(" ", "event_type", number).alias("text"))
+    month = F.element_at(F.array(*[F.lit(m) for m in _MONTH_NAMES]), F.month("day"))
+    year = F.year("day").cast("string")
+    turn = F.floor(F.col("entry_id") / 50) % 4
+    when = F.when(turn == 0, F.concat_ws(" ", F.lit("op"), F.dayofmonth("day").cast("string"), month, year)).when(turn == 1, F.concat_ws(" ", F.lit("in"), month, F.lit("2019"))).when(turn == 2, F.concat(F.lit("in "), year)).otherwise("")
+    question = F.concat(F.lit("Wanneer waren "), "event_type", F.lit(" "), F.when(F.col("entry_id") % 3 == 0, number).otherwise(F.lit("entries")), F.lit(" "), when, F.lit("?"))
+    queries = rows.where("entry_id % 50 = 0").select(F.col("entry_id").alias("query"), question.alias("question"))
+    return assistant.search_log(entries, queries).withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -122,13 +122,6 @@ def sampling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("mean_reward", "mean_best")})
 
 
-@query("failing_chunks", "SELECT doc_id, CASE WHEN n_chars < 300 THEN 'fail' WHEN n_chars < 900 THEN 'references' ELSE 'warn' END AS verdict FROM documents WHERE n_chars < 1500")
-def failing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_chars")
-    rows = read(spark, sf_dir, "documents").withColumn("verdict", F.when(n < 300, "fail").when(n < 900, "references").when(n < 1500, "warn").otherwise("ok"))
-    return quality.failing(rows, "doc_id", "n_chars").select("doc_id", "verdict")
-
-
 @query(
     "log_question_set",
     """WITH r AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, year(o_orderdate) AS y, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%Y-%m') AS ym, CASE WHEN o_orderstatus = 'F' THEN lower(o_orderpriority[3:]) END AS target FROM orders),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import lexicon, quality
+from ..operators import quality
 from .registry import query, read
 
 #: Accented letters of the languages of the documents.
@@ -35,30 +35,6 @@ def text_quality_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "words", "fragment_ratio", "tabular_score", "digit_ratio", "stopword_ratio", "duplicate_lines", "caps_ratio")
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quality gate over documents: signals, the share of unknown words, verdict. The first line is the title."""
-    docs = read(spark, sf_dir, "documents").withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
-    unknown = lexicon.unknown_words(docs, "doc_id", lexicon.corpus_lexicon(docs), quality.protected_terms(docs), accents=ACCENTS)
-    noise = lexicon.lexical_noise(docs, "doc_id", unknown).select("doc_id", "oov_ratio")
-    return quality.verdict(quality.signals(docs).join(noise, "doc_id", "left"))
-
-
-@query("qc_verdict")
-def qc_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir).select("doc_id", "sentence_ratio", "verdict", F.array_join("reasons", "; ").alias("reasons"), F.array_join("categories", ",").alias("categories"))
-
-
-@query("qc_verdict_counts")
-def qc_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdict_counts(_judged(spark, sf_dir), "source")
-
-
-@query("qc_repair")
-def qc_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.repair(read(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.size("repairs").alias("n_repairs"), F.md5("text").alias("text_md5"))
-
-
 @query(
     "protected_terms",
     rf"""
@@ -108,7 +84,14 @@ def repetition_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.repetition_loop(F.col("text")).alias("loops"))
 
 
-@query("collapsed_repetition")
+@query(
+    "collapsed_repetition",
+    r"""WITH s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM conversations),
+l AS (SELECT *, list_filter(ss, lambda x: len(regexp_extract_all(x, '\S+')) >= 4) AS long FROM s),
+k AS (SELECT *, list_filter(ss, lambda x, i: len(regexp_extract_all(x, '\S+')) < 4 OR list_position(ss, x) = i) AS kept FROM l),
+e AS (SELECT *, coalesce(list_max(list_transform(kept, lambda x, i: CASE WHEN regexp_matches(x, '[.!?)*:]\s*$') THEN i ELSE 0 END)), 0) AS last FROM k)
+SELECT conv_id, turn, length(CASE WHEN coalesce(list_max(list_transform(list_distinct(long), lambda x: len(list_filter(long, lambda y: y = x)))), 0) >= 3 THEN array_to_string(kept[1:last], ' ') ELSE text END)::INT AS n_chars FROM e""",
+)
 def collapsed_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(T.collapse_repetition(F.col("text"))).alias("n_chars"))
 

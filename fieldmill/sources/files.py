@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
 TRANSCRIPT = (
     "jaar STRING, bestand STRING, pagina INT, image_path STRING, opmerkingen_pagina STRING, "
     "entries ARRAY<STRUCT<datum_ruw: STRING, datum_iso: STRING, tijd: STRING, opmerkingen: STRING, onzeker: BOOLEAN, raw_transcript: STRING, toepassingen: ARRAY<STRUCT<middel: STRING, hoeveelheid: STRING>>>>"
@@ -24,6 +23,12 @@ def source_manifest(spark: SparkSession, folder: str, sources: DataFrame) -> Dat
     return sources.join(files, "file", "left").withColumn("status", status)
 
 
+def manifest_counts(manifest: DataFrame) -> DataFrame:
+    """One row: sources that are there (new or from before), blocked and failed."""
+    status = F.col("status")
+    return manifest.agg(F.count(F.lit(1)).alias("n"), F.count_if(status.isin("acquired", "already_acquired")).alias("n_acquired"), F.count_if(status == "blocked").alias("n_blocked"), F.count_if(status == "failed").alias("n_failed"))
+
+
 def rerooted(path: str, marker: str):
     """The part of a path after a marker folder, either separator; null without it."""
     return F.nullif(F.regexp_extract(path, rf"{marker}[/\\](.*)$", 1), F.lit(""))
