@@ -59,10 +59,10 @@ def without_notice(answer: Column, mark: str = "*Let op:") -> Column:
 
 
 def conversations_by_recency(turns: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
-    """key, title, turns and last turn of each conversation, the longest first."""
+    """key, title, turns and last turn of each conversation; a list shows them by last turn falling, then key."""
     first = F.min_by(text, F.when(F.col(role) == "user", F.col(turn)))
     found = turns.groupBy(key).agg(first.alias("q"), F.count(F.lit(1)).alias("n_turns"), F.max(turn).alias("last_turn"))
-    return found.select(key, title_of(F.col("q")).alias("title"), "n_turns", "last_turn").orderBy(F.desc("last_turn"), key)
+    return found.select(key, title_of(F.col("q")).alias("title"), "n_turns", "last_turn")
 
 
 def _prefixed(prefix: str) -> Callable[[Column], Column]:

@@ -35,13 +35,13 @@ def around_anniversary(uses: DataFrame, day: str, reference: Column, window: int
 
 
 def product_calendar(uses: DataFrame, product: str, day: str, reference: Column, window: int) -> DataFrame:
-    """By product, around the anniversary: years, uses, the median offset, this year's uses and the latest year."""
+    """By product, around the anniversary: years, uses, the median offset, this year's uses and the latest year. A list shows them by n_years and n falling, then product."""
     near = around_anniversary(uses, day, reference, window)
     this = F.year(day) == F.year(reference)
     table = near.groupBy(product).agg(
         F.count_distinct(F.when(~this, F.year(day))).alias("n_years"), F.count_if(~this).alias("n"), F.median(F.when(~this, F.col("offset"))).alias("median_offset"), F.count_if(this).alias("this_year"), F.max(F.when(~this, F.year(day))).alias("last_year")
     )
-    return table.where("n_years > 0").orderBy(F.desc("n_years"), F.desc("n"), product)
+    return table.where("n_years > 0")
 
 
 def product_history(uses: DataFrame, product: str, day: str) -> DataFrame:

@@ -222,8 +222,14 @@ def example_report(examples: DataFrame) -> DataFrame:
     return examples.groupBy("kind", "skipped").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Templates meet all targets.
+MOST_TEMPLATES = 1_000
+
+
 def templated_examples(templates: DataFrame, targets: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """n distinct questions from templates (template with %s, weight) and targets, heavier templates first by a weighted hash."""
+    """n distinct questions from templates (template with %s, weight) and targets, heavier templates first by a weighted hash. More than MOST_TEMPLATES templates are an error."""
+    if templates.count() > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
     pairs = targets.crossJoin(F.broadcast(templates))
     u = (F.xxhash64(F.lit(seed), "template", "target").bitwiseAND(F.lit((1 << 53) - 1)) + 1) / F.lit(float((1 << 53) + 1))
     question = F.replace("template", F.lit("%s"), F.col("target"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def filter_entries(entries: DataFrame, applications: DataFrame, year: int | None = None, certain: bool = False, product: str | None = None) -> DataFrame:
-    """Entries of a year, only certain ones, and with a product whose name contains ``product``, each where asked for; by day, undated ones last."""
+    """Entries of a year, only certain ones, and with a product whose name contains ``product``, each where asked for. In no order: a list shows them by day, undated ones last, then entry_id."""
     rows = entries
     if year is not None:
         rows = rows.where(F.col("day").between(F.make_date(F.lit(year), F.lit(1), F.lit(1)), F.make_date(F.lit(year), F.lit(12), F.lit(31))))
@@ -18,13 +18,13 @@ def filter_entries(entries: DataFrame, applications: DataFrame, year: int | None
         rows = rows.where("certain")
     if product is not None:
         rows = rows.join(applications.where(F.contains(F.lower("product"), F.lit(product.lower()))).select("entry_id"), "entry_id", "left_semi")
-    return rows.orderBy(F.asc_nulls_last("day"), "entry_id")
+    return rows
 
 
 def work_queue(entries: DataFrame, most: int | None = None) -> DataFrame:
-    """Entries that nobody verified and that aren't certain, page by page; the first ``most`` of them."""
-    rows = entries.where(~F.coalesce("certain", F.lit(False)) & ~F.coalesce("verified", F.lit(False))).orderBy("page_id", "entry_id")
-    return rows if most is None else rows.limit(most)
+    """Entries that nobody verified and that aren't certain; with ``most`` the first so many of them by page and entry, else all in no order."""
+    rows = entries.where(~F.coalesce("certain", F.lit(False)) & ~F.coalesce("verified", F.lit(False)))
+    return rows if most is None else rows.orderBy("page_id", "entry_id").limit(most)
 
 
 def applications_text(applications: DataFrame) -> DataFrame:
@@ -67,9 +67,9 @@ def years(entries: DataFrame) -> DataFrame:
 
 
 def own_products(applications: DataFrame) -> DataFrame:
-    """Products by how often they were applied, then by name."""
+    """Products and how often they were applied; a list shows them by n falling, then by name."""
     named = applications.where(F.trim("product") != "").groupBy(F.trim("product").alias("product"))
-    return named.agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "product")
+    return named.agg(F.count(F.lit(1)).alias("n"))
 
 
 def period(rows: DataFrame, day: str, start: Column, end: Column) -> DataFrame:

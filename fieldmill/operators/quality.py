@@ -98,10 +98,10 @@ def indexable(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(F.col("verdict"), F.lit("ok")).isin("ok", "warn"))
 
 
-def failing(rows: DataFrame, document: str, index: str) -> DataFrame:
-    """Rows that need a look: fail, then references, then warn, each by document and index."""
+def failing(rows: DataFrame) -> DataFrame:
+    """Rows that need a look, with ``severity``: 1 for fail, 2 for references, 3 for warn. A list shows them by severity, document and index."""
     rank = F.array_position(F.array(*[F.lit(v) for v in ("fail", "references", "warn")]), F.col("verdict"))
-    return rows.where(F.col("verdict").isin("fail", "references", "warn")).orderBy(rank, document, index)
+    return rows.where(F.col("verdict").isin("fail", "references", "warn")).withColumn("severity", rank.cast("int"))
 
 
 def issue_counts(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -58,8 +58,8 @@ def risk_rank(column: Column) -> Column:
 
 
 def alerts(risks: DataFrame, risk: str = "risk") -> DataFrame:
-    """Rows of high risk or above, the worst first."""
-    return risks.where(risk_rank(F.col(risk)) >= 2).orderBy(risk_rank(F.col(risk)).desc())
+    """Rows of high risk or above, with ``rank`` (2 or 3) to show the worst first."""
+    return risks.withColumn("rank", risk_rank(F.col(risk))).where("rank >= 2")
 
 
 #: Fixed: the stage that a month stands for, as a starting value.

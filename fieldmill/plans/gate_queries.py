@@ -130,9 +130,9 @@ def qc_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.document_table(_judged(spark, sf_dir), "source")
 
 
-@query("failing_chunks", _GATE + "SELECT chunk AS chunk_id, verdict FROM k WHERE verdict <> 'ok'")
+@query("failing_chunks", _GATE + "SELECT chunk AS chunk_id, verdict, CASE verdict WHEN 'fail' THEN 1 WHEN 'references' THEN 2 ELSE 3 END AS severity FROM k WHERE verdict <> 'ok'")
 def failing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.failing(_judged(spark, sf_dir), "doc_id", "chunk_id").select("chunk_id", "verdict")
+    return quality.failing(_judged(spark, sf_dir)).select("chunk_id", "verdict", "severity")
 
 
 _REPAIRED = rf"""WITH {_CHUNKS}, {_WORDS},
