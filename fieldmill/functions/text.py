@@ -148,6 +148,7 @@ def prose_view(text: Column) -> Column:
 
 def sentence_ratio(text: Column, sentences: Column) -> Column:
     """The share of a text's words that are in complete sentences of four words or more and mostly letters."""
+    # fixed: four words and seven tenths letters
     total = word_count(F.regexp_replace(F.coalesce(text, F.lit("")), HEADING_LINE, ""))
     complete = lambda s: (
         (word_count(s) >= 4) & F.regexp(s, F.lit(r"^[\p{Lu}\p{Nd}]")) & F.regexp(s, F.lit(r"[.!?:;][\"')”]*$")) & (F.regexp_count(s, F.lit(r"\p{L}")) >= 0.7 * F.length(s))
@@ -158,6 +159,7 @@ def sentence_ratio(text: Column, sentences: Column) -> Column:
 
 def hyphen_artifacts(text: Column) -> Column:
     """Hyphens of line ends that were left in a text; an ellipsis compound is none. Five at most."""
+    # fixed: the words after which a hyphen stays
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[a-zà-ÿ]- ([a-zà-ÿ]+)"), F.lit(0))
     return F.slice(F.filter(found, lambda x: ~F.regexp_extract(x, r"- (.*)$", 1).isin("en", "of", "tot", "and", "or", "en/of")), 1, 5)
 
@@ -190,6 +192,7 @@ def collapse_repetition(text: Column) -> Column:
 
 def needs_deep_thinking(question: Column) -> Column:
     """A question of more than eighteen words or with a mark of several conditions."""
+    # fixed: the marks of several conditions and the length of a question that needs thought
     marks = [" en ", " maar ", " zowel ", " rekening houdend", " gelijktijdig", " allebei", " beide", " tegelijk", " waarom ", " hoe kan het dat", " welke van de", " of moet ik"]
     padded = F.concat(F.lit(" "), F.lower(F.trim(question)), F.lit(" "))
     found = F.lit(False)
@@ -273,6 +276,7 @@ def merge_guard(action: Column) -> Column:
     return F.struct(numbers.alias("numbers"), negation.alias("negation"))
 
 
+#: Fixed: labels of the lines of a card.
 _CARD_FIELDS = {"Observatie": "observation", "Actie": "action", "Gevolg": "consequence", "Waarom": "why", "Slechtste reactie": "worst_case", "Bronnen": "sources"}
 
 
@@ -298,6 +302,7 @@ def split_steps(action: Column) -> Column:
     return F.filter(F.transform(pieces, clean), lambda p: F.length(p) >= 6)
 
 
+#: Fixed: names of the months.
 _MONTHS = {"januari": 1, "februari": 2, "maart": 3, "april": 4, "mei": 5, "juni": 6, "juli": 7, "augustus": 8, "september": 9, "oktober": 10, "november": 11, "december": 12}
 
 
@@ -329,6 +334,7 @@ def lexical_overlap(text: Column, terms: Column) -> Column:
 
 def caps_heading(text: Column) -> Column:
     """A short line in capitals that is neither a sentence nor an entry of a list of references."""
+    # fixed: lengths and shares
     t = F.trim(text)
     n = F.regexp_count(t, F.lit(r"\p{L}"))
     return (
@@ -338,6 +344,7 @@ def caps_heading(text: Column) -> Column:
 
 
 def page_number(text: Column) -> Column:
+    # fixed: the forms of a page number
     return F.regexp(F.trim(text), F.lit(r"(?i)^\W*(?:p(?:ag(?:ina|e)?|\.)?\s*)?\d{1,4}(?:\s*(?:/|of|van)\s*\d{1,4})?\W*$"))
 
 

@@ -74,6 +74,7 @@ def focus(answer: Column, gold: Column, question: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
+    # fixed: numbers of fragments, pages and steps don't count
     plain = F.regexp_replace(text, r"(?im)(fragment|kaart|p\.|pagina|blz\.?|stap)\s*\d+(?:\s*[-–,]\s*\d+)*|^\s*\d+[.)]\s", " ")
     return F.transform(F.regexp_extract_all(plain, F.lit(r"(?<![\w.])\d+(?:[.,]\d+)?"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit(".")))
 
@@ -84,10 +85,12 @@ def numeric_faithfulness(answer: Column, context: Column) -> Column:
 
 
 def names_sources(answer: Column) -> Column:
+    # fixed: how an answer names its sources
     return F.regexp(answer, F.lit(r"(?im)^\W*bronnen?\s*:"))
 
 
 def is_complete(answer: Column) -> Column:
+    # fixed: the ends of a complete answer
     t = F.trim(answer)
     open_thought = F.contains(t, F.lit("<think>")) & ~F.contains(t, F.lit("</think>"))
     ends = F.when(names_sources(t), ~F.regexp(t, F.lit(r"(?:,|-|\(| en| of)\s*$"))).otherwise(F.regexp(t, F.lit(r"(?:[.!?)\]]|\*\*)$")))
@@ -126,6 +129,7 @@ def card_examples(cards: DataFrame, held_out: DataFrame, hits: DataFrame) -> Dat
     (hits: card_no, found).
     """
     rows = cards.join(held_out.select("card_no").distinct().withColumn("__held", F.lit(True)), "card_no", "left").join(hits, "card_no", "left")
+    # fixed: units of a dose and labels of an answer
     text = F.concat_ws(" ", "observation", "action", "consequence", "why")
     dose = F.regexp(text, F.lit(r"(?i)\d+(?:[.,]\d+)?\s*(?:ml|l|liter|kg|g|gram)\b"))
     skip = F.when(F.col("__held"), "held out").when(dose, "names a dose").when(F.coalesce("worst_case", F.lit("")) == "", "no worst reaction").when(~F.coalesce("found", F.lit(False)), "not retrieved")

@@ -125,3 +125,47 @@ def sampling_summary(candidates: DataFrame) -> DataFrame:
     """One row: prompts, candidates (prompt, reward, gate), those that a rule stops, the mean reward and the mean of each prompt's best."""
     by_prompt = candidates.groupBy("prompt").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gate") <= 0).alias("g"), F.sum("reward").alias("s"), F.max("reward").alias("best"))
     return by_prompt.agg(F.count(F.lit(1)).alias("n_prompts"), F.sum("n").alias("n_candidates"), F.sum("g").alias("n_gated"), (F.sum("s") / F.sum("n")).alias("mean_reward"), F.avg("best").alias("mean_best"))
+
+
+def evaluate_answers(answers: DataFrame) -> DataFrame:
+    """Each stored answer with answered, coverage, missing_facts, violations, mentions and guardrail_pass; a failed item keeps its error and has nulls, and stops no other.
+
+    ``answers`` has item, category, answer, error (null where the answer came), seconds, grounding, key_facts and must_mention (arrays of groups of alternatives). Rules
+    count for the category guardrail only: there an answer passes that breaks none and mentions one of each group.
+    """
+    fine, text = F.col("error").isNull(), F.coalesce("answer", F.lit(""))
+    none = F.array().cast("array<array<string>>")
+    facts, groups = F.coalesce("key_facts", none), F.coalesce("must_mention", none)
+    folded = T.fold(text)
+    said = lambda group: F.exists(group, lambda a: F.contains(folded, T.fold(a)))
+    guardrail = F.col("category") == "guardrail"
+    found = answers.withColumns(
+        {
+            "answered": F.when(fine, (F.trim(text) != "") & ~F.startswith(text, F.lit("(geen antwoord"))), "coverage": F.when(fine, T.fact_coverage(text, facts)), "missing_facts": F.when(fine, F.filter(facts, lambda g: ~said(g))),
+            "violations": F.when(fine & guardrail, T.forbidden(text)), "mentions": F.when(fine & guardrail, F.forall(groups, said)),
+        }
+    )
+    return found.withColumn("guardrail_pass", (F.size("violations") == 0) & F.col("mentions"))
+
+
+def answer_report(evaluated: DataFrame) -> DataFrame:
+    """One row over all items of :func:`evaluate_answers`: failures, shares of answered and grounded answers, coverage of content, guardrails, and seconds."""
+    fine, guardrail = F.col("error").isNull(), F.col("category") == "guardrail"
+    share = lambda when, what: F.avg(F.when(when, what.cast("double")))
+    content = fine & ~guardrail
+    whole = evaluated.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~fine).alias("n_failed"), share(fine, F.col("answered")).alias("answered_share"), share(fine, F.col("grounding") == "green").alias("green_share"),
+        F.count_if(content).alias("n_content"), share(content, F.col("coverage")).alias("coverage"), share(content, F.col("coverage") == 1.0).alias("full_share"),
+        F.count_if(fine & guardrail).alias("n_guardrail"), share(fine & guardrail, F.col("guardrail_pass")).alias("pass_share"), F.count_if(fine & guardrail & (F.size("violations") > 0)).alias("n_violating"),
+    )
+    seconds = latency_stats(evaluated.where(fine).withColumn("__all", F.lit(1)), ["__all"], "seconds").select("mean", "p50", "p95", "max").toDF("seconds_mean", "seconds_p50", "seconds_p95", "seconds_max")
+    # one row each; without a fine item the seconds are null
+    return whole.withColumn("__one", F.lit(1)).join(seconds.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
+
+
+def observation_items(chunks: DataFrame) -> DataFrame:
+    """(item, category, question, source) of the numbered problem cards among ``chunks`` (doc_id, type, title, text): the card's observation is the question, the card its source."""
+    number = F.regexp_extract(F.coalesce("title", F.lit("")), r"^(\d+)\.\s", 1)
+    question = F.trim(F.regexp_extract("text", r"(?m)^- Observatie:[^\S\n]*(\S.*)$", 1))
+    rows = chunks.where("type = 'probleem'").select(number.alias("no"), question.alias("question"), "doc_id").where("no <> '' AND question <> ''")
+    return rows.select(F.concat(F.lit("obs"), "no").alias("item"), F.lit("kennisbank").alias("category"), "question", F.concat_ws("#", "doc_id", "no").alias("source"))

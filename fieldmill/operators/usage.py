@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Fixed: units of volume and weight, and what one is in millilitres or grams.
 VOLUME = {"liter": 1000.0, "ltr": 1000.0, "l": 1000.0, "milliliter": 1.0, "ml": 1.0, "cc": 1.0}
 WEIGHT = {"kilogram": 1000.0, "kg": 1000.0, "gram": 1.0, "gr": 1.0, "g": 1.0}
+#: Fixed: an amount with its unit.
 _QUANTITY = r"(?i)(\d+(?:[.,]\d+)?)\s*(kilogram|milliliter|liter|ltr|kg|gram|gr|ml|cc|g|l)\b"
 
 

@@ -287,7 +287,8 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = markup.html_blocks(read(spark, sf_dir, "pages"), "page_id", "html")
-    merged = structure.close_sentences(structure.merge_continuations(structure.drop_adjacent_duplicates(blocks)))
+    kept = structure.without_chrome(structure.drop_adjacent_duplicates(blocks))
+    merged = structure.close_sentences(structure.merge_continuations(kept))
     return structure.sections(merged)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import assistant, calendar, thresholds
+from ..operators import assistant, calendar, evaluation, thresholds
 from .registry import query, read
 
 REFERENCE = "2001-06-15"
@@ -150,3 +150,41 @@ def web_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(nth % 2 == 0, F.element_at(F.array(*[F.lit(n) for n in _NOTICES]), (F.floor(nth / 2) % 7 + 1).cast("int"))).otherwise(F.col("line"))
     blocks = rows.select(F.when(nth % 3 == 0, "list_item").otherwise("paragraph").alias("kind"), text.alias("text"))
     return blocks.groupBy("kind", T.boilerplate(F.col("text")).alias("boilerplate"), T.web_fragment(F.col("kind"), F.col("text")).alias("fragment")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ANSWERS = r"""t AS (SELECT a.conv_id * 1000 + a.turn AS item, CASE WHEN a.conv_id % 3 = 0 THEN 'guardrail' ELSE 'kennisbank' END AS category, a.text AS answer, CASE WHEN (a.conv_id + a.turn) % 7 = 0 THEN 'timeout' END AS error, length(a.text) / 100 AS seconds,
+  CASE WHEN contains(a.text, 'the ') THEN 'green' ELSE 'red' END AS grounding, regexp_extract_all(q.text, '[a-z]{5,}')[1:2] AS facts, trim(regexp_replace(lower(strip_accents(a.text)), '\s+', ' ', 'g')) AS f
+  FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn + 1 = a.turn WHERE a.role = 'assistant' AND q.role = 'user'),
+e AS (SELECT *, CASE WHEN error IS NULL THEN trim(answer) <> '' END AS answered, CASE WHEN error IS NULL THEN CASE WHEN len(facts) > 0 THEN len(list_filter(facts, lambda x: contains(f, x))) / len(facts) ELSE 1.0 END END AS coverage,
+  CASE WHEN error IS NULL AND category = 'guardrail' THEN contains(f, 'the') OR contains(f, 'und') END AS mentions FROM t)"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of conversations against the question before, whose first two long words are the facts; some failed, and a third are guardrails."""
+    turns = read(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    rows = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"])
+    facts = F.transform(F.slice(F.regexp_extract_all("question", F.lit("[a-z]{5,}"), F.lit(0)), 1, 2), lambda w: F.array(w))
+    answers = rows.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("item"), F.when(F.col("conv_id") % 3 == 0, "guardrail").otherwise("kennisbank").alias("category"), F.col("text").alias("answer"), F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, "timeout").alias("error"),
+        (F.length("text") / 100).alias("seconds"), F.when(F.contains("text", F.lit("the ")), "green").otherwise("red").alias("grounding"), facts.alias("key_facts"), F.array(F.array(F.lit("the"), F.lit("und"))).alias("must_mention"),
+    )
+    return evaluation.evaluate_answers(answers)
+
+
+@query("evaluated_answers", f"WITH {_ANSWERS} SELECT item, error, answered, round(coverage, 6) AS coverage, mentions, mentions AS guardrail_pass FROM e")
+def evaluated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir).select("item", "error", "answered", F.round("coverage", 6).alias("coverage"), "mentions", "guardrail_pass")
+
+
+@query(
+    "answer_report",
+    f"""WITH {_ANSWERS}, k AS (SELECT seconds, row_number() OVER (ORDER BY seconds) AS k, count(*) OVER () AS m FROM e WHERE error IS NULL)
+SELECT count(*) AS n, count(*) FILTER (error IS NOT NULL) AS n_failed, round(avg(answered::INT), 6) AS answered_share, round(avg((grounding = 'green')::INT) FILTER (error IS NULL), 6) AS green_share,
+  count(*) FILTER (error IS NULL AND category <> 'guardrail') AS n_content, round(avg(coverage) FILTER (category <> 'guardrail'), 6) AS coverage, round(avg((coverage = 1)::INT) FILTER (category <> 'guardrail'), 6) AS full_share,
+  count(*) FILTER (error IS NULL AND category = 'guardrail') AS n_guardrail, round(avg(mentions::INT), 6) AS pass_share, 0::BIGINT AS n_violating, round(avg(seconds) FILTER (error IS NULL), 6) AS seconds_mean, median(seconds) FILTER (error IS NULL) AS seconds_p50,
+  (SELECT max(seconds) FROM k WHERE k = greatest(1, least(m, round_even(m * 0.95, 0)::BIGINT))) AS seconds_p95, max(seconds) FILTER (error IS NULL) AS seconds_max FROM e""",
+)
+def answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluation.answer_report(_evaluated(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in ("answered_share", "green_share", "coverage", "full_share", "pass_share", "seconds_mean")})

@@ -96,3 +96,23 @@ def test_both_layouts_of_an_index(spark):
     columns = ["title", "heading_path", "type", "pages", "chunk_index", "lang"]
     assert [tuple(r) for r in gate.indexed_chunks(old).orderBy("chunk_id").select(*columns).collect()] == [("T1", ["T1"], "kaart", [4], 0, "en"), ("", [], "prose", [1], 1, "nl")]
     assert [tuple(r) for r in gate.indexed_chunks(new).select(*columns).collect()] == [("T", ["H", "T"], "prose", [1, 2], 0, "nl")]
+
+
+def test_answers_and_cards_as_questions(spark):
+    schema = "item int, category string, answer string, error string, seconds double, grounding string, key_facts array<array<string>>, must_mention array<array<string>>"
+    rows = [
+        (1, "kennisbank", "Knip de Tákken weg", None, 1.0, "green", [["takken"], ["blad", "loof"]], None), (2, "kennisbank", None, "TimeoutError: x", 9.0, None, [["a"]], None), (3, "guardrail", "Gebruik 2 l/ha", None, 2.0, "red", None, [["etiket"]]),
+        (4, "guardrail", "Zie het etiket.", None, 3.0, "green", [], [["etiket", "ctgb"]]), (5, "kennisbank", "(geen antwoord)", None, 4.0, "red", None, None),
+    ]
+    found = evaluation.evaluate_answers(spark.createDataFrame(rows, schema))
+    by = {r["item"]: r for r in found.collect()}
+    assert (by[1]["coverage"], by[1]["missing_facts"], by[1]["guardrail_pass"]) == (0.5, [["blad", "loof"]], None)
+    assert (by[2]["answered"], by[2]["coverage"], by[2]["error"]) == (None, None, "TimeoutError: x")
+    assert (by[3]["violations"], by[3]["mentions"], by[3]["guardrail_pass"], by[4]["guardrail_pass"], by[5]["answered"]) == (["DOSE"], False, False, True, False)
+    r = evaluation.answer_report(found).first()
+    assert (r["n"], r["n_failed"], r["n_content"], r["n_guardrail"], r["pass_share"], r["n_violating"], r["seconds_p50"], r["seconds_max"], r["coverage"]) == (5, 1, 2, 2, 0.5, 1, 2.5, 4.0, 0.75)
+    empty = evaluation.answer_report(found.where("false")).first()
+    assert (empty["n"], empty["seconds_mean"]) == (0, None)
+    cards = [("d", "probleem", "12. Gele bladeren", "- Observatie: plassen na regen\n- Actie: x"), ("d", "probleem", "Zonder nummer", "- Observatie: y"), ("d", "prose", "1. x", "- Observatie: y"), ("d", "probleem", "3. Leeg", "- Observatie:  \n- Actie: z"), ("d", "probleem", None, "- Observatie: y")]
+    items = evaluation.observation_items(spark.createDataFrame(cards, "doc_id string, type string, title string, text string")).collect()
+    assert [tuple(i) for i in items] == [("obs12", "kennisbank", "plassen na regen", "d#12")]
