@@ -68,19 +68,25 @@ def classify_lines(lines: DataFrame, body: DataFrame, furniture: DataFrame | Non
 
 
 def line_blocks(lines: DataFrame, gap: float = 1.8) -> DataFrame:
-    """Consecutive lines of one kind, close to each other, as one block; a caption takes in small paragraph lines right below it."""
+    """Consecutive lines of one kind, close to each other, as one block with its left edge x, top y and bottom y1."""
     order = Window.partitionBy(*_PAGE).orderBy("line")
     last = lambda c: F.lag(c).over(order)
     close = F.col("y") - last("y") <= gap * F.col("size")
-    after_caption = (last("kind") == "caption") & (F.col("kind") == "paragraph") & (F.col("size") < 0.95 * F.max("size").over(Window.partitionBy(*_PAGE))) & ~T.ends_sentence(last("text"))
-    rows = lines.withColumn("kind", F.when(close & after_caption, "caption").otherwise(F.col("kind")))
     joins = close & (F.col("kind") == last("kind")) & F.col("kind").isin("paragraph", "table", "caption")
-    rows = rows.withColumn("__new", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("block", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = rows.groupBy(*_PAGE, "block").agg(F.first("kind").alias("kind"), F.max("level").alias("level"), F.min("y").alias("y"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
+    rows = lines.withColumn("__new", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("block", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = rows.groupBy(*_PAGE, "block").agg(F.first("kind").alias("kind"), F.max("level").alias("level"), F.min("x0").alias("x"), F.min("y").alias("y"), F.max(F.col("y") + F.col("size")).alias("y1"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
     glue = F.when(F.col("kind") == "table", F.array_join(F.transform("l", lambda x: x["text"]), "\n")).otherwise(T.normalize_text(F.array_join(F.transform("l", lambda x: x["text"]), "\n")))
     return found.withColumn("text", glue).drop("l")
 
 
+def page_blocks(lines: DataFrame, gap: float = 1.8) -> DataFrame:
+    """The blocks of classified lines, with the pieces of captions and the zones of tables put together: doc_id, page, block, kind, level, y and text."""
+    blocks = line_blocks(lines, gap)
+    folded = table_zones(fold_captions(blocks, order="block"), order="block")
+    own = blocks.select(*_PAGE, "block", "level", "y")
+    return folded.join(own, [*_PAGE, "block"]).select(*_PAGE, "block", "kind", F.when(F.col("kind") == "heading", F.col("level")).alias("level"), "y", "text")
+
+
 def interleave(text_blocks: DataFrame, visuals: DataFrame) -> DataFrame:
     """Blocks and figures of a page in the order of their height, numbered over the document."""
     columns = ["doc_id", "page", "y", "kind", "text", "level"]

@@ -11,13 +11,27 @@ def test_page_to_sections(spark):
     ]
     t = spark.createDataFrame(spans, "doc_id string, page int, x0 double, x1 double, y double, size double, bold boolean, text string")
     lines = layout.merge_drop_caps(layout.visual_lines(t))
-    blocks = layout.line_blocks(layout.classify_lines(lines, structure.body_size(t)))
+    blocks = layout.page_blocks(layout.classify_lines(lines, structure.body_size(t)))
     visuals = spark.createDataFrame([("d", 1, 130.0, None)], "doc_id string, page int, y double, text string")
     rows = layout.interleave(blocks, visuals).orderBy("pos").collect()
     assert [r["kind"] for r in rows] == ["heading", "paragraph", "figure", "caption", "list_item", "table", "furniture"]
     assert rows[1]["text"].startswith("Once there was a page that went on") and rows[1]["text"].endswith("and then it ended.") and rows[0]["level"] == 1
 
 
+def test_captions_and_tables_of_a_page(spark):
+    line = lambda y, text, x=50.0: ("d", 1, x, x + 200, float(y), 10.0, False, text)
+    spans = [
+        line(40, "Figure 2. Overgrowth of the"), line(52, "variety, as the arrow shows."), line(100, "Table 1. Yields"), line(120, "of trees in kilograms"), line(160, "Kordia 12 13 14 15"), line(190, "Regina 1 2 3 4"), line(220, "†Means of three years"),
+        line(260, "After the table the text goes on with a sentence that is long enough to be prose, as it should be."),
+    ]
+    t = spark.createDataFrame(spans, "doc_id string, page int, x0 double, x1 double, y double, size double, bold boolean, text string")
+    found = layout.page_blocks(layout.classify_lines(layout.visual_lines(t), structure.body_size(t))).orderBy("block").collect()
+    assert [(r["kind"], r["text"]) for r in found] == [
+        ("caption", "Figure 2. Overgrowth of the variety, as the arrow shows."), ("caption", "Table 1. Yields of trees in kilograms"), ("table", "Kordia 12 13 14 15\nRegina 1 2 3 4\n†Means of three years"),
+        ("paragraph", "After the table the text goes on with a sentence that is long enough to be prose, as it should be."),
+    ]
+
+
 def test_example_sets(spark):
     cards = [(1, "obs", "do this", "then", "why", "bad", "s"), (2, "obs", "geef 5 ml", "x", "y", "bad", "s"), (3, "obs", "do", "x", "y", "", "s"), (4, "obs", "do", "x", "y", "bad", "s")]
     t = spark.createDataFrame(cards, "card_no int, observation string, action string, consequence string, why string, worst_case string, sources string")
