@@ -193,10 +193,20 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _remaining_links(apart: DataFrame, sets: DataFrame, least: float, chunk: int) -> DataFrame:
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(1)), chunks).cast("int")
-    rows = apart.select("key", "node", "part", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "node", "part")
+    """Links between the parts of each bucket. Nodes of its largest part meet the others only, chunk by chunk; the others also meet each other."""
+    by_part = apart.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+    largest = by_part.groupBy("key").agg(F.max(F.struct("c", "part")).alias("m"), F.sum("c").alias("n"))
+    chunks = lambda c: F.greatest(F.lit(1), F.ceil(c / chunk)).cast("int")
+    largest = _small(checkpoint(largest.select("key", F.col("m.part").alias("most"), chunks(F.col("m.c")).alias("in_most"), chunks(F.col("n") - F.col("m.c")).alias("in_rest"))))
+    placed = apart.select("key", "node", "part").join(largest, "key").withColumn("inner", F.col("part") == F.col("most"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("inner"), F.col("in_most")).otherwise(F.col("in_rest"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    # a chunk of the largest part has a negative number
+    meets = lambda low, high, right: F.struct(low.alias("low"), high.alias("high"), right.alias("right"))
+    of_most = F.transform(upto("in_rest"), lambda i: meets(-1 - F.col("own"), i, F.lit(True)))
+    of_rest = F.transform(upto("in_rest"), lambda i: meets(F.least("own", i), F.greatest("own", i), F.col("own") > i))
+    with_most = F.transform(upto("in_most"), lambda i: meets(-1 - i, F.col("own"), F.lit(False)))
+    rows = placed.select("key", F.explode(F.when(F.col("inner"), of_most).otherwise(F.concat(of_rest, with_most))).alias("g"), "node", "part").select("key", "g.*", "node", "part")
     rows = rows.join(sets, "node").select("key", "low", "high", "right", "node", "part", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

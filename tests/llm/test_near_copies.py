@@ -72,3 +72,26 @@ def test_large_sets_are_not_broadcast(spark, monkeypatch):
     for most in (near.MOST_SET_BYTES, 0):
         monkeypatch.setattr(near, "MOST_SET_BYTES", most)
         assert {r["doc_id"]: r["component_id"] for r in near.near_copies(docs).collect()} == wanted
+
+
+def test_remaining_links_of_a_large_part(spark):
+    """A bucket of one large part and some others: what meets connects as much as all pairs do."""
+    from pyspark.sql import functions as F
+
+    texts = corpus(11)
+    label = components(texts)
+    nodes = {i: near.shingles(t) for i, t in texts.items()}
+    rng = random.Random(1)
+    part = {i: label[i] if rng.random() < 0.8 else i for i in texts}
+    big = max(set(label.values()), key=lambda x: sum(v == x for v in label.values()))
+    apart = spark.createDataFrame([(k, i, big if k and label[i] == big else p) for k in (0, 1) for i, p in part.items()], "key long, node long, part long")
+    apart = near.checkpoint(apart)
+    sets = near.checkpoint(spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in nodes.items()], "node long, set binary"))
+    for chunk in (near.CHUNK, 4):
+        found = {(r["u"], r["v"]) for r in near._remaining_links(apart, sets, near.LEAST, chunk).collect()}
+        assert all(near.jaccard(nodes[u], nodes[v]) >= 0.8 for u, v in found)
+        links = found | {(i, p) for i, p in part.items()}
+        joined = spark.createDataFrame([(int(a), int(b)) for a, b in links if a != b], "u long, v long").select("u", "v")
+        roots = {r["node"]: r["root"] for r in near.connected_components(joined).collect()}
+        assert {i: min(roots.get(i, i), i) for i in texts} == label
+        assert apart.where(F.col("part").isNull()).count() == 0
