@@ -111,14 +111,18 @@ HEADING_LINE = r"(?m)^[^\S\n]*\*\*[^*\n]+\*\*[^\S\n]*$"
 
 def _same_sentence(before: Column, piece: Column) -> Column:
     """Whether a piece that was cut off after ``before`` belongs to its sentence: after an abbreviation, an initial, a unit, an open bracket or a number of its own."""
-    word = F.regexp_extract(before, r"(?:^|\s)[(\[{\"'‘“]*([A-Za-z]+)\.$", 1)
-    small = F.regexp(piece, F.lit(r"^\p{Ll}"))
-    unit = F.regexp(word, F.lit("^[a-z]{1,3}$")) & F.regexp(piece, F.lit(r"^[\p{Ll}\p{Nd}]"))
-    is_open = F.regexp_count(before, F.lit(r"[(\[{]")) > F.regexp_count(before, F.lit(r"[)\]}]"))
-    return (
-        F.regexp(piece, F.lit("^[;,)]")) | F.lower(word).isin(ABBREVIATIONS) | F.regexp(word, F.lit("^[A-Z]$")) | unit
-        | (small & (is_open | F.regexp(before, F.lit(r"(?:\)\.|[?!])$")))) | F.regexp(piece, F.lit(REFERENCE_TAIL)) | F.regexp(before, F.lit(r"^\d+\.$"))
-    )
+
+    def rules(word: Column) -> Column:
+        known = F.lower(word).isin(ABBREVIATIONS) | F.regexp(word, F.lit("^[A-Z]$")) | F.regexp(before, F.lit(r"^\d+\.$"))
+        small = F.regexp(piece, F.lit(r"^\p{Ll}"))
+        unit = F.regexp(word, F.lit("^[a-z]{1,3}$")) & F.regexp(piece, F.lit(r"^[\p{Ll}\p{Nd}]"))
+        is_open = F.regexp_count(before, F.lit(r"[(\[{]")) > F.regexp_count(before, F.lit(r"[)\]}]"))
+        other = F.regexp(piece, F.lit("^[;,)]")) | unit | (small & (is_open | F.regexp(before, F.lit(r"(?:\)\.|[?!])$")))) | F.regexp(piece, F.lit(REFERENCE_TAIL))
+        # no other rule holds for a piece that begins with a capital
+        return known | (~F.regexp(piece, F.lit(r"^\p{Lu}")) & other)
+
+    # the word before is taken out once
+    return F.element_at(F.transform(F.array(F.regexp_extract(before, r"(?:^|\s)[(\[{\"'‘“]*([A-Za-z]+)\.$", 1)), rules), 1)
 
 
 def whole_sentences(text: Column) -> Column:

@@ -31,7 +31,7 @@ def vocabulary(words: DataFrame) -> DataFrame:
 
 
 def noise(words: DataFrame, key: str, terms: DataFrame, known_from: int, accents: dict[str, str] | None = None, compound_languages: tuple[str, ...] = ("nl",), lexicon_words: DataFrame | None = None) -> DataFrame:
-    """(key, oov_ratio, oov_words) of chunks with words: the share that is noise, to three places, and the distinct words that are.
+    """(key, n_words, n_unknown, oov_ratio, oov_words) of chunks with words: how many there are and are noise, their share to three places, and the distinct words that are.
 
     Words that begin small are noise if they have a letter that their language lacks, or are neither protected (three times in the
     corpus, or with a capital inside a sentence) nor known: ``known_from`` times in the corpus, in ``lexicon_words`` (word), or in some languages
@@ -49,16 +49,17 @@ def noise(words: DataFrame, key: str, terms: DataFrame, known_from: int, accents
     compound = F.coalesce(F.col("__made") & F.col("lang").isin(*(compound_languages or ("",))), F.lit(False))
     rows = words.join(marked, "word", "left").withColumn("__bad", (F.col("small") > 0) & (odd | (F.coalesce("__unknown", F.lit(False)) & ~compound)))
     found = rows.groupBy(key).agg(F.sum("n").alias("__n"), F.sum(F.when(F.col("__bad"), F.col("small")).otherwise(0)).alias("__k"), F.array_sort(F.collect_set(F.when(F.col("__bad"), F.col("word")))).alias("oov_words"))
-    return found.select(key, F.bround(F.col("__k") / F.col("__n"), 3).alias("oov_ratio"), "oov_words")
+    return found.select(key, F.col("__n").alias("n_words"), F.col("__k").alias("n_unknown"), F.bround(F.col("__k") / F.col("__n"), 3).alias("oov_ratio"), "oov_words")
 
 
 def residue_chunks(chunks: DataFrame, key: str, document: str, text: str = "text", unit: str = r"\n\n") -> DataFrame:
     """(key) of chunks that hold a run of six words of their document's page headers: one that four chunks or more have, and that half the time or more begins a unit of a text."""
     w = F.col("__w")
-    lower = lambda u: F.transform(T.tokens(u), lambda x: F.lower(x))
-    units = chunks.select(document, key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), unit)).alias("u")).select(document, key, lower(F.col("u")).alias("__w"))
+    # words as hashes, so that a run is a hash of six numbers
+    hashed = lambda u: F.transform(T.tokens(F.lower(u)), lambda x: F.xxhash64(x))
+    units = chunks.select(document, key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), unit)).alias("u")).select(document, key, hashed(F.col("u")).alias("__w"))
     starts = F.when(F.size(w) >= RUN_WORDS, F.sequence(F.lit(0), F.size(w) - RUN_WORDS))
-    runs = F.transform(starts, lambda i: F.struct(F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(RUN_WORDS)), " ")).alias("h"), (i == 0).alias("start")))
+    runs = F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(RUN_WORDS)]).alias("h"), (i == 0).alias("start")))
     by_chunk = units.select(document, key, F.explode(runs).alias("g")).select(document, key, "g.*").groupBy(document, "h", key).agg(F.count(F.lit(1)).alias("n"), F.count_if("start").alias("s"))
     common = by_chunk.groupBy(document, "h").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("n"), F.sum("s").alias("s"))
     common = common.where((F.col("chunks") >= RUN_CHUNKS) & (F.col("s") >= 0.5 * F.col("n"))).select(document, "h")
@@ -96,7 +97,7 @@ def run_gate(
     terms = settled(vocabulary(words))
     rows = repair_chunks(raw, words, terms, key, text, accents) if repair else raw
     judged_words = chunk_words(rows, key, text, language) if repair else words
-    found = quality.signals(rows, text, language).join(noise(judged_words, key, terms, known_from, accents, compound_languages, lexicon_words), key, "left")
+    found = quality.signals(rows, text, language).join(noise(judged_words, key, terms, known_from, accents, compound_languages, lexicon_words).drop("n_words", "n_unknown"), key, "left")
     prose = rows.where(~F.coalesce(F.col("type"), F.lit("")).isin(*quality.STANDALONE)) if "type" in rows.columns else rows
     residue = residue_chunks(prose, key, document, text).withColumn("page_residue", F.lit(True))
     found = found.join(residue, key, "left")

@@ -143,15 +143,18 @@ def page_residue(units: DataFrame, document: str, chunk: str, text: str, size: i
 def repair(rows: DataFrame, text: str = "text", most: float = 0.3, garbled: str | None = None) -> DataFrame:
     """Texts without their incomplete sentences and those that hold a token of the array column ``garbled``, if these are three tenths or fewer; the raw text and what was dropped are kept. Always made from text_raw, so that repairing twice changes nothing."""
     raw = F.col("text_raw") if "text_raw" in rows.columns else F.col(text)
-    sentences = T.whole_sentences(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\n+", " \n "))
+    # sentences and their flags are columns, so that they are made once a row
+    rows = rows.withColumn("__sentences", T.whole_sentences(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\n+", " \n ")))
+    sentences = F.col("__sentences")
     damaged = F.col(garbled) if garbled else F.array().cast("array<string>")
     hurt = lambda s: F.exists(damaged, lambda g: F.when(F.regexp(g, F.lit(r"^\p{L}+$")), F.array_contains(T.words(s), F.lower(g))).otherwise(F.contains(s, g)))
     flags = F.zip_with(sentence_flags(sentences), sentences, lambda f, s: f & ~F.coalesce(hurt(s), F.lit(False)))
-    pairs = F.zip_with(sentences, flags, lambda s, f: F.struct(s.alias("s"), F.coalesce(f, F.lit(False)).alias("f")))
+    rows = rows.withColumn("__pairs", F.zip_with(sentences, flags, lambda s, f: F.struct(s.alias("s"), F.coalesce(f, F.lit(False)).alias("f"))))
+    pairs = F.col("__pairs")
     good = F.transform(F.filter(pairs, lambda p: p["f"]), lambda p: p["s"])
     bad = F.transform(F.filter(pairs, lambda p: ~p["f"]), lambda p: p["s"])
     can = (F.size(bad) > 0) & (F.size(good) > 0) & (F.size(bad) <= most * F.size(sentences))
-    return rows.withColumn("text_raw", raw).withColumn("repairs", F.when(can, bad).otherwise(F.array().cast("array<string>"))).withColumn(text, F.when(can, F.array_join(good, " ")).otherwise(raw))
+    return rows.withColumn("text_raw", raw).withColumn("repairs", F.when(can, bad).otherwise(F.array().cast("array<string>"))).withColumn(text, F.when(can, F.array_join(good, " ")).otherwise(raw)).drop("__sentences", "__pairs")
 
 
 def keyword_categories(rows: DataFrame, keywords: dict[str, list[str]], text: str, key: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assistant, hyphens, lexicon, quality
+from ..functions import text as T
+from ..operators import assistant, gate, hyphens, lexicon, quality
 from .registry import query, read
 from .text_queries import ACCENTS
 
@@ -36,9 +37,12 @@ t AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}]{3,}'))::INT AS n_word
 SELECT doc_id, n_words, coalesce(n, 0) AS n_unknown, round_even(CASE WHEN n_words = 0 THEN 0 ELSE coalesce(n, 0) / n_words END, 3) AS oov_ratio FROM t LEFT JOIN bad USING (doc_id)""",
 )
 def lexical_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    unknown = lexicon.unknown_words(docs, "doc_id", lexicon.corpus_lexicon(docs), quality.protected_terms(docs), accents=ACCENTS)
-    return lexicon.lexical_noise(docs, "doc_id", unknown)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    words = gate.settled(gate.chunk_words(docs, "doc_id"))
+    found = gate.noise(words, "doc_id", gate.settled(gate.vocabulary(words)), known_from=5, accents=ACCENTS)
+    # texts without words have no noise
+    counts = {"n_words": F.coalesce("n_words", F.lit(0).cast("bigint")).cast("int"), "n_unknown": F.coalesce("n_unknown", F.lit(0).cast("bigint")), "oov_ratio": F.coalesce("oov_ratio", F.lit(0.0))}
+    return docs.select("doc_id").join(found.drop("oov_words"), "doc_id", "left").withColumns(counts)
 
 
 _PROTECTED = r"""w AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[\p{L}]{3,}')) AS w FROM documents),
@@ -71,9 +75,9 @@ SELECT DISTINCT word FROM a WHERE r IN (SELECT word FROM lex) OR r IN (SELECT wo
 )
 def compound_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words outside the lexicon that are compounds of its words."""
-    docs = read(spark, sf_dir, "documents")
-    known = lexicon.corpus_lexicon(docs)
-    return lexicon.compounds(lexicon.corpus_lexicon(docs, least=1).join(known, "word", "left_anti"), known)
+    words = read(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    terms = gate.settled(words)
+    return lexicon.compounds(terms.where("n < 5").select("word"), terms.where("n >= 5").select("word"))
 
 
 @query(
@@ -96,9 +100,9 @@ _MONTH_NAMES = ["januari", "februari", "maart", "april", "mei", "juni", "juli",
 
 @query(
     "log_search",
-    f"""WITH e AS (SELECT event_id AS entry_id, ts::DATE AS day, string_split(lower(event_type || ' entry' || event_id % 100), ' ') AS words FROM events),
+    f"""WITH e AS (SELECT event_id AS entry_id, ts::DATE AS day, string_split(lower(event_type || ' k' || lpad((event_id % 100)::VARCHAR, 2, '0') || 'aa'), ' ') AS words FROM events),
 m AS (SELECT [{", ".join(f"'{m}'" for m in _MONTH_NAMES)}] AS names),
-q AS (SELECT event_id AS query, [event_type] || CASE WHEN event_id % 3 = 0 THEN ['entry' || event_id % 100] ELSE ['entries'] END AS terms, CASE event_id // 50 % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'month' WHEN 2 THEN 'year' END AS kind, ts::DATE AS day,
+q AS (SELECT event_id AS query, [event_type] || CASE WHEN event_id % 3 = 0 THEN ['k' || lpad((event_id % 100)::VARCHAR, 2, '0') || 'aa'] ELSE ['entries'] END AS terms, CASE event_id // 50 % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'month' WHEN 2 THEN 'year' END AS kind, ts::DATE AS day,
   CASE event_id // 50 % 4 WHEN 0 THEN names[month(ts)] WHEN 1 THEN names[month(ts)] END AS month_term, CASE WHEN event_id // 50 % 4 = 1 THEN 2019 ELSE year(ts) END AS y FROM events, m WHERE event_id % 50 = 0),
 t AS (SELECT query, kind, day, y, list_filter(list_distinct(terms || CASE WHEN kind IN ('date', 'month') THEN ['wanneer', 'waren', month_term] ELSE ['wanneer', 'waren'] END), lambda x: length(x) >= 4) AS terms FROM q),
 c AS (SELECT query, entry_id, kind, CASE kind WHEN 'date' THEN e.day = t.day WHEN 'month' THEN year(e.day) = y AND month(e.day) = month(t.day) WHEN 'year' THEN year(e.day) = y END AS fits, len(list_filter(terms, lambda x: len(list_filter(words, lambda w: contains(w, x) OR length(x) >= 5 AND starts_with(w, left(x, 5)))) > 0)) / len(terms) AS score FROM t, e),
@@ -109,7 +113,7 @@ SELECT query, entry_id, round(score, 6) AS score, rank, any_fits AS time_filtere
 def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth event as a question about its kind, on its date, in its month of a year that the log lacks, in its year, or at any time."""
     rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("entry_id"), F.to_date("ts").alias("day"), "event_type")
-    number = F.concat(F.lit("entry"), (F.col("entry_id") % 100).cast("string"))
+    number = F.concat(F.lit("k"), F.lpad((F.col("entry_id") % 100).cast("string"), 2, "0"), F.lit("aa"))
     entries = rows.select("entry_id", "day", F.concat_ws(" ", "event_type", number).alias("text"))
     month = F.element_at(F.array(*[F.lit(m) for m in _MONTH_NAMES]), F.month("day"))
     year = F.year("day").cast("string")
