@@ -379,6 +379,7 @@ def web_fragment(kind: Column, text: Column) -> Column:
 
 def clean_quotes(text: Column) -> Column:
     """Quotes around a name that recognition misread (*Corum' and the like), and catalogue numbers of photographs taken out."""
+    # fixed: the marks that stand for quotes, and the form of a catalogue number
     t = F.regexp_replace(text, r"(?<![\w'])[\^*\u25a0](?=[A-Z][A-Za-z\-]{2,}['\\\u2019\"])", "'")
     t = F.regexp_replace(t, r"(?<=[A-Za-z])\\(?=[\s,.;)]|$)", "'")
     return F.regexp_replace(t, r"\b[A-Z]{1,3}-\d{3,5}\b\s*", "")

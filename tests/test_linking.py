@@ -114,7 +114,7 @@ def furniture_by_loop(lines, least, share):
 
 def test_repeated_lines(spark):
     rng = random.Random(5)
-    bases = ["Agriculture Handbook No. 442", "the growing of cherries", "Praktijkgids kersen 2020", "growing", "abcdef", "chapter one: of soils", "Handbook of agriculture"]
+    bases = ["Yearbook of fruit No. 17", "the keeping of pears", "Guide to pruning 2020", "growing", "abcdef", "chapter one: of soils", "Yearbook of fruits"]
 
     def spoiled(t):
         t = list(t)

@@ -99,7 +99,7 @@ def test_caption_pieces(spark):
 
 def test_run_in_headings(spark):
     rng = random.Random(3)
-    words = ["Problem ", "Zwarte ", "kersenluis ", " ", "​", "een ", "Één ", "2 ", ". ", "", None]
+    words = ["Label ", "Black ", "beetle ", " ", "​", "een ", "Één ", "2 ", ". ", "", None]
     rows = [("d", 1, line, float(x), rng.random() < 0.6, rng.choice(words)) for line in range(600) for x in range(rng.randrange(1, 14))]
     found = {}
     for r in layout.run_in_headings(spark.createDataFrame(rows, "doc_id string, page int, line int, x0 double, bold boolean, text string")).collect():
