@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import datasets, evaluation, logbook, quality
+from ..operators import datasets, evaluation, logbook
 from .registry import query, read
 
 _LOG = """WITH e AS (SELECT o_orderkey AS entry_id, o_custkey AS page_id, o_orderdate::DATE AS day, o_orderstatus <> 'P' AS certain, o_orderpriority LIKE '1%' AS verified, o_orderpriority AS remarks FROM orders),

@@ -24,13 +24,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return enter
 
 
-#: Tables whose rows take long each; inputs of so many parts are never dealt anew, whatever a shuffle has.
+#: Tables whose rows take long each; inputs of so many parts are not dealt anew, however many a shuffle has.
 TEXTS = ("documents", "pages", "conversations")
 MOST_DEALT = 16
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table. One of texts in fewer parts than a shuffle has is dealt over as many, as a small file is one part, and the work on its rows would be one task; a large one stays as its files lie."""
+    """A table. One of texts in fewer parts than a shuffle has (or MOST_DEALT) is dealt over as many, as a small file is one part, and the work on its rows would be one task; a larger one stays as its files lie."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts) if name in TEXTS and rows.rdd.getNumPartitions() < min(parts, MOST_DEALT) else rows
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_DEALT)
+    return rows.repartition(parts) if name in TEXTS and rows.rdd.getNumPartitions() < parts else rows
