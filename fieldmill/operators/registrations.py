@@ -28,64 +28,75 @@ RECORD = (
 #: Fixed: summaries that stand for fruit growing.
 FRUIT_GROUP = "vruchtbom|steenvrucht|fruitgewas"
 
-_WALK = """
-WITH RECURSIVE walk AS (
-    SELECT t.k, t.tree, array(v.pos) AS path, v.value AS node, false AS whole
-    FROM {trees} t, LATERAL variant_explode(t.nodes) AS v
-    UNION ALL
-    SELECT w.k, w.tree, concat(w.path, array(v.pos)), v.value, w.whole OR coalesce(try_variant_get(w.node, '$.complete', 'boolean'), false)
-    FROM walk w, LATERAL variant_explode(variant_get(w.node, '$.items', 'variant')) AS v
-)
-SELECT k, tree, path, node, whole FROM walk
-"""
+#: Fixed: deeper trees are an error.
+MOST_LEVELS = 100
+_NODES = "ARRAY<STRUCT<path: ARRAY<INT>, node: VARIANT, whole: BOOLEAN>>"
 
 
-def tree_nodes(trees: DataFrame) -> DataFrame:
-    """All nodes of ``trees`` (k, tree, nodes: a variant array of nodes with ``items`` below): k, tree, path (places from the root), node and whether a node above is complete.
+def _below(v: Column, path: str) -> Column:
+    """The elements of an array in ``v``, or the values of an object."""
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.map_values(F.try_variant_get(v, path, "map<string,variant>")))
 
-    A node without an array of ``items`` has nothing below. The number of rows of the recursion isn't limited: the session's limit is lifted, as it
-    is meant for recursions that don't end, and these end with the records. Trees deeper than ``spark.sql.cteRecursionLevelLimit`` are an error.
-    """
-    spark = trees.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(_WALK, trees=trees)
 
+def tree_nodes(tree: Column) -> Column:
+    """All nodes of a variant array of nodes with ``items`` below, a level after the other: path (places from the root), node and whether a node above is complete. A node without ``items`` has nothing below."""
+    none = F.array().cast(_NODES)
+    nodes = lambda below, path, whole: F.coalesce(F.transform(below, lambda v, i: F.struct(path(i).alias("path"), v.alias("node"), whole.alias("whole"))), none)
+
+    def children(n: Column) -> Column:
+        return nodes(_below(n["node"], "$.items"), lambda i: F.concat(n["path"], F.array(i)), n["whole"] | F.coalesce(_field(n["node"], "complete", "boolean"), F.lit(False)))
+
+    def step(acc: Column, _: Column) -> Column:
+        more = F.struct(F.concat(acc["done"], acc["level"]).alias("done"), F.flatten(F.transform(acc["level"], children)).alias("level"))
+        return F.when(F.size(acc["level"]) == 0, acc).otherwise(more)
+
+    start = F.struct(none.alias("done"), nodes(_below(tree, "$"), lambda i: F.array(i), F.lit(False)).alias("level"))
+    deep = F.raise_error(F.lit(f"a tree has more than {MOST_LEVELS} levels")).cast(_NODES)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_LEVELS)), start, step, lambda acc: F.when(F.size(acc["level"]) > 0, deep).otherwise(acc["done"]))
 
-def _field(name: str, kind: str = "string") -> Column:
-    return F.try_variant_get("node", f"$.{name}", kind)
+
+def _field(node: Column, name: str, kind: str = "string") -> Column:
+    return F.try_variant_get(node, f"$.{name}", kind)
 
 
 def _filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def crop_names(nodes: DataFrame) -> DataFrame:
-    """(k, crops): by name the selected leaves, groups marked complete, and everything below these."""
-    name = F.coalesce(_filled(_field("crop")), _filled(_field("group")))
-    group = F.variant_get("node", "$.items", "variant").isNotNull()
-    own = F.coalesce(_field("complete", "boolean"), F.lit(False))
-    chosen = F.when(group, own).otherwise(F.col("whole") | F.coalesce(_field("selected", "boolean"), F.lit(False)))
-    return nodes.where(chosen & name.isNotNull()).groupBy("k").agg(F.array_sort(F.collect_set(name)).alias("crops"))
+def crop_names(nodes: Column) -> Column:
+    """By name the selected leaves, groups marked complete, and everything below these."""
+
+    def named(n: Column) -> Column:
+        v = n["node"]
+        own = F.coalesce(_field(v, "complete", "boolean"), F.lit(False))
+        chosen = F.when(F.variant_get(v, "$.items", "variant").isNotNull(), own).otherwise(n["whole"] | F.coalesce(_field(v, "selected", "boolean"), F.lit(False)))
+        return F.when(chosen, F.coalesce(_filled(_field(v, "crop")), _filled(_field(v, "group"))))
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(nodes, named))))
+
+
+def organism_labels(nodes: Column) -> Column:
+    """Labels of selected organisms and groups in the order of the tree, each once."""
 
+    def labelled(n: Column) -> Column:
+        v = n["node"]
+        scientific = F.coalesce(_filled(_field(v, "organism")), _field(v, "organismScientific"))
+        diseases = F.array_join(F.try_variant_get(v, "$.diseases", "array<string>"), ", ")
+        organism = F.when(F.coalesce(diseases, F.lit("")) != "", F.concat(diseases, F.lit(" ("), scientific, F.lit(")"))).otherwise(scientific)
+        is_organism = F.variant_get(v, "$.organismScientific", "variant").isNotNull()
+        label = F.when(is_organism, organism).otherwise(F.coalesce(_filled(_field(v, "group")), _filled(_field(v, "groupScientific"))))
+        return F.struct(n["path"].alias("path"), F.when(F.coalesce(_field(v, "selected", "boolean"), F.lit(False)), label).alias("label"))
 
-def organism_labels(nodes: DataFrame) -> DataFrame:
-    """(k, organisms): labels of selected organisms and groups in the order of the tree, each once."""
-    scientific = F.coalesce(_filled(_field("organism")), _field("organismScientific"))
-    diseases = F.array_join(F.try_variant_get("node", "$.diseases", "array<string>"), ", ")
-    organism = F.when(F.coalesce(diseases, F.lit("")) != "", F.concat(diseases, F.lit(" ("), scientific, F.lit(")"))).otherwise(scientific)
-    is_organism = F.variant_get("node", "$.organismScientific", "variant").isNotNull()
-    label = F.when(is_organism, organism).otherwise(F.coalesce(_filled(_field("group")), _filled(_field("groupScientific"))))
-    found = nodes.where(F.coalesce(_field("selected", "boolean"), F.lit(False)) & label.isNotNull())
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", label.alias("label")))), lambda x: x["label"])
-    return found.groupBy("k").agg(F.array_distinct(ordered).alias("organisms"))
+    found = F.filter(F.transform(nodes, labelled), lambda x: x["label"].isNotNull())
+    return F.array_distinct(F.transform(F.array_sort(found), lambda x: x["label"]))
 
 
 def _records(records: DataFrame, payload: str) -> DataFrame:
-    """``d`` for each record that can be read, and ``record``, a digest of its payload."""
+    """``d`` for each record that can be read."""
     read = lambda schema: F.from_json(F.col(payload), schema)
     text = F.trim(F.coalesce(F.col(payload), F.lit("")))
     good = records.where(F.startswith(text, F.lit("{")) & F.try_parse_json(F.col(payload)).isNotNull())
-    return good.select(F.coalesce(read(f"STRUCT<data: {RECORD}>")["data"], read(RECORD)).alias("d"), F.md5(payload).alias("record"))
+    return good.select(F.coalesce(read(f"STRUCT<data: {RECORD}>")["data"], read(RECORD)).alias("d"))
 
 
 def _restriction(r: Column) -> Column:
@@ -123,19 +134,14 @@ def products(records: DataFrame, payload: str = "payload") -> DataFrame:
 def product_uses(records: DataFrame, payload: str = "payload") -> DataFrame:
     """A row for each use of each record (JSON), and one with a null use for a record without any; what can't be read is left out."""
     d = F.col("d")
-    rows = _records(records, payload).select("record", F.coalesce(d["id"], F.lit("")).alias("product_id"), F.coalesce(_filled(d["name"]), F.lit("?")).alias("product"), _expiration(d).alias("expires"), F.posexplode_outer(d["uses"]).alias("use_no", "u"))
+    rows = _records(records, payload).select(F.coalesce(d["id"], F.lit("")).alias("product_id"), F.coalesce(_filled(d["name"]), F.lit("?")).alias("product"), _expiration(d).alias("expires"), F.posexplode_outer(d["uses"]).alias("use_no", "u"))
     u = F.col("u")
-    trees = rows.where(u.isNotNull()).select(F.struct("record", "use_no").alias("k"), F.explode(F.array(F.struct(F.lit("crops").alias("tree"), u["targetCrops"].alias("nodes")), F.struct(F.lit("organisms").alias("tree"), u["targetOrganisms"].alias("nodes")))).alias("t"))
-    # records may repeat, and of equal ones one tree is walked
-    nodes = tree_nodes(trees.select("k", "t.tree", "t.nodes").dropDuplicates(["k", "tree"]))
-    crops, organisms = crop_names(nodes.where("tree = 'crops'")), organism_labels(nodes.where("tree = 'organisms'"))
     none = F.array().cast("array<string>")
     described = lambda xs: F.coalesce(F.transform(xs, lambda x: F.coalesce(x["description"], F.lit(""))), none)
-    found = rows.withColumn("k", F.struct("record", "use_no")).join(crops, "k", "left").join(organisms, "k", "left")
     name = F.trim(F.regexp_replace(F.trim(F.coalesce(u["nameOfUse"]["name"], F.lit(""))), "^#+", ""))
-    return found.select(
+    return rows.select(
         "product_id", "product", "expires", "use_no", F.when(u.isNotNull(), name).alias("use_name"), F.when(u.isNotNull(), F.coalesce(u["nameOfUse"]["usesSummary"], F.lit(""))).alias("summary"),
-        F.coalesce("crops", none).alias("crops"), F.coalesce("organisms", none).alias("organisms"), described(u["targetLocations"]).alias("locations"), described(u["applicationMethods"]).alias("methods"),
+        crop_names(tree_nodes(u["targetCrops"])).alias("crops"), organism_labels(tree_nodes(u["targetOrganisms"])).alias("organisms"), described(u["targetLocations"]).alias("locations"), described(u["applicationMethods"]).alias("methods"),
         u["maximumProductDose"]["ratio"].alias("dose"), u["maximumProductDose"]["measure"]["unit"].alias("dose_unit"), u["maximumProductDosePerCropSeason"]["ratio"].alias("season_dose"), u["maximumProductDosePerCropSeason"]["measure"]["unit"].alias("season_dose_unit"),
         u["amountOfApplications"]["perCropSeason"].alias("per_season"), u["amountOfApplications"]["perUse"].alias("per_use"), u["minimumIntervalBetweenApplications"].alias("least_gap"), u["phiDays"].alias("wait_days"),
         u["applicationTiming"]["fromMonth"].alias("month_from"), u["applicationTiming"]["toMonth"].alias("month_to"), u["growthStage"]["from"].alias("stage_from"), u["growthStage"]["to"].alias("stage_to"),

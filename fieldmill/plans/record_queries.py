@@ -12,18 +12,19 @@ from .registry import query, read
 
 def _order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records: a use whose crops are the order's parts below their flag and status, and whose organisms are its parts below their flag."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_partkey", "l_quantity")
+    # dealt by order once, for all groupings
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_partkey", "l_quantity").repartition("l_orderkey")
     key, flag = F.col("l_orderkey"), F.col("l_returnflag")
     leaf = F.struct(F.concat(F.lit("part "), "l_partkey").alias("crop"), (F.col("l_quantity") >= 30).alias("selected"))
-    status = lines.groupBy(key, flag, "l_linestatus").agg(F.array_sort(F.collect_list(leaf)).alias("items"))
-    status = status.select(key, flag, F.struct(F.concat(flag, F.lit("/"), "l_linestatus").alias("group"), (key % 4 == 0).alias("complete"), "items").alias("node"))
-    crops = status.groupBy(key, flag).agg(F.array_sort(F.collect_list("node")).alias("items"))
-    crops = crops.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(flag.alias("group"), ((key + F.ascii(flag)) % 5 == 0).alias("complete"), "items"))).alias("targetCrops"))
     organism = F.struct(F.concat(F.lit("org "), "l_partkey").alias("organismScientific"), (F.col("l_quantity") < 20).alias("selected"), F.when(F.col("l_partkey") % 2 == 0, F.array("l_linestatus")).alias("diseases"))
-    organisms = lines.groupBy(key, flag).agg(F.array_sort(F.collect_list(organism)).alias("items"))
-    organisms = organisms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("group "), flag).alias("group"), (key % 2 == 0).alias("selected"), "items"))).alias("targetOrganisms"))
+    status = lines.groupBy(key, flag, "l_linestatus").agg(F.array_sort(F.collect_list(leaf)).alias("items"), F.collect_list(organism).alias("organisms"))
+    status = status.select(key, flag, F.struct(F.concat(flag, F.lit("/"), "l_linestatus").alias("group"), (key % 4 == 0).alias("complete"), "items").alias("node"), "organisms")
+    flags = status.groupBy(key, flag).agg(F.array_sort(F.collect_list("node")).alias("crops"), F.array_sort(F.flatten(F.collect_list("organisms"))).alias("organisms"))
+    crops = F.struct(flag.alias("group"), ((key + F.ascii(flag)) % 5 == 0).alias("complete"), F.col("crops").alias("items"))
+    organisms = F.struct(F.concat(F.lit("group "), flag).alias("group"), (key % 2 == 0).alias("selected"), F.col("organisms").alias("items"))
+    orders = flags.groupBy(key).agg(F.array_sort(F.collect_list(crops)).alias("targetCrops"), F.array_sort(F.collect_list(organisms)).alias("targetOrganisms"))
     uses = F.array(F.struct(F.struct(F.lit("# use").alias("name")).alias("nameOfUse"), "targetCrops", "targetOrganisms"))
-    return crops.join(organisms, "l_orderkey").select(F.to_json(F.struct(F.struct(key.alias("id"), F.lit("P").alias("name"), uses.alias("uses")).alias("data"))).alias("payload"))
+    return orders.select(F.to_json(F.struct(F.struct(key.alias("id"), F.lit("P").alias("name"), uses.alias("uses")).alias("data"))).alias("payload"))
 
 
 @query(

@@ -92,3 +92,9 @@ def test_deep_trees_in_few_rows(spark):
         node = {"group": f"g{k}", "complete": k == 20, "items": [node]}
     found = reg.product_uses(spark.createDataFrame([(json.dumps({"id": 1, "uses": [{"targetCrops": [node]}]}),)], "payload string")).first()
     assert found["crops"] == ["g20", "leaf"]
+
+
+def test_trees_are_walked_in_their_row(spark):
+    uses = reg.product_uses(spark.createDataFrame([('{"id": 1, "uses": [{"targetCrops": [{"crop": "a", "selected": true}]}]}',)], "payload string"))
+    assert "Exchange" not in uses._jdf.queryExecution().executedPlan().toString()
+    assert [r["crops"] for r in uses.collect()] == [["a"]]
