@@ -76,11 +76,11 @@ def repeat_summary(runs: DataFrame, item: str, run: str, measures: list[str]) ->
 
 
 def robust_outliers(sentences: DataFrame, language: str, item: str, loss: str, text: str, limit: float = 4.0) -> DataFrame:
-    """By item: sentences, outliers by median and median absolute deviation of the language, their share, the largest z and the worst sentence."""
+    """By item: sentences, outliers by median and median absolute deviation of the language, their share, the largest z and the worst sentence. A row for each language is broadcast."""
     center = sentences.groupBy(language).agg(F.median(loss).alias("__m"))
-    rows = sentences.join(center, language).withColumn("__d", F.abs(F.col(loss) - F.col("__m")))
+    rows = sentences.join(F.broadcast(center), language).withColumn("__d", F.abs(F.col(loss) - F.col("__m")))
     spread = rows.groupBy(language).agg(F.greatest(F.median("__d") * 1.4826, F.lit(1e-6)).alias("__s"))
-    rows = rows.join(spread, language).withColumn("z", (F.col(loss) - F.col("__m")) / F.col("__s"))
+    rows = rows.join(F.broadcast(spread), language).withColumn("z", (F.col(loss) - F.col("__m")) / F.col("__s"))
     out = F.col("z") > limit
     return rows.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.count_if(out).alias("outliers"), (F.count_if(out) / F.count(F.lit(1))).alias("outlier_share"), F.max("z").alias("max_z"), F.max_by(text, F.struct("z", text)).alias("worst"))
 

@@ -38,7 +38,7 @@ SELECT doc_id, n_words, coalesce(n, 0) AS n_unknown, round_even(CASE WHEN n_word
 )
 def lexical_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    words = gate.settled(gate.chunk_words(docs, "doc_id"))
+    words = gate.chunk_words(docs, "doc_id")
     found = gate.noise(words, "doc_id", gate.settled(gate.vocabulary(words)), known_from=5, accents=ACCENTS)
     # texts without words have no noise
     counts = {"n_words": F.coalesce("n_words", F.lit(0).cast("bigint")).cast("int"), "n_unknown": F.coalesce("n_unknown", F.lit(0).cast("bigint")), "oov_ratio": F.coalesce("oov_ratio", F.lit(0.0))}

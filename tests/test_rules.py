@@ -116,3 +116,13 @@ def test_answers_and_cards_as_questions(spark):
     cards = [("d", "probleem", "12. Gele bladeren", "- Observatie: plassen na regen\n- Actie: x"), ("d", "probleem", "Zonder nummer", "- Observatie: y"), ("d", "prose", "1. x", "- Observatie: y"), ("d", "probleem", "3. Leeg", "- Observatie:  \n- Actie: z"), ("d", "probleem", None, "- Observatie: y")]
     items = evaluation.observation_items(spark.createDataFrame(cards, "doc_id string, type string, title string, text string")).collect()
     assert [tuple(i) for i in items] == [("obs12", "kennisbank", "plassen na regen", "d#12")]
+
+
+def test_words_and_chunks_are_made_in_their_row(spark, sf_dir):
+    from fieldmill.plans import gate_queries
+
+    words = gate.chunk_words(gate_queries._chunks(spark, sf_dir).where("doc_id >= 0"), "chunk_id")
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "RoundRobin" not in x and "REPARTITION" not in x]
+    by_word = {(r["word"], r["n"]) for r in gate.vocabulary(gate.chunk_words(spark.createDataFrame([("a", "Kers is Kers. De kers", "nl")], "k string, text string, lang string"), "k")).collect()}
+    assert by_word == {("kers", 3)}
