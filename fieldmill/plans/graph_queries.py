@@ -14,16 +14,19 @@ _COS = "list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(l
 _SCORES = f"scores AS (SELECT q.vec_id AS query, q.label AS query_label, e.vec_id AS vec_id, e.label AS label, {_COS} AS score FROM embeddings e CROSS JOIN embeddings q WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)"
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth vector as a query against all others."""
-    rows = read(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("query_label"), F.col("embedding").alias("query_vector"))
-    return retrieval.pair_scores(queries, rows, "query_vector", "embedding").where("query <> vec_id").select("query", "query_label", "vec_id", "label", "score")
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every fiftieth vector as a query, and all vectors."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("query_label"), F.col("embedding").alias("query_vector")), rows
+
+
+def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return retrieval.nearest(*_sides(spark, sf_dir), "query", "vec_id", "query_vector", "embedding", k, ("query_label", "label"))
 
 
 @query("dense_topk", f"WITH {_SCORES} SELECT query, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) AS rank FROM scores) WHERE rank <= 10")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(_scores(spark, sf_dir), "query", "vec_id", 10).select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return _nearest(spark, sf_dir, 10).select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -34,7 +37,7 @@ SELECT query, vec_id, label, rank FROM (SELECT query, vec_id, label, row_number(
 )
 def capped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hit of a label at most; every tenth vector is a card, which is exempt."""
-    pool = retrieval.top_k(_scores(spark, sf_dir), "query", "vec_id", 60)
+    pool = _nearest(spark, sf_dir, 60)
     return retrieval.cap_per_group(pool, "query", "label", "rank", 1, exempt=F.col("vec_id") % 10 == 0).where("rank <= 6").select("query", "vec_id", "label", "rank")
 
 
@@ -59,10 +62,12 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_label = rows.select(F.col("vec_id").alias("chunk"), F.col("label").cast("string").alias("concept"), (F.col("vec_id") % 4 == 0).alias("in_title"))
     tags = by_label.union(rows.select("vec_id", F.concat(F.lit("m"), F.col("vec_id") % 7), F.lit(False)))
     near = retrieval.neighbours(retrieval.cooccurrence(tags, "chunk", "concept"))
-    scores = _scores(spark, sf_dir).select("query", F.col("vec_id").alias("chunk"), "score")
     asked = tags.where("chunk % 50 = 0").select(F.col("chunk").alias("query"), "concept")
-    found = retrieval.hybrid_scores(scores, asked, tags, retrieval.concept_frequencies(tags, rows.count()), near)
-    return retrieval.top_k(found, "query", "chunk", 6).select("query", F.col("chunk").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+    weights = retrieval.concept_weights(asked, retrieval.concept_frequencies(tags, rows.count()), near)
+    tagged = tags.groupBy("chunk").agg(F.collect_list(F.struct("concept", F.when(F.col("in_title"), retrieval.TITLE_FACTOR).otherwise(1.0).alias("factor"))).alias("tags"))
+    queries, vectors = _sides(spark, sf_dir)
+    found = retrieval.nearest(queries.join(weights, "query", "left"), vectors.join(tagged.withColumnRenamed("chunk", "vec_id"), "vec_id", "left"), "query", "vec_id", "query_vector", "embedding", 6)
+    return found.select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -74,7 +79,7 @@ SELECT query_label, grouping(query_label)::INT AS level, count(*) AS n, """
 )
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hit is relevant if it has the query's label."""
-    top = retrieval.top_k(_scores(spark, sf_dir), "query", "vec_id", 10)
+    top = _nearest(spark, sf_dir, 10)
     ranks = top.groupBy("query", "query_label").agg(F.min(F.when(F.col("label") == F.col("query_label"), F.col("rank"))).alias("first_rank"))
     found = evaluation.retrieval_summary(ranks, "first_rank", "query_label")
     return found.withColumns({c: F.round(c, 6) for c in found.columns if c.startswith("hit_") or c in ("mrr", "miss_rate")})
