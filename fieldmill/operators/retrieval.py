@@ -52,6 +52,8 @@ def _unit_parts(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     total = np.zeros(len(vectors))
     for d in range(size):
         total += m[:, d] * m[:, d]
+    if not (np.isfinite(total[there]) & (total[there] > 0)).all():
+        raise ValueError("a vector of zeros, or of values that aren't numbers, has no cosine")
     return m, there, np.sqrt(total)
 
 
@@ -117,7 +119,7 @@ def nearest(queries: DataFrame, rows: DataFrame, query: str, key: str, query_vec
     """The k rows of the highest score of each query, itself left out: query, key, the columns ``carried`` from either side, dense_score, score and rank; ties by key, as :func:`top_k` over all pairs.
 
     Where ``queries`` have ``weights`` (array of concept, own, near) and ``rows`` have ``tags`` (array of concept and factor), these are added to the
-    score. Vectors of zeros and values that aren't numbers are not expected.
+    score. Vectors of zeros and values that aren't numbers are an error.
     """
     boosted = "weights" in queries.columns
     n_rows, n_queries = max(1, -(-rows.count() // ROWS_OF_BLOCK)), max(1, -(-queries.count() // QUERIES_OF_BLOCK))

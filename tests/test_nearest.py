@@ -19,3 +19,11 @@ def test_blocks_equal_all_pairs(spark, monkeypatch):
     wanted = {(r["query"], r["rank"], r["id"], r["label"], r["score"]) for r in retrieval.top_k(pairs, "query", "id", 12).collect()}
     found = retrieval.nearest(queries, rows, "query", "id", "qv", "v", 12, ("label",)).collect()
     assert {(r["query"], r["rank"], r["id"], r["label"], r["score"]) for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_a_vector_of_zeros_is_an_error():
+    import pandas as pd
+    import pytest
+
+    with pytest.raises(ValueError):
+        retrieval._unit_parts(pd.Series([[1.0, 0.0], [0.0, 0.0]]))
