@@ -219,3 +219,17 @@ def test_files(spark, tmp_path):
     assert files.nested_entries(entries, applications).first()["applications"][0]["product"] == "M"
     rain = spark.createDataFrame([("109|10:05",), ("000|10:10",), ("bad",)], "value string")
     assert [(r["time"], r["mm_per_hour"]) for r in files.rain_nowcast(rain).collect()] == [("10:05", 1.0), ("10:10", 0.0)]
+
+
+def test_documents_are_folded_in_batches(spark):
+    """A call for each of many small documents would cost more than its work."""
+    rows = spark.createDataFrame([(str(d), p, "paragraph", t, None, None, None) for d in range(130) for p, t in enumerate(["It goes", "on here.", None, "Else."])], structure.BLOCK_SCHEMA)
+    merged = structure.merge_continuations(rows.repartition(5))
+    texts = {}
+    for r in merged.orderBy("doc_id", "pos").collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"])
+    assert len(texts) == 130 and set(map(tuple, texts.values())) == {("It goes on here.", None, "Else.")}
+    chunks = structure.define_chunks(structure.sections(merged))
+    assert {(r["doc_id"], r["text"], tuple(r["pages"])) for r in chunks.collect()} == {(str(d), "It goes on here.\n\n\n\nElse.", ()) for d in range(130)}
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
