@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fieldmill.functions import text as T
@@ -233,3 +234,10 @@ def test_documents_are_folded_in_batches(spark):
     assert {(r["doc_id"], r["text"], tuple(r["pages"])) for r in chunks.collect()} == {(str(d), "It goes on here.\n\n\n\nElse.", ()) for d in range(130)}
     plan = chunks._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_few_pages_are_held_at_once():
+    pages = pa.RecordBatch.from_pydict({"doc_id": [str(k) for k in range(600)], "html": ["<p>one</p><p>two</p>", None] * 300})
+    found = list(markup._in_batches(iter([pages])))
+    assert [b.num_rows for b in found] == [256, 256, 88]
+    assert [(r["doc_id"], r["pos"], r["text"]) for b in found for r in b.to_pylist()] == [(str(k), n, t) for k in range(0, 600, 2) for n, t in enumerate(["one", "two"])]
