@@ -56,13 +56,16 @@ def _near_links(vectors: DataFrame, threshold: float, across: bool) -> DataFrame
     linked. A key's vectors are dealt into tiles by a hash, and each pair of tiles is a cell; cells are packed by a hash into groups of some
     thousand vectors, so that memory is bounded. Work grows with the square of the vectors that share a key.
     """
-    keyed = _projection_keys(vectors, threshold)
+    keyed = _projection_keys(vectors.select("id", "root", "vector"), threshold).drop("vector")
     tiles = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("n > 1 AND r <> s").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     packs = max(1, vectors.count() * BANDS // PACKED)
-    dealt = keyed.join(tiles.select("band", "key", "tiles"), ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    # the bands in which a vector meets others are found without it, so that it is only moved for these
+    met = keyed.join(tiles.select("band", "key", "tiles"), ["band", "key"]).groupBy("id").agg(F.collect_list(F.struct("band", "key", "tiles")).alias("met"))
+    dealt = vectors.join(met, "id").withColumn("vector", F.transform("vector", lambda x: x.cast("float"))).withColumn("met", F.explode("met")).select("*", "met.*")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     pair = lambda k: F.struct(F.least("tile", k).alias("i"), F.greatest("tile", k).alias("j"))
     dealt = dealt.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), pair))).withColumn("cell", F.xxhash64("band", "key", "p"))
-    dealt = dealt.select(F.pmod("cell", F.lit(packs)).alias("pack"), "cell", (F.col("p.i") != F.col("p.j")).alias("mixed"), "tile", "id", "root", F.transform("vector", lambda x: x.cast("float")).alias("vector"), "begins", "ends")
+    dealt = dealt.select(F.pmod("cell", F.lit(packs)).alias("pack"), "cell", (F.col("p.i") != F.col("p.j")).alias("mixed"), "tile", "id", "root", "vector", "begins", "ends")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("cell", kind="stable")
