@@ -13,7 +13,7 @@ from ..functions import text as T
 
 
 def corpus_lexicon(docs: DataFrame, text: str = "text", least: int = 5) -> DataFrame:
-    return docs.select(F.explode(T.words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word")
+    return docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_WORDS), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word")
 
 
 #: Fixed: accented letters of each language.

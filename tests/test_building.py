@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fieldmill.operators import datasets, hyphens, procedures, retrieval
 
@@ -37,6 +38,21 @@ def test_broken_words(spark):
         assert (found[i]["text"], found[i]["kept_hyphens"]) == (wanted, kept), text
 
 
+def test_broken_words_read_a_text_once(spark):
+    """A text that is an expression is made once for its breaks and once for its result, in whatever language; a large lexicon gives the same."""
+    docs = spark.createDataFrame([(1, "en", "nwonk\n-llew fo"), (2, "nl", "nwonk\n-llew")], "doc_id long, lang string, text string").withColumn("text", F.reverse("text"))
+    lexicon = spark.createDataFrame([("well",), ("known",), (None,)], "word string")
+    found = hyphens.join_line_breaks(docs, "doc_id", lexicon)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 3
+    wanted = {(1, "of well-known", 1), (2, "wellknown", 0)}
+    assert {(r["doc_id"], r["text"], r["kept_hyphens"]) for r in found.collect()} == wanted
+    most, hyphens.MOST_BROADCAST_WORDS = hyphens.MOST_BROADCAST_WORDS, 1
+    try:
+        assert {(r["doc_id"], r["text"], r["kept_hyphens"]) for r in hyphens.join_line_breaks(docs, "doc_id", lexicon).collect()} == wanted
+    finally:
+        hyphens.MOST_BROADCAST_WORDS = most
+
+
 def pieces_by_loop(words, vectors):
     n = len(words)
     if sum(words) <= 600:
