@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .linking import settled
 
 SIGNALS = (
     "words", "sentence_ratio", "fragment_ratio", "tabular_score", "digit_ratio", "reference_score", "stopword_ratio", "duplicate_lines", "caps_ratio",
@@ -14,6 +15,8 @@ SIGNALS = (
 #: Fixed: titles of lists of references and of what belongs to a site and not to its text.
 REFERENCE_TITLE = r"(?i)literature cited|literatuur|references|referenties|bibliograph|bronnen en|verder lezen|further readings?|about the authors"
 CHROME_TITLE = r"(?i)^(nieuws|reacties?|disqus|gerelateerd\w*|volg ons|nieuwsbrief|contact|uitgever|colofon|over deze praktijksamenvatting|permalink|projectnaam)\b"
+#: Hashes of runs that are sent to all tasks, at most.
+MOST_BROADCAST_RUNS = 4_000_000
 #: Fixed: kinds of chunks that may be short.
 STANDALONE = ("probleem",)
 
@@ -124,20 +127,25 @@ def protected_terms(docs: DataFrame, text: str = "text", least: int = 3) -> Data
 def page_residue(units: DataFrame, document: str, chunk: str, text: str, size: int = 6, least: int = 4) -> DataFrame:
     """Runs of six words that occur in four chunks of a document or more, at least half of them at the start of a unit.
 
-    Runs are counted by a 64-bit hash, and a chunk's repeats are added up before they are shuffled; the words come
-    back for the survivors only.
+    A run that half the time begins a unit does so twice at least, so that only runs that begin two units of a document are counted, by
+    a 64-bit hash of document and words; the words come back for the survivors only. A null document is one of its own. No filter reads a text.
     """
-    w = F.col("__w")
-    rows = units.select(document, chunk, F.transform(T.tokens(F.col(text)), lambda x: F.lower(x)).alias("__w"))
-    gram = lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " ")
+    w, low = F.col("__w"), F.lower(F.coalesce(F.col(text), F.lit("")))
+    run = lambda i: F.xxhash64(F.coalesce(F.col(document).cast("string"), F.lit("\0")), *[F.xxhash64(F.get(w, i + k)) for k in range(size)])
+    # a unit's first words, of which white space may be one more piece before and the rest one after
+    heads = units.select(document, F.slice(F.filter(F.split(low, r"\s+", size + 2), lambda t: t != ""), 1, size).alias("__w"))
+    heads = heads.select(document, F.coalesce(F.when(F.size(w) == size, run(F.lit(0))), F.lit(0).cast("long")).alias("h"), F.array_join(w, " ").alias("gram"))
+    firsts = settled(heads.groupBy("h").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= 0.5 * least).select("h"))
+    near = lambda t: F.broadcast(t) if t.count() <= MOST_BROADCAST_RUNS else t
     starts = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size))
-    hashed = rows.select(document, chunk, F.explode(F.transform(starts, lambda i: F.struct(F.xxhash64(gram(i)).alias("h"), (i == 0).alias("start")))).alias("g")).select(document, chunk, "g.*")
-    by_chunk = hashed.groupBy(document, "h", chunk).agg(F.count(F.lit(1)).alias("n"), F.count_if("start").alias("s"))
+    # an outer explode, as a plain one has its array made once more for a filter
+    runs = units.select(document, chunk, T.tokens(low).alias("__w")).select(document, chunk, F.explode_outer(F.transform(starts, lambda i: F.struct(run(i).alias("h"), (i == 0).alias("start")))).alias("g")).select(document, chunk, "g.*")
+    by_chunk = runs.join(near(firsts), "h", "left_semi").groupBy(document, "h", chunk).agg(F.count(F.lit(1)).alias("n"), F.count_if("start").alias("s"))
     found = by_chunk.groupBy(document, "h").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n"), F.sum("s").alias("n_start"))
-    found = found.where((F.col("n_chunks") >= least) & (F.col("n_start") >= 0.5 * F.col("n")))
+    found = settled(found.where((F.col("n_chunks") >= least) & (F.col("n_start") >= 0.5 * F.col("n"))))
     # half of a survivor's occurrences begin a unit, so its words are those of such a unit
-    words = rows.where(F.size(w) >= size).select(document, gram(F.lit(0)).alias("gram")).distinct().withColumn("h", F.xxhash64("gram"))
-    return found.join(words, [document, "h"]).drop("h")
+    words = heads.select("h", "gram").join(near(found.select("h")), "h", "left_semi").distinct()
+    return found.join(words, "h").select(document, "n_chunks", "n", "n_start", "gram")
 
 
 def repair(rows: DataFrame, text: str = "text", most: float = 0.3, garbled: str | None = None) -> DataFrame:

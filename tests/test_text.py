@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fieldmill.functions import text as T
-from fieldmill.operators import datasets, evaluation, lexicon, procedures, quality, registrations, retrieval, structure, usage
+from fieldmill.operators import datasets, evaluation, layout, lexicon, procedures, quality, registrations, retrieval, structure, usage
 from fieldmill.sources import files, markup
 
 
@@ -241,3 +241,18 @@ def test_few_pages_are_held_at_once():
     found = list(markup._in_batches(iter([pages])))
     assert [b.num_rows for b in found] == [256, 256, 88]
     assert [(r["doc_id"], r["pos"], r["text"]) for b in found for r in b.to_pylist()] == [(str(k), n, t) for k in range(0, 600, 2) for n, t in enumerate(["one", "two"])]
+
+
+def test_page_residue_keeps_a_null_document_and_moves_few_runs(spark):
+    """As in SQL a null document is a group; runs that don't begin two units are dropped before they are shuffled, and bounds don't change the result."""
+    head = "annual report of the fruit station"
+    rows = [(d, c, f"{head} {c} and some more words that differ {c * c}") for d in (None, "x") for c in range(4)] + [(None, 9, f"so {head} it goes"), ("y", 1, "short"), ("y", 1, None)]
+    units = spark.createDataFrame(rows, "d string, c int, t string")
+    found = lambda: {(r["d"], r["gram"], r["n_chunks"], r["n"], r["n_start"]) for r in quality.page_residue(units, "d", "c", "t").collect()}
+    wanted = {(None, head, 5, 5, 4), ("x", head, 4, 4, 4)}
+    assert found() == wanted
+    most, quality.MOST_BROADCAST_RUNS = quality.MOST_BROADCAST_RUNS, 0
+    try:
+        assert found() == wanted
+    finally:
+        quality.MOST_BROADCAST_RUNS = most
