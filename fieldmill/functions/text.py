@@ -168,14 +168,28 @@ def hyphen_artifacts(text: Column) -> Column:
     return F.slice(F.filter(found, lambda x: ~F.regexp_extract(x, r"- (.*)$", 1).isin("en", "of", "tot", "and", "or", "en/of")), 1, 5)
 
 
+#: Fixed: control, private-use and zero-width characters, which are no text.
+_UNSEEN = "\\x00-\\x08\\x0b-\\x1f\\x7f\\ue000-\\uf8ff\\u200b-\\u200d\\u2060\\ufeff"
+
+
 def normalize_text(text: Column) -> Column:
-    """Control, private-use and zero-width characters out, words that a hyphen broke joined, white space collapsed."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x00-\\x08\\x0b-\\x1f\\x7f\\ue000-\\uf8ff\\u200b-\\u200d\\u2060\\ufeff]", "")
-    t = F.regexp_replace(t, "\\u00ad\\s*\\n\\s*", "")
-    t = F.regexp_replace(t, "[\\u2010\\u2011\\u00ad]", "-")
-    t = F.regexp_replace(t, r"(\p{L}{2,})-\n([a-z]{2,})", "$1$2")
-    t = F.regexp_replace(t, r"\s*\n\s*", " ")
-    return F.trim(F.regexp_replace(t, "[ \\t\\u00a0]+", " "))
+    """Control, private-use and zero-width characters out, words that a hyphen broke joined, white space collapsed. A text without these, other hyphens and line ends only has its spaces collapsed."""
+
+    def whole(t: Column) -> Column:
+        t = F.regexp_replace(t, f"[{_UNSEEN}]", "")
+        t = F.regexp_replace(t, "\\u00ad\\s*\\n\\s*", "")
+        t = F.regexp_replace(t, "[\\u2010\\u2011\\u00ad]", "-")
+        t = F.regexp_replace(t, r"(\p{L}{2,})-\n([a-z]{2,})", "$1$2")
+        return F.regexp_replace(t, r"\s*\n\s*", " ")
+
+    spaces = lambda t: F.regexp_replace(F.when(F.regexp(t, F.lit(f"[{_UNSEEN}\\n\\u00ad\\u2010\\u2011]")), whole(t)).otherwise(t), "[ \\t\\u00a0]+", " ")
+    # the text, often an expression, is taken once
+    return F.trim(F.element_at(F.transform(F.array(F.coalesce(text, F.lit(""))), spaces), 1))
+
+
+def is_visible(text: Column) -> Column:
+    """Whether :func:`normalize_text` leaves something; most texts have a character that decides it at once."""
+    return F.when(F.regexp(text, F.lit(f"[^{_UNSEEN} \\t\\n\\u00a0\\u00ad]")), True).otherwise(normalize_text(text) != "")
 
 
 def repetition_loop(text: Column) -> Column:

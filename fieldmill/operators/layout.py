@@ -164,13 +164,16 @@ def run_in_headings(spans: DataFrame, line: tuple[str, ...] = ("doc_id", "page",
     Returns ``line``, part (0 for a label or a whole line, 1 for what follows a label), kind (heading, or null for what is to be
     classified) and text. Spans without a visible character don't end a label. A line without text gives no row.
     """
-    rows = spans.withColumn("__plain", F.when(~F.coalesce("bold", F.lit(False)) & (T.normalize_text(F.col("text")) != ""), F.col("x0")))
-    rows = rows.withColumn("__from", F.min("__plain").over(Window.partitionBy(*line)))
-    rows = rows.withColumn("__rest", F.coalesce(F.col("x0") >= F.col("__from"), F.lit(False)))
-    pieces = rows.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("x0", "text", "__rest"))).alias("p"))
+    c = F.col
+    plain = F.when(~F.coalesce("bold", F.lit(False)) & T.is_visible(c("text")), c("x0"))
+    pieces = spans.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("p"), F.min(plain).alias("__from"))
     joined = lambda keep: T.normalize_text(F.array_join(F.transform(F.filter("p", keep), lambda s: F.coalesce(s["text"], F.lit(""))), ""))
-    pieces = pieces.withColumns({"__label": joined(lambda s: ~s["__rest"]), "__body": joined(lambda s: s["__rest"]), "__all": joined(lambda s: F.lit(True))})
-    apart = (F.col("__label") != "") & (T.word_count(F.col("__label")) <= LABEL_WORDS) & F.regexp("__body", F.lit(r"^\p{Lu}"))
-    part = lambda n, kind, text: F.struct(F.lit(n).alias("part"), F.lit(kind).cast("string").alias("kind"), F.col(text).alias("text"))
-    parts = F.when(apart, F.array(part(0, "heading", "__label"), part(1, None, "__body"))).otherwise(F.array(part(0, None, "__all")))
-    return pieces.select(*line, F.explode(parts).alias("q")).select(*line, "q.*").where("text <> ''")
+    rest = lambda s: F.coalesce(s["x0"] >= c("__from"), F.lit(False))
+    # a line of bold or of regular spans only has no label; others are put together whole only where theirs doesn't count
+    pieces = pieces.withColumns({"__label": joined(lambda s: ~rest(s)), "__body": joined(rest)})
+    apart = (c("__label") != "") & (T.word_count(c("__label")) <= LABEL_WORDS) & F.regexp("__body", F.lit(r"^\p{Lu}"))
+    part = lambda n, kind, text: F.struct(F.lit(n).alias("part"), F.lit(kind).cast("string").alias("kind"), text.alias("text"))
+    alone = F.when(c("__body") == "", c("__label")).when(c("__label") == "", c("__body")).otherwise(joined(lambda s: F.lit(True)))
+    parts = F.when(apart, F.array(part(0, "heading", c("__label")), part(1, None, c("__body")))).otherwise(F.array(part(0, None, alone)))
+    # an outer explode, as a plain one has its array made once more for a filter
+    return pieces.select(*line, F.explode_outer(parts).alias("q")).select(*line, "q.*").where("text <> ''")

@@ -256,3 +256,30 @@ def test_page_residue_keeps_a_null_document_and_moves_few_runs(spark):
         assert found() == wanted
     finally:
         quality.MOST_BROADCAST_RUNS = most
+
+
+def test_normalized_text_is_the_same_the_short_way(spark):
+    """Each of the rules, apart and mixed, against loops; and a visible text is one of which something is left."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    bits = ["a", "bc", "Zz", "-", "\n", " ", "\t", "\u00a0", "\u00ad", "\u2010", "\u200b", "\x00", "\x0b", "\r", "\ue000", "\u2028", "\u00e9t"]
+    texts = ["".join(rng.choice(bits) for _ in range(n % 7)) for n in range(600)]
+
+    def plain(t):
+        t = re.sub("[\x00-\x08\x0b-\x1f\x7f\ue000-\uf8ff\u200b-\u200d\u2060\ufeff]", "", t)
+        t = re.sub("[\u2010\u2011\u00ad]", "-", re.sub("\u00ad[ \t\n]*\n[ \t\n]*", "", t))
+        t = re.sub(r"([^\W\d_]{2,})-\n([a-z]{2,})", r"\1\2", t)
+        return re.sub("[ \t\u00a0]+", " ", re.sub("[ \t\n]*\n[ \t\n]*", " ", t)).strip(" ")
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_text(F.col("t")).alias("n"), T.is_visible(F.col("t")).alias("v")).collect()
+    for r in rows:
+        assert (r["n"], r["v"]) == (plain(r["t"]), plain(r["t"]) != ""), r["t"]
+
+
+def test_texts_are_made_once(spark):
+    """Neither lines with labels nor blocks put a text together once more for a filter."""
+    spans = spark.createDataFrame([("d", 1, 1, 0.0, True, "Label "), ("d", 1, 1, 1.0, False, "Text")], "doc_id string, page int, line int, x0 double, bold boolean, text string")
+    plan = layout.run_in_headings(spans)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "size(CASE" not in plan
