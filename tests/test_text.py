@@ -283,3 +283,5 @@ def test_texts_are_made_once(spark):
     spans = spark.createDataFrame([("d", 1, 1, 0.0, True, "Label "), ("d", 1, 1, 1.0, False, "Text")], "doc_id string, page int, line int, x0 double, bold boolean, text string")
     plan = layout.run_in_headings(spans)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "size(CASE" not in plan
+    plan = markup.markdown_blocks(spark.createDataFrame([(1, "a")], "id long, text string"), "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(l") <= 2
