@@ -102,9 +102,10 @@ def search_log(entries: DataFrame, queries: DataFrame, most: int = MOST_HITS, de
     """(query, entry_id, score, rank, time_filtered): the best entries of each question, those of the times it names (all if there are none), by word and dense score.
 
     entries: entry_id, day, text; queries: query, question; ``dense`` has query, entry_id and the dense score of each question's nearest entries. The
-    word score is the share of the question's terms that an entry holds. Entries are found by postings: distinct words of entries
-    meet distinct terms, and only entries with a term (or a dense score) are scored; where these are too few, the latest entries of the named time
-    follow with a score of 0, so no table of all questions and entries is made. Questions of the same terms and times are answered once. Ties go to the greater entry_id.
+    word score is the share of the question's terms that an entry holds. Texts are found by postings: distinct words of texts
+    meet distinct terms. Entries of one text and time differ only in their number, so only the latest of them are looked at, as many as are ever
+    wanted; where the texts with a term have too few, the latest entries of the named time follow with a score of 0. So neither a table of all questions and
+    entries is made, nor one of all entries with a frequent term. Questions of the same terms and times are answered once. Ties go to the greater entry_id.
     """
     deep = max(most, MOST_TIMED_HITS)
     terms = F.array_sort(F.array_distinct(F.regexp_extract_all(T.fold(F.col("question")), F.lit(r"\b[a-z][a-z0-9]{3,}\b"), F.lit(0))))
@@ -113,23 +114,28 @@ def search_log(entries: DataFrame, queries: DataFrame, most: int = MOST_HITS, de
     asked = asked.withColumn("limit", F.when(narrow, deep).otherwise(most)).withColumn("own", F.col("query") if dense is not None else F.lit(0))
     asked = asked.withColumn("q", F.xxhash64("own", F.array_join("terms", " "), F.array_join("keys", " "), "limit"))
     once = asked.dropDuplicates(["q"]).select("q", "own", "terms", "keys", "limit")
-    dated = entries.select("entry_id", F.explode(F.array_compact(_day_keys(F.col("day")))).alias("key"))
+    dated = entries.select("entry_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.array_compact(_day_keys(F.col("day")))).alias("key"))
+    # the latest entries of each text and time
+    last = F.row_number().over(Window.partitionBy("key", "text").orderBy(F.desc("entry_id")))
+    classes = dated.withColumn("k", last).where(F.col("k") <= 2 * deep).select("key", "text", "entry_id")
     # the named times that the log has; a question without one is asked of all entries
     wanted = once.select("q", F.explode("keys").alias("key"))
-    there = wanted.join(dated.select("key").distinct(), "key", "left_semi")
+    there = wanted.join(classes.select("key").distinct(), "key", "left_semi")
     open_ = once.select("q").join(there.select("q").distinct(), "q", "left_anti").select("q", F.lit("").alias("key"))
     keys = there.select("q", "key").unionByName(open_)
     latest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("entry_id")))
-    spare = dated.withColumn("k", latest).where(F.col("k") <= 2 * deep).join(keys, "key").select("q", "entry_id", F.lit(0).alias("hits"), F.lit(0.0).alias("d")).distinct()
-    held = entries.select("entry_id", F.explode(F.array_distinct(F.split(T.fold(F.col("text")), " "))).alias("word"))
+    spare = classes.withColumn("k", latest).where(F.col("k") <= 2 * deep).join(keys, "key").select("q", "entry_id", F.lit(0).alias("hits"), F.lit(0.0).alias("d")).distinct()
+    held = classes.select("text").distinct().select("text", F.explode(F.array_distinct(F.split(T.fold(F.col("text")), " "))).alias("word"))
     posted = once.select("q", F.explode("terms").alias("term"))
     met = term_hits(posted.select("term").distinct(), held.select("word").distinct())
-    postings = held.join(met, "word").select("entry_id", "term").distinct()
-    found = posted.join(postings, "term").groupBy("q", "entry_id").agg(F.count(F.lit(1)).cast("int").alias("hits")).withColumn("d", F.lit(0.0))
-    if dense is not None:
-        found = found.unionByName(dense.join(once.select("q", "own"), F.col("query") == F.col("own")).select("q", "entry_id", F.lit(0).alias("hits"), F.col("score").cast("double").alias("d")))
+    postings = held.join(met, "word").select("text", "term").distinct()
+    found = posted.join(postings, "term").groupBy("q", "text").agg(F.count(F.lit(1)).cast("int").alias("hits"))
     # a question's entry is in its time if they share a key
-    fitting = found.join(dated, "entry_id").join(keys, ["q", "key"], "left_semi").drop("key").unionByName(spare)
+    fitting = found.join(keys, "q").join(classes, ["text", "key"]).select("q", "entry_id", "hits", F.lit(0.0).alias("d")).unionByName(spare)
+    if dense is not None:
+        near = dense.join(once.select("q", "own"), F.col("query") == F.col("own")).select("q", "entry_id", F.col("score").cast("double").alias("d"))
+        near = near.join(dated, "entry_id").join(keys, ["q", "key"], "left_semi").join(found, ["q", "text"], "left")
+        fitting = fitting.unionByName(near.select("q", "entry_id", F.coalesce("hits", F.lit(0)).alias("hits"), "d"))
     scored = fitting.groupBy("q", "entry_id").agg(F.max("hits").alias("hits"), F.max("d").alias("d")).join(once.select("q", "terms", "limit"), "q")
     scored = scored.withColumn("score", F.coalesce(F.col("hits") / F.nullif(F.size("terms"), F.lit(0)), F.lit(0.0)) + F.col("d"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("entry_id")))

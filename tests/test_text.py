@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fieldmill.functions import text as T
-from fieldmill.operators import datasets, evaluation, layout, lexicon, procedures, quality, registrations, retrieval, structure, usage
+from fieldmill.operators import assistant, datasets, evaluation, layout, lexicon, procedures, quality, registrations, retrieval, structure, usage
 from fieldmill.sources import files, markup
 
 
@@ -285,3 +285,22 @@ def test_texts_are_made_once(spark):
     assert "Window" not in plan and "size(CASE" not in plan
     plan = markup.markdown_blocks(spark.createDataFrame([(1, "a")], "id long, text string"), "id", "text")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_join(l") <= 2
+
+
+def test_log_search_looks_at_the_latest_of_a_text(spark):
+    """Many entries of few texts, with a dense score for old ones, against a loop; only the latest entries of a text and time are dealt out."""
+    import datetime
+
+    texts = ["spray copper", "spray sulphur", "pruned copper trees", None]
+    entries = [(i, datetime.date(2023 + i % 2, 1 + i % 3, 1), texts[i % 4]) for i in range(300)]
+    asked = [(1, "copper in januari 2023?"), (2, "sulphur spray in 2024"), (3, "something else"), (4, "copper trees")]
+    dense = [(1, 0, 0.9), (2, 1, 0.4), (3, 5, 0.2), (4, 2, 0.7), (4, 3, 0.1)]
+    found = assistant.search_log(spark.createDataFrame(entries, "entry_id long, day date, text string"), spark.createDataFrame(asked, "query long, question string"), dense=spark.createDataFrame(dense, "query long, entry_id long, score double"))
+    assert re.search(r"WindowGroupLimit \[key#\d+, text#\d+\]", found._jdf.queryExecution().optimizedPlan().toString())
+    fits = {1: lambda d: d.year == 2023 and d.month == 1, 2: lambda d: d.year == 2024, 3: lambda d: True, 4: lambda d: True}
+    words = {1: ["copper", "januari"], 2: ["spray", "sulphur"], 3: ["else", "something"], 4: ["copper", "trees"]}
+    extra, wanted = {(q, e): s for q, e, s in dense}, set()
+    for q, _ in asked:
+        scored = [(sum(w in (t or "") for w in words[q]) / len(words[q]) + extra.get((q, e), 0.0), e) for e, d, t in entries if fits[q](d)]
+        wanted |= {(q, e, round(s, 9), k + 1) for k, (s, e) in enumerate(sorted(scored, reverse=True)[: 8 if q == 1 else 6])}
+    assert {(r["query"], r["entry_id"], round(r["score"], 9), r["rank"]) for r in found.collect()} == wanted
