@@ -38,11 +38,9 @@ SELECT doc_id, n_words, coalesce(n, 0) AS n_unknown, round_even(CASE WHEN n_word
 )
 def lexical_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    words = gate.chunk_words(docs, "doc_id")
-    found = gate.noise(words, "doc_id", gate.settled(gate.vocabulary(words)), known_from=5, accents=ACCENTS)
-    # texts without words have no noise
-    counts = {"n_words": F.coalesce("n_words", F.lit(0).cast("bigint")).cast("int"), "n_unknown": F.coalesce("n_unknown", F.lit(0).cast("bigint")), "oov_ratio": F.coalesce("oov_ratio", F.lit(0.0))}
-    return docs.select("doc_id").join(found.drop("oov_words"), "doc_id", "left").withColumns(counts)
+    terms = gate.settled(gate.vocabulary(gate.chunk_words(docs, "doc_id"), "doc_id"))
+    found = gate.noise(docs, "doc_id", terms, known_from=5, accents=ACCENTS)
+    return found.select("doc_id", F.col("n_words").cast("int").alias("n_words"), "n_unknown", "oov_ratio")
 
 
 _PROTECTED = r"""w AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[\p{L}]{3,}')) AS w FROM documents),
