@@ -27,17 +27,36 @@ def work_queue(entries: DataFrame, most: int | None = None) -> DataFrame:
     return rows if most is None else rows.orderBy("page_id", "entry_id").limit(most)
 
 
+#: Entries and applications that a task has at once, about.
+TASK_ROWS = 250_000
+
+
+def _lines(applications: DataFrame) -> DataFrame:
+    line = F.concat_ws(" ", "product", F.when(F.col("amount").isNotNull(), F.concat(F.lit("("), "amount", F.lit(")"))))
+    return applications.select("entry_id", "pos", line.alias("line"))
+
+
+def _joined(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("entry_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "; ").alias("applications"))
+
+
 def applications_text(applications: DataFrame) -> DataFrame:
     """entry_id and its applications as one text, in their order."""
-    line = F.concat_ws(" ", "product", F.when(F.col("amount").isNotNull(), F.concat(F.lit("("), "amount", F.lit(")"))))
-    return applications.groupBy("entry_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "; ").alias("applications"))
+    return _joined(_lines(applications))
 
 
 def drill_down(entries: DataFrame, applications: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted entries (entry_id) with their applications as a text, empty without any."""
-    rows = entries.join(wanted.select("entry_id").distinct(), "entry_id", "left_semi")
-    texts = applications_text(applications.join(wanted.select("entry_id").distinct(), "entry_id", "left_semi"))
-    return rows.join(texts, "entry_id", "left").withColumn("applications", F.coalesce("applications", F.lit("")))
+    """The wanted entries (entry_id) with their applications as a text, empty without any.
+
+    Rows are dealt once by entry, over as many tasks as there are rows for, so that what a task holds doesn't grow with the log; what is
+    joined is then so small in each task that it is hashed and nothing is sorted for it.
+    """
+    parts = 1 + (entries.count() + applications.count()) // TASK_ROWS
+    # distinct after the deal: else the optimizer puts the semi-joins, and a deal of their own, before it
+    ids = wanted.select("entry_id").repartition(parts, "entry_id").distinct().hint("shuffle_hash")
+    rows = entries.repartition(parts, "entry_id").join(ids, "entry_id", "left_semi")
+    texts = _joined(_lines(applications).repartition(parts, "entry_id").join(ids, "entry_id", "left_semi"))
+    return rows.join(texts.hint("shuffle_hash"), "entry_id", "left").withColumn("applications", F.coalesce("applications", F.lit("")))
 
 
 def entry_text(day: Column, applications: Column, remarks: Column) -> Column:
