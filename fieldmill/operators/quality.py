@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import prose
 from ..functions import text as T
 from .linking import settled
 
@@ -26,20 +28,25 @@ def sentence_flags(sentences: Column) -> Column:
     return F.transform(sentences, lambda s: F.regexp(s, F.lit("^[\\p{Lu}\\p{Nd}\"'“‘(]")) & F.regexp(s, F.lit("[.!?:;…][\"')”’]*$")) & (T.word_count(s) >= 3))
 
 
-def signals(docs: DataFrame, text: str = "text", language: str = "lang") -> DataFrame:
-    """``docs`` with the structural signals of their text; ratios to three places, half to even. Sentences are made once a row."""
-    t, flags, sentences = F.col(text), F.col("__flags"), F.col("__sentences")
-    found = docs.withColumn("__sentences", T.whole_sentences(T.prose_view(t))).withColumn("__flags", sentence_flags(sentences))
-    three = lambda c: F.bround(c, 3)
+def _measures(text: pa.Array, language: pa.Array) -> pa.Array:
+    columns = zip(*map(prose.measures, text.to_pylist(), language.to_pylist()), strict=True) if len(text) else [[]] * len(prose.MEASURES)
+    kinds = {"int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    return pa.StructArray.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, prose.MEASURES, strict=True)], [n for n, _ in prose.MEASURES])
+
+
+def signals(docs: DataFrame, text: str = "text", language: str = "lang", terms: str | None = None) -> DataFrame:
+    """``docs`` with the structural signals of their text; ratios to three places, half to even. A text is read once, in Python; the number of its words goes to the column ``terms``."""
+    m = lambda n: F.col(f"__m.{n}")
+    ratio = lambda a, b: F.bround(T.ratio(m(a), m(b)), 3)
+    measured = F.arrow_udf(_measures, "struct<" + ", ".join(f"{n}: {t}" for n, t in prose.MEASURES) + ">")
+    found = docs.withColumn("__m", measured(text, F.col(language).cast("string")))
     return found.withColumns(
         {
-            "words": T.word_count(t), "sentence_ratio": three(T.sentence_ratio(t, sentences)), "fragment_ratio": three(T.fragment_ratio(t)), "tabular_score": three(T.tabular_score(t)), "digit_ratio": three(T.digit_ratio(t)),
-            "reference_score": three(T.reference_score(t)), "stopword_ratio": three(T.stopword_ratio(t, F.col(language))), "duplicate_lines": T.duplicate_lines(t), "caps_ratio": three(T.caps_ratio(t)),
-            "n_sentences": F.size(flags), "incomplete_sentences": F.size(F.filter(flags, lambda f: ~f)), "first_incomplete": ~F.coalesce(F.try_element_at(flags, F.lit(1)), F.lit(True)), "last_incomplete": ~F.coalesce(F.try_element_at(flags, F.lit(-1)), F.lit(True)),
-            "hyphens": T.hyphen_artifacts(t),
-            "incomplete_examples": F.slice(F.transform(F.filter(F.zip_with(sentences, flags, lambda s, f: F.struct(s.alias("s"), f.alias("f"))), lambda x: ~x["f"]), lambda x: F.substring(x["s"], 1, 80)), 1, 3),
+            "words": m("words"), "sentence_ratio": ratio("good", "plain"), "fragment_ratio": ratio("fragments", "lines"), "tabular_score": ratio("numeric", "words"), "digit_ratio": ratio("digits", "length"),
+            "reference_score": F.bround(m("references") / F.greatest(F.lit(1), m("words")), 3), "stopword_ratio": ratio("stop", "terms"), "duplicate_lines": m("duplicate_lines"), "caps_ratio": ratio("capitals", "letters"),
+            **{n: m(n) for n in ("n_sentences", "incomplete_sentences", "first_incomplete", "last_incomplete", "hyphens", "incomplete_examples")}, **({terms: m("terms").cast("long")} if terms else {}),
         }
-    ).drop("__flags", "__sentences")
+    ).drop("__m")
 
 
 def _or_default(rows: DataFrame, column: str, default: Column) -> Column:
