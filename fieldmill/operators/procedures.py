@@ -24,27 +24,36 @@ def collect_steps(traces: DataFrame) -> DataFrame:
     return traces.withColumn("steps", kept).where(F.size("steps") >= 2)
 
 
-#: Random projections for the vectors that may be near: bands, and the share of bands in which two vectors at the threshold meet.
-BANDS, MEET = 120, 0.08
-#: Vectors that are compared at once, and that a group holds or so.
-TILE, PACKED = 1024, 8192
+#: Random projections for the vectors that may be near: how likely a pair at the threshold meets in no band, and the most signs of a key.
+MISSED, MOST_BITS = 5e-5, 15
+#: Vectors that share a key on average, those that are compared at once, rows of a product at once, and vectors that a group holds or so.
+SHARE_KEY, TILE, ROWS, PACKED = 8192, 16384, 1024, 16384
+#: Near pairs at once, or those of a row.
+PAIRS = 1_000_000
+#: Keys of all bands that are broadcast at most.
+MOST_KEYS = 1_000_000
 
 
-def _projection_keys(vectors: DataFrame, threshold: float) -> DataFrame:
+def _bands(n: int, threshold: float) -> tuple[int, int]:
+    """(bands, bits) for n vectors: as few signs a key as leave some thousand vectors together, as vectors are moved once for each band and short keys need fewer bands."""
+    bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, n) / SHARE_KEY))))
+    meet = (1 - math.acos(threshold) / math.pi) ** bits
+    return (math.ceil(math.log(MISSED) / math.log(1 - meet)), bits) if bits and meet < 1 else (1, bits)
+
+
+def _projection_keys(vectors: DataFrame, bands: int, bits: int) -> DataFrame:
     """``vectors`` (with ``vector``) once for each band, with the signs of a few random projections as ``key``.
 
     Vectors at the threshold agree in a projection's sign with probability 1 - acos(threshold) / pi, so they meet in no band with
-    probability (1 - MEET)**BANDS or so, 5 in 100,000; nearer ones less.
+    probability ``MISSED`` at most; nearer ones less.
     """
-    agree = 1 - math.acos(threshold) / math.pi
-    bits = max(1, int(math.log(MEET) / math.log(agree)))
     weights = (1 << np.arange(bits)).astype(np.int64)
 
     @F.pandas_udf("array<long>")
     def keys(vector: pd.Series) -> pd.Series:
         x = np.stack(vector.to_numpy()).astype(np.float64)
-        planes = np.random.Generator(np.random.PCG64(77)).standard_normal((x.shape[1], BANDS * bits))
-        return pd.Series(list(((x @ planes > 0).reshape(len(x), BANDS, bits) * weights).sum(axis=2)))
+        planes = np.random.Generator(np.random.PCG64(77)).standard_normal((x.shape[1], bands * bits))
+        return pd.Series(list(((x @ planes > 0).reshape(len(x), bands, bits) * weights).sum(axis=2)))
 
     return vectors.select("*", F.posexplode(keys("vector")).alias("band", "key"))
 
@@ -54,13 +63,18 @@ def _near_links(vectors: DataFrame, threshold: float, across: bool) -> DataFrame
 
     With ``across``, a pair counts if its roots differ and one's id lies in the other's span (begins, ends], and the roots are
     linked. A key's vectors are dealt into tiles by a hash, and each pair of tiles is a cell; cells are packed by a hash into groups of some
-    thousand vectors, so that memory is bounded. Work grows with the square of the vectors that share a key.
+    thousand vectors, so that memory is bounded. Work grows with the square of the vectors that share a key. The table of keys is
+    broadcast up to ``MOST_KEYS``, so that vectors' keys aren't shuffled to be counted.
     """
-    keyed = _projection_keys(vectors.select("id", "root", "vector"), threshold).drop("vector")
+    total = vectors.count()
+    bands, bits = _bands(total, threshold)
+    keyed = _projection_keys(vectors.select("id", "root", "vector"), bands, bits).drop("vector")
     tiles = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("n > 1 AND r <> s").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    packs = max(1, vectors.count() * BANDS // PACKED)
+    packs = max(1, total * bands // PACKED)
+    # bands of few keys: their table is small however many vectors there are
+    few = F.broadcast if bands << bits <= MOST_KEYS else (lambda t: t)
     # the bands in which a vector meets others are found without it, so that it is only moved for these
-    met = keyed.join(tiles.select("band", "key", "tiles"), ["band", "key"]).groupBy("id").agg(F.collect_list(F.struct("band", "key", "tiles")).alias("met"))
+    met = keyed.join(few(tiles.select("band", "key", "tiles")), ["band", "key"]).groupBy("id").agg(F.collect_list(F.struct("band", "key", "tiles")).alias("met"))
     dealt = vectors.join(met, "id").withColumn("vector", F.transform("vector", lambda x: x.cast("float"))).withColumn("met", F.explode("met")).select("*", "met.*")
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     pair = lambda k: F.struct(F.least("tile", k).alias("i"), F.greatest("tile", k).alias("j"))
@@ -71,31 +85,44 @@ def _near_links(vectors: DataFrame, threshold: float, across: bool) -> DataFrame
         group = group.sort_values("cell", kind="stable")
         vector = np.stack(group["vector"].to_numpy())
         ids, root, tile, mixed, begins, ends = (group[c].to_numpy() for c in ("id", "root", "tile", "mixed", "begins", "ends"))
-        found: set[tuple[int, int]] = set()
-        cuts = np.flatnonzero(np.diff(group["cell"].to_numpy())) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
-            x, r = vector[a:b], root[a:b]
-            near = np.triu(x @ x.T >= threshold - 1e-5, 1) & (r[:, None] != r)  # a link too many does no harm
-            if mixed[a]:
-                near &= tile[a:b, None] != tile[a:b]
-            if across and near.any():
-                alive = (ids[a:b] > begins[a:b, None]) & (ids[a:b] <= ends[a:b, None])
-                near &= alive | alive.T
-            found.update((min(p, q), max(p, q)) for p, q in zip(*(r[side].tolist() for side in np.nonzero(near)), strict=True))
-        parent: dict[int, int] = {}
+        names, own = np.unique(root, return_inverse=True)
+        part, kept = np.arange(len(names)), []
 
         def top(k: int) -> int:
-            while parent.setdefault(k, k) != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
+            while part[k] != k:
+                k = int(part[k])
             return k
 
-        kept = []
-        for a, b in sorted(found):
-            p, q = top(a), top(b)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                kept.append((a, b))
+        def link(p: np.ndarray, q: np.ndarray) -> None:
+            """Keeps one pair for each two parts that weren't linked."""
+            nonlocal part
+            apart = part[own[p]] != part[own[q]]
+            p, q = p[apart], q[apart]
+            s, t = part[own[p]], part[own[q]]
+            for i in np.unique(np.minimum(s, t) * len(names) + np.maximum(s, t), return_index=True)[1].tolist():
+                x, y = top(int(s[i])), top(int(t[i]))
+                if x != y:
+                    part[max(x, y)] = min(x, y)
+                    kept.append(sorted((int(root[p[i]]), int(root[q[i]]))))
+            while (part[part] != part).any():
+                part = part[part]
+
+        cuts = np.flatnonzero(np.diff(group["cell"].to_numpy())) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
+            for k in range(a, b, ROWS):
+                near = vector[k : min(k + ROWS, b)] @ vector[k:b].T >= threshold - 1e-5  # a link too many does no harm
+                # some rows at a time, so that pairs are bounded where everything is near everything
+                steps = np.cumsum(near.sum(axis=1)) // PAIRS
+                for rows in np.split(np.arange(len(near)), np.flatnonzero(np.diff(steps)) + 1):
+                    p, q = np.nonzero(near[rows])
+                    p = p + rows[0]
+                    p, q = p[q > p] + k, q[q > p] + k
+                    met = root[p] != root[q]
+                    if mixed[a]:
+                        met &= tile[p] != tile[q]
+                    if across:
+                        met &= (ids[q] > begins[p]) & (ids[q] <= ends[p]) | (ids[p] > begins[q]) & (ids[p] <= ends[q])
+                    link(p[met], q[met])
         return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("pack").applyInPandas(run, "a long, b long").distinct()
